@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -41,14 +41,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, seen: Observation | None = None, *figures: Column) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The files go when the application ends.
+    seen gets the figures, aggregates of df, without another pass. The files go when the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.observe(seen, *figures) if seen else df).write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -92,10 +92,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = table(small, "edges")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
+        seen = Observation()
+        now = table(small, "edges", seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        if seen.get == mark:
             break
-        mark = new
+        mark = seen.get
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

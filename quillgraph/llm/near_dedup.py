@@ -7,13 +7,14 @@ compared with its two centres only, the member that shares most buckets and one
 full sets.
 
 A star can miss a link between two members of a bucket that don't link to its centres. So after the first components
-are known, buckets that still hold two components are finished: documents whose set holds too many shingles that no
-other such document has cannot link at all and leave; small buckets compare the rest pair by pair, large ones become
-stars with new centres until one component is left or every member was a centre. So no pair of a bucket is lost, and
-a bucket of near copies costs its size, not its square.
-
-What can be lost is a linked pair that shares no bucket: (1 - s**4)**32 of pairs with similarity s, 6e-11 at 0.85,
-5e-8 at 0.8.
+are known, buckets that still hold two components are gone through again. Documents whose set holds too many shingles
+that no other such document has cannot link at all and leave; buckets of up to `SMALL` compare the rest pair by pair;
+larger ones become stars with new centres, until a round of stars joins no more components. So a bucket of near copies
+costs its size, not its square.
+
+What can be lost is a linked pair that shares no bucket, (1 - s**4)**32 of pairs with similarity s, 6e-11 at 0.85 and
+5e-8 at 0.8; and a document of a large bucket that links to none of the centres it met but to another member. The
+README has measured figures.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import among, components, table
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Buckets up to this size are finished pair by pair; larger ones by further stars.
-SMALL = 16
+#: Buckets whose open members are no more than this are finished pair by pair; larger ones by further stars.
+SMALL = 64
 
 _U = np.uint64
 _SHIFT = _U(64 - (BINS - 1).bit_length())
@@ -200,22 +201,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rest = table(rest.join(lone, "id", "left").select("bucket", "id", "n", F.coalesce("u", F.lit(0)).alias("u"), F.xxhash64("bucket", "id").alias("h")).filter(f"100 * (n - u) >= {percent} * n"), "rest")
         while True:
             open_ = table(_open(rest, roots), "open")
-            if open_.isEmpty():
-                break
             small = open_.filter(f"size <= {SMALL}")
             left, right = (small.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "u", "root"))) for s in "ab")
             few = left.join(right, "bucket").filter("ida < idb and roota <> rootb").filter(_could(percent))
             large = open_.filter(f"size > {SMALL}")
             star = large.groupBy("bucket").agg(F.min(F.struct("h", F.col("id").alias("ida"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("root").alias("roota"))).alias("c"))
-            many = large.join(star, "bucket").select("bucket", "c.*", F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("root").alias("rootb")).filter("ida <> idb and roota <> rootb").filter(_could(percent))
-            pairs = few.select("ida", "idb").unionByName(many.select("ida", "idb")).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-            new = _links(pairs, texts, width, percent)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                roots = table(components(links), "roots")
-            # what was a centre met all others of its bucket
-            seen = star.select("bucket", F.col("c.h").alias("seen"))
-            rest = table(large.join(seen, "bucket").filter("h > seen").select("bucket", "id", "n", "u", "h"), "rest")
+            met = large.join(star, "bucket").select("bucket", "c.*", F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("root").alias("rootb"))
+            many = met.filter("ida <> idb and roota <> rootb").filter(_could(percent))
+            pairs = few.select("ida", "idb", "roota", "rootb").unionByName(many.select("ida", "idb", "roota", "rootb"))
+            new = _links(pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), texts, width, percent)
+            if new.isEmpty():
+                break
+            roots = table(_merged(roots, new), "roots")
+            # small buckets are done, and what was a centre met all others of its bucket
+            rest = table(large.join(star.select("bucket", F.col("c.h").alias("seen")), "bucket").filter("h > seen").select("bucket", "id", "n", "u", "h"), "rest")
+            if rest.isEmpty():
+                break
 
     found = member.select("id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     named = found.groupBy("id").agg(F.min("root").alias("root"))
@@ -228,6 +229,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after more links: their components are found among the roots alone."""
+    of = lambda side: F.coalesce(F.col(f"{side}root"), F.col(side)).alias(side)
+    a, b = (roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}root")) for s in "ab")
+    up = components(links.join(a, "a", "left").join(b, "b", "left").select(of("a"), of("b"))).withColumnRenamed("root", "top")
+    every = roots.unionByName(up.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
+    return every.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def _rest(inside: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets of three or more that hold two components."""
     named = inside.filter("size > 2").join(roots, inside["id"] == roots["node"], "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
