@@ -75,7 +75,7 @@ def among(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) ->
         .filter(F.col("_bits").bitwiseAND(bit) != 0)
         .drop("_at", "_word", "_bits")
     )
-    return kept.join(keys.select(key).distinct(), key, "left_semi")
+    return kept.join(keys.select(key).distinct(), key)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

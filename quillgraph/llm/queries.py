@@ -3,15 +3,139 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, fingerprint, langid, mixing, packing, quality, secrets, shard, url_filter
 from .common import read
 from .near_dedup import near_duplicates
 
+URL_RULES = [
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+]
+#: A conversation whose texts look like control strings.
+TRICKY = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {"op2_near_dedup": op2_near_dedup}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.assign_shards(read(spark, sf_dir, "documents"), 16)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(read(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.examples(convs.unionByName(more)))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_crc(packing.pack(read(spark, sf_dir, "documents")))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality_rules, op4_sharding, op5_secret_scan, op6_chat_format, op7_packing, op8_mixing, op9_language_id, op10_fingerprint)}
+
+_WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": f"""
+        WITH rules(rh, rp, rule, verdict) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
+                                                     ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
+        parts AS (SELECT page_id,
+                         CASE WHEN contains(url, '://') THEN {_LOWER.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")} ELSE '' END AS host,
+                         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path,
+                         row_number() OVER () AS k FROM pages)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM (
+            SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY k ORDER BY length(r.rule) DESC NULLS LAST, length(r.rh) DESC) AS best
+            FROM parts p LEFT JOIN rules r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp))
+        WHERE best = 1
+    """,
+    "op2_near_dedup": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM docs),
+        sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+        flat AS (SELECT doc_id, unnest(s) AS x FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+        SELECT doc_id, n AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id,
+               doc_id = (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS kept FROM sizes s
+    """,
+    "op3_quality_rules": f"""
+        WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
+        lines AS (SELECT k, line, i, {_WORDS.format('line')} AS w FROM (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)),
+        judged AS (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY k, line ORDER BY i) > 1 AS again,
+            len(list_filter(w, lambda x: regexp_full_match(x, '[|»›•·>]'))) >= 0.2 * len(w)
+            OR len(list_filter(w, lambda x: regexp_matches(x, '{quality.TRAILING}'))) >= 0.2 * len(w)
+            OR (len(w) <= 20 AND regexp_matches(line, '{quality.BOILERPLATE}', 'i'))
+            OR (len(w) >= 8 AND (list_max(map_values(list_histogram(w))) >= 0.4 * len(w)
+                OR (len(list_filter(w, lambda x: regexp_matches(x, '{quality.LETTER}'))) > 0 AND
+                    len(list_filter(w, lambda x: regexp_matches(x, '{quality.SHOUTED}'))) >= 0.8 * len(list_filter(w, lambda x: regexp_matches(x, '{quality.LETTER}')))))) AS failed
+            FROM lines WHERE len(w) > 0),
+        by_doc AS (SELECT k, count(*) FILTER (WHERE again) AS dup, count(*) FILTER (WHERE failed) AS n_failed, coalesce(sum(length(array_to_string(w, ''))) FILTER (WHERE failed), 0) AS lost FROM judged GROUP BY k),
+        windows AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) > 3)),
+        twice AS (SELECT k, i FROM (SELECT *, count(*) OVER (PARTITION BY k, x) AS c FROM windows) WHERE c > 1),
+        repeats AS (SELECT k, count(DISTINCT i + d) AS r FROM twice, (VALUES (0), (1), (2)) AS t(d) GROUP BY k),
+        figures AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                           coalesce(dup, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, coalesce(n_failed, 0) AS n_failed_lines, coalesce(lost, 0) AS lost
+                    FROM docs LEFT JOIN by_doc USING (k) LEFT JOIN repeats USING (k))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - lost >= 0.5 * word_chars AS kept, n_failed_lines, CAST(lost AS BIGINT) AS lost_chars FROM figures
+    """,
+    "op6_chat_format": """
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                      UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        marked AS (SELECT *, length(role || text) - length(replace(role || text, chr(92), ''))
+            + list_sum(list_transform(['<|', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'], lambda m: (length(text) - length(replace(text, m, '')) + length(role) - length(replace(role, m, ''))) // length(m))) AS escapes FROM rows),
+        sized AS (SELECT *, sum(length(role) + length(text) + escapes + 23) OVER w AS upto, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
+                  FROM marked WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
+    "op8_mixing": f"""
+        WITH base AS (SELECT row_number() OVER () AS k, doc_id, source, len({_WORDS.format('text')}) AS size,
+                             CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+        sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w FROM base GROUP BY source),
+        ordered AS (SELECT *, 3.0::DOUBLE * s AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * s / w, source NULLS LAST) AS i FROM sources),
+        levels AS (SELECT *, (sum(s) OVER () - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                             / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM ordered),
+        goals AS (SELECT source, s, least(cap, w * (SELECT arg_min(level, i) FROM levels WHERE level <= cap / w)) AS target FROM levels),
+        lined AS (SELECT b.*, g.s, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS goal,
+                         sum(size) OVER (PARTITION BY b.source ORDER BY h, doc_id NULLS FIRST, size, k ROWS UNBOUNDED PRECEDING) - size AS lo FROM base b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, size, s AS source_size, target, CAST(CASE WHEN s = 0 THEN 0 ELSE (goal // s) * size + greatest(0, least(size, goal % s - lo)) END AS BIGINT) AS taken FROM lined
+    """,
+}
