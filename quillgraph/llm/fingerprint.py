@@ -49,10 +49,16 @@ def values(text: Column) -> Column:
 
 
 def packed(vals: Column) -> Column:
-    """The low bits of the values, PER_WORD to a 64-bit word."""
+    """BITS bits of each value, PER_WORD to a 64-bit word.
+
+    The bits are those of the value hashed with its bin's number, so that bins which hold one borrowed value agree by
+    chance one by one and not all at once.
+    """
     low = F.lit((1 << BITS) - 1)
-    part = lambda j: F.aggregate(F.slice(vals, j * PER_WORD + 1, PER_WORD), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v.bitwiseAND(low)))
-    return F.when(F.size(vals) > 0, F.transform(F.array(*map(F.lit, range(BINS // PER_WORD))), part)).otherwise(F.array().cast("array<bigint>"))
+    bits = F.transform(vals, lambda v, i: F.xxhash64(v, i).bitwiseAND(low))
+    part = lambda own: lambda j: F.aggregate(F.slice(own, j * PER_WORD + 1, PER_WORD), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v))
+    words_ = let(bits, lambda own: F.transform(F.array(*map(F.lit, range(BINS // PER_WORD))), part(own)))
+    return F.when(F.size(vals) > 0, words_).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprint(text: Column) -> Column:
