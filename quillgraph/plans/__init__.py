@@ -1,6 +1,4 @@
 """Registered queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import graphs, tables  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
