@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import components  # noqa: F401
+from ..scratch import scratch_root, table  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WHITE = "\\x20\\x09-\\x0D"
 
@@ -32,27 +35,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="quillgraph-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def table(df: DataFrame, name: str, seen: Observation | None = None, *figures: Column) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    seen gets the figures, aggregates of df, without another pass. The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    (df.observe(seen, *figures) if seen else df).write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that a worker holds the Python objects of a few texts only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 #: Bits of the filter in among(): 2**23 are 1 MB, whatever the input.
@@ -76,26 +63,3 @@ def among(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) ->
         .drop("_at", "_word", "_bits")
     )
     return kept.join(keys.select(key).distinct(), key)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of each node of an undirected graph; root is the smallest node of its component.
-
-    Alternating large-star and small-star steps over a table of edges, each a pre-aggregated minimum and a join that
-    can be split where a node has very many edges. Nothing but two numbers a round reaches the driver.
-    """
-    now = table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        seen = Observation()
-        now = table(small, "edges", seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
-        if seen.get == mark:
-            break
-        mark = seen.get
-    roots = now.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

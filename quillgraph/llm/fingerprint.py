@@ -130,7 +130,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = table(first_rows(placed), "firsts")
     last_run = first.agg(F.max("_run")).first()[0]
     if last_run is None:
-        return df.select(F.col(id_col), F.lit(0).alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(F.lit(0.0).alias(c) for c in ("near_edited", "near_next")))
+        return df.select(F.col(id_col), F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(F.lit(0.0).alias(c) for c in ("near_edited", "near_next")))
     before = Window.orderBy("_run")
     guests = first.select("id", "text", F.coalesce(F.lag("_run").over(before), F.lit(last_run)).alias("_run")).withColumn("guest", F.lit(True))
     rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)

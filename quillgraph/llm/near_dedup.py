@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, components, table
+from .common import among, components, small, table
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -101,7 +101,7 @@ def _sketches(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in small(batches):
                 ids, sizes, d1, d2, keys = batch.column(0).to_pylist(), [], [], [], []
                 for text in batch.column(1):
                     whole, found = shingle_set(text.as_py(), width)
@@ -119,7 +119,7 @@ def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = lru_cache(64)(lambda text: shingle_set(text, width)[1])
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in small(batches):
                 out = []
                 for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     p, q = sets(x), sets(y)
@@ -134,7 +134,7 @@ def _confirm(width: int, percent: int):
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in small(batches):
                 for one, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     found = shingle_set(text.as_py(), width)[1].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), one, np.int64)), pa.array(found)], names=["id", "shingle"])
@@ -201,8 +201,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rest = table(rest.join(lone, "id", "left").select("bucket", "id", "n", F.coalesce("u", F.lit(0)).alias("u"), F.xxhash64("bucket", "id").alias("h")).filter(f"100 * (n - u) >= {percent} * n"), "rest")
         while True:
             open_ = table(_open(rest, roots), "open")
-            small = open_.filter(f"size <= {SMALL}")
-            left, right = (small.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "u", "root"))) for s in "ab")
+            tiny = open_.filter(f"size <= {SMALL}")
+            left, right = (tiny.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "u", "root"))) for s in "ab")
             few = left.join(right, "bucket").filter("ida < idb and roota <> rootb").filter(_could(percent))
             large = open_.filter(f"size > {SMALL}")
             star = large.groupBy("bucket").agg(F.min(F.struct("h", F.col("id").alias("ida"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("root").alias("roota"))).alias("c"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 
 WINDOW = 1024
 #: The id after each document.
@@ -52,7 +52,7 @@ def _tokens(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             ids, counts, starts = [], [], []
             for text in batch.column(1):
                 own = encoder.encode(text.as_py() or "", allowed_special="all")
@@ -68,7 +68,7 @@ def _tokens(path: str, end: int):
 
 def _cut(window: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for doc, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
@@ -111,10 +111,10 @@ def with_crc(pieces: DataFrame) -> DataFrame:
     names = [c for c in pieces.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(batch.schema.get_field_index("ids"))
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            sums = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.int64())], names=[*names, "ids_crc32"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "ids")

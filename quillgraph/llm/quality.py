@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small
+
 #: Marks of menus, breadcrumbs and tables written into a line.
 SEPARATOR = r"[|»›•·>]"
 SYMBOL = r"[#*$%&|<>]"
@@ -124,7 +126,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [judge(t.as_py(), limits) for t in batch.column(1)]
             own = [batch.column(0), *(pa.array([r[k] for r, _ in rows], t) for k, t in KINDS.items())]
             if texts:
@@ -144,7 +146,7 @@ def clean_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [judge(t.as_py(), limits) for t in batch.column(at)]
             keep = pa.array([r["kept"] for r, _ in rows], pa.bool_())
             columns = list(batch.columns)

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small
+
 #: Candidates by kind. Group 1, if there is one, is the secret; the rest is its context.
 PATTERNS = {
     "cloud_key": r"\b((?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16})\b",
@@ -238,7 +240,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     forest, kind = trained(), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = scan(batch.column(1).to_pylist(), forest, threshold)
             rows = [[dict(zip(("start", "end", "kind", "score", "secret"), x, strict=True)) for x in own] for own in found]
             yield pa.RecordBatch.from_arrays(
@@ -267,7 +269,7 @@ def redact_documents(df: DataFrame, text_col: str = "text", threshold: float = T
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(at).to_pylist()
             clean = [t if t is None else redacted(t, own) for t, own in zip(texts, scan(texts, forest, threshold), strict=True)]
             columns = list(batch.columns)

@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, scratch_root
+from .common import lower_ascii, scratch_root, small
 
 #: The largest index that is handed to every executor.
 MAX_BYTES = 1 << 30
@@ -142,7 +142,7 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], id_col: str = "page_id", ur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(SparkFiles.get(name))
-        for batch in batches:
+        for batch in small(batches):
             asked, owner = [], []
             for i, (host, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if host or path:

@@ -1,0 +1,48 @@
+"""Every query with SQL against DuckDB, and the pipeline's stages against their definitions."""
+
+import math
+from collections import Counter
+
+import duckdb
+import pytest
+
+from quillgraph.llm import queries
+
+D = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    return round(v, 6) if isinstance(v, float) and math.isfinite(v) else v
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    cursor = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in cursor.description]
+    df = queries.QUERIES[name](spark, D)
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(tuple(plain(r[n]) for n in names) for r in df.collect()) == Counter(tuple(map(plain, r)) for r in cursor.fetchall())
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{D}/documents.parquet").cache()
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    clean = pipeline.quality_stage(spark, docs, D).cache()
+    kept = {r.doc_id for r in clean.collect()}
+    assert kept == {r.doc_id for r in queries.QUERIES["op3_quality_rules"](spark, D).collect() if r.kept} and kept < ids
+    one = pipeline.dedup_stage(spark, clean, D).cache()
+    texts = {r.doc_id: r.text for r in one.collect()}
+    assert set(texts) <= kept and len(set(texts.values())) == len(texts)
+    safe = pipeline.secrets_stage(spark, one, D)
+    assert {r.doc_id for r in safe.collect()} == set(texts)
+    mixed = pipeline.mixing_stage(spark, safe, D)
+    assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
+    packed = pipeline.packing_stage(spark, mixed, D).collect()
+    assert sorted({p.sequence_id for p in packed}) == list(range(1 + max(p.sequence_id for p in packed)))
+    again = pipeline.run(spark, D).collect()  # in another order, so cut elsewhere
+    assert sum(p.length for p in again) == sum(p.length for p in packed)
+    assert pipeline.packing_stage(spark, pipeline.mixing_stage(spark, pipeline.secrets_stage(spark, pipeline.dedup_stage(spark, pipeline.quality_stage(spark, docs.limit(0), D), D), D), D), D).count() == 0
