@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table, words
 
 BLOCK = 2048
-CELL_ROWS, MANY = 250_000, 1 << 16
+CELL_ROWS, MANY = 4_096, 1 << 16
 MAX_SOURCES = 1 << 20
 SEED = 17
 
@@ -140,8 +140,7 @@ def mixed_documents(df: DataFrame, weights: Sequence[float] = (1, 2, 3), most: f
     Documents are kept whole: the one that the target's end cuts goes in if at least half of it lies before the end, and
     every document that the mix would leave out entirely stays out. n_chars is that of the text.
     """
-    names = df.columns
-    kept = table(df.withColumn("_row", F.monotonically_increasing_id()), "mixed")
-    pieces = mix(kept.select(F.col("_row").alias("doc_id"), "text", "source"), weights=weights, most=most, seed=seed)
-    times = pieces.filter("length > 0").groupBy("id", "size", "copy").agg(F.sum("length").alias("words")).filter("2 * words >= size").select(F.col("id").alias("_row"), "copy")
-    return kept.join(times, "_row").select(*names)
+    kept = table(df.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "mixed")
+    pieces = mix(kept.select(F.col("row").alias("doc_id"), "doc.text", "doc.source"), weights=weights, most=most, seed=seed)
+    times = pieces.filter("length > 0").groupBy("id", "size", "copy").agg(F.sum("length").alias("words")).filter("2 * words >= size").select(F.col("id").alias("row"), "copy")
+    return kept.join(times, "row").select("doc.*")
