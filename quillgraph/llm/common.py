@@ -15,7 +15,20 @@ from ..scratch import scratch_root, table  # noqa: F401
 WHITE = "\\x20\\x09-\\x0D"
 
 
+#: Rows of an Arrow batch where they are texts: a batch of the usual 10,000 would fill tens of MB in the JVM and in Python.
+BATCH_ROWS = 1_000
+
+
+def for_texts(spark: SparkSession) -> None:
+    """Make Arrow batches of this session small, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    for_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

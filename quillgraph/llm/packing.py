@@ -80,18 +80,20 @@ def _cut(window: int, kind: pa.DataType):
                     start += length
             kinds = [kind, *[pa.int64()] * 5]
             arrays = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
+            sums = pa.array([zlib.crc32(x[6].tobytes()) for x in out], pa.int64())
             flat = np.concatenate([x[6] for x in out]).astype(np.int32) if out else np.empty(0, np.int32)
             ends = np.cumsum([0, *(x[2] for x in out)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*arrays, sums, ids], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"])
 
     return run
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """(id_col, start, length, doc_tokens, sequence_id, offset, ids): the pieces of documents, at least one for each row of df.
+    """(id_col, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids): the pieces of documents, at least one for each row of df.
 
     A document is the ids of its text and then `end`. A piece is its ids from `start` on; it lies at `offset` of
-    sequence `sequence_id`, all sequences but the last are full, and the last is padded to `window` by whoever reads
+    sequence `sequence_id`; ids_crc32 is unsigned, over little-endian unsigned 32-bit ids. All sequences but the last are full, and the last is padded to `window` by whoever reads
     it. A null or empty text is its end alone. Ids of documents may be null or repeat; other columns of df don't matter.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -102,20 +104,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     offsets = parts.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part0"))
     placed = own.join(F.broadcast(offsets), "part").select("id", (F.col("part0") + F.col("before")).alias("at"), "n", "ids")
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    pieces = placed.mapInArrow(_cut(window, arrow), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    pieces = placed.mapInArrow(_cut(window, arrow), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids array<int>")
     return pieces.withColumnRenamed("id", id_col)
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32 in place of ids: unsigned, over little-endian unsigned 32-bit ids."""
-    names = [c for c in pieces.columns if c != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            sums = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.int64())], names=[*names, "ids_crc32"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "ids")
-    return pieces.mapInArrow(run, f"{schema}, ids_crc32 long")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat, fingerprint, langid, mixing, packing, quality, secrets, shard, url_filter
 from .common import read
@@ -46,7 +45,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack(read(spark, sf_dir, "documents")))
+    return packing.pack(read(spark, sf_dir, "documents")).drop("ids")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +112,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - lost >= 0.5 * word_chars AS kept, n_failed_lines, CAST(lost AS BIGINT) AS lost_chars FROM figures
     """,
+    "op4_sharding": """
+        WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        base AS (SELECT k, doc_id, length(h) // 2 + 1 AS size, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS key, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS tie,
+            xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) AS crc FROM docs, tab),
+        lined AS (SELECT *, row_number() OVER w AS r, sum(size) OVER w - size AS lo, sum(size) OVER () AS total FROM base WINDOW w AS (ORDER BY key, tie, doc_id NULLS FIRST, k ROWS UNBOUNDED PRECEDING)),
+        dealt AS (SELECT *, CAST(least(15, (2 * lo + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM lined)
+        SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, r - min(r) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+    """,
     "op6_chat_format": """
         WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                       UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),

@@ -168,8 +168,7 @@ def test_packing(spark, odd):
             assert offset == at
             at += length
         assert at == 64 or s == max(seqs)
-    crc = {(r.sequence_id, r.offset): r.ids_crc32 for r in packing.with_crc(made).collect()}
-    assert all(crc[s, o] == zlib.crc32(np.array(p.ids, "<u4").tobytes()) for s, o, p in line)
+    assert all(p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) for _, _, p in line)
     assert packing.pack(df.limit(0)).collect() == []
 
 
