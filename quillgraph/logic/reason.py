@@ -8,7 +8,7 @@ grow, so the rounds are at most as many as the longest chain of rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.names import literal_matches
@@ -40,9 +40,9 @@ def conclusions(theory: Theory) -> DataFrame:
     state = table(lits.select("literal", *(F.lit(False).alias(n) for n in NAMES)), "state")
     n = 0
     while True:
-        state = table(_round(lits, rules, body, facts, sup, state), "state")
-        now = state.agg(*(F.count_if(n) for n in NAMES)).first()
-        now = sum(now)
+        seen = Observation()
+        state = table(_round(lits, rules, body, facts, sup, state), "state", seen, *(F.count_if(c).alias(c) for c in NAMES))
+        now = sum(seen.get.values())
         if now == n:
             break
         n = now

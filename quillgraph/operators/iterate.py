@@ -87,11 +87,11 @@ def shortest_path(edges: DataFrame, a: str, b: str, max_depth: int = 10) -> Data
     for depth in range(1, max_depth + 1):
         step = front.join(steps, front["node"] == steps["source"]).select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
         new = step.groupBy("node").agg(F.min("path").alias("path")).join(seen_nodes.select("node"), "node", "left_anti")
-        front = table(new, "front")
-        hit = front.filter(F.col("node") == b)
-        if not hit.isEmpty():
-            return hit.select(F.lit(depth).alias("hops"), "path")
-        if front.isEmpty():
+        seen = Observation()
+        front = table(new, "front", seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == b).alias("hits"))
+        if seen.get["hits"]:
+            return front.filter(F.col("node") == b).select(F.lit(depth).alias("hops"), "path")
+        if not seen.get["n"]:
             break
         seen_nodes = seen_nodes.select("node").unionByName(front.select("node"))
     return spark.createDataFrame([], "hops int, path array<string>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, hashes, names
 from ..logic import reason
 from ..logic.rules import Theory, edge_facts
-from ..operators import access, feed, graph, history, hooks, html, merge, merkle, predicate, search
+from ..operators import access, export, feed, find, graph, history, hooks, html, merge, merkle, predicate, search
 from ..sources import markdown, vault
 from ..streaming import watch
 from . import model
@@ -557,6 +557,13 @@ def access_violations(s, d):
     return access.violations(asked.filter("action = 'edit'"), users, scopes)
 
 
+@query("access_reasoned", f"""WITH {_ACL}, few AS (SELECT c_name FROM customer WHERE c_custkey < 60) SELECT "user", page, action, own OR action = 'read' OR ((admin OR editor) AND NOT barred) AS allowed, CASE WHEN own THEN '+D' WHEN action = 'read' OR ((admin OR editor) AND NOT barred) THEN '+d' ELSE '-d' END AS tag FROM acl WHERE "user" IN (SELECT c_name FROM few)""")
+def access_reasoned(s, d):
+    asked, users, scopes = _acl(s, d)
+    few = read(s, d, "customer").filter("c_custkey < 60").select(F.col("c_name").alias("user"))
+    return access.evaluate(asked.join(few, "user", "left_semi"), users, scopes)
+
+
 @query("grant_states", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN e AND r THEN 'expired_revoked' WHEN e THEN 'expired' WHEN r THEN 'revoked' ELSE 'active' END AS state FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') <= '1996-01-01' AS e, o_orderkey % 3 = 0 AS r FROM orders)) GROUP BY 1")
 def grant_states(s, d):
     g = read(s, d, "orders").select(S("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("expires_at"), (F.col("o_orderkey") % 3 == 0).alias("revoked"))
@@ -569,6 +576,52 @@ def visible_pages(s, d):
     return access.visible(c.select(F.col("c_name").alias("slug")), c.filter("c_custkey % 9 = 0").select(F.col("c_name").alias("slug")))
 
 
+# written forms and whole searches
+
+
+@query("export_counts", f"WITH {model.GRAPH} SELECT (SELECT count(*) FROM (SELECT page FROM pages_ UNION SELECT source FROM edges_ UNION SELECT target FROM edges_)) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT source, target FROM edges_)) AS edges")
+def export_counts(s, d):
+    rows = export.graph_json(model.edges(s, d), model.pages(s, d)).filter("part = 'counts'")
+    return rows.select(F.from_json("value", "nodes long, edges long").alias("v")).select("v.*")
+
+
+@query("index_json_rows", f"WITH {model.GRAPH} SELECT 'node' AS part, count(DISTINCT page) AS n FROM pages_ UNION ALL SELECT 'edge', count(*) FROM (SELECT DISTINCT source, target, predicate FROM edges_)")
+def index_json_rows(s, d):
+    return export.index_json(model.edges(s, d), model.pages(s, d)).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("history_json_rows", f"WITH {model.DAYS} SELECT 'vault' AS part, least(10, count(DISTINCT seq)) AS n FROM days_ UNION ALL SELECT 'page', count(DISTINCT page) FROM days_")
+def history_json_rows(s, d):
+    return export.history_json(_snapshots(s, d), model.days(s, d)).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("feed_catalog", f"WITH {_I} SELECT o_orderpriority AS scope, o_orderpriority || '/' AS prefix, count(*) AS items FROM orders GROUP BY 1, 2")
+def feed_catalog(s, d):
+    scopes = read(s, d, "orders").select(F.col("o_orderpriority").alias("scope"), F.concat("o_orderpriority", F.lit("/")).alias("prefix")).distinct()
+    return export.catalog(scopes, _items(s, d))
+
+
+@query("full_text_hits", """SELECT CAST(doc_id AS VARCHAR) AS path, CAST(n AS INTEGER) AS line, CAST(strpos(lower(line), 'nicht') AS INTEGER) AS "column" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+    WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])nicht($|[^\\p{L}\\p{N}])')) WHERE strpos(lower(line), 'nicht') > 0""")
+def full_text_hits(s, d):
+    pages = read(s, d, "documents").select(S("doc_id").alias("page"), S("doc_id").alias("path"), F.col("text").alias("content"))
+    heads = pages.limit(0).select("path", F.lit(1).alias("line"), F.lit("").alias("text"), F.lit(1).alias("level"))
+    return find.full_text(pages, heads, "nicht", 1_000_000).select("path", "line", "column")
+
+
+@query("page_by_name", "SELECT n_name AS page, 0 AS distance FROM nation WHERE n_nationkey = 7")
+def page_by_name(s, d):
+    pages = read(s, d, "nation").select(F.col("n_name").alias("page"), F.concat("n_name", F.lit(".md")).alias("path"))
+    return find.find_page(pages, "nation-7")
+
+
+@query("mixed_parsers", "SELECT 'ledger' AS hook, CAST(o_orderkey AS VARCHAR) AS path, 'markdown' AS parser FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 1")
+def mixed_parsers(s, d):
+    pages = read(s, d, "orders").select(S("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 2 == 1, "markdown").otherwise("ledger").alias("parser"), F.to_json(F.struct("o_orderstatus")).alias("frontmatter"))
+    picks = {"ledger": predicate.selector(["*"], where="o_orderstatus == 'P'")}
+    return find.mixed_parsers(pages, picks, {"ledger": "ledger"})
+
+
 # html
 
 
