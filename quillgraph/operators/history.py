@@ -72,18 +72,25 @@ def vault_history(snapshots: DataFrame, links: DataFrame) -> DataFrame:
 def page_history(snapshots: DataFrame, links: DataFrame) -> DataFrame:
     """(page, seq, event, added, removed) where a page appears, disappears or changes its targets.
 
-    Each page is followed over all snapshots(seq) from the first that has it.
+    A page's states are compared with their neighbours by the number of their snapshot(seq): a gap is a disappearance
+    right after the earlier one and an appearance at the later one. So rows are the states there are, not pages times
+    snapshots.
     """
-    state = links.groupBy("page", "seq").agg(F.sort_array(F.collect_set("target")).alias("targets"))
-    born = state.groupBy("page").agg(F.min("seq").alias("born"))
-    grid = born.join(snapshots.select("seq").distinct(), F.col("seq") >= F.col("born")).select("page", "seq")
-    full = grid.join(state, ["page", "seq"], "left")
-    order = Window.partitionBy("page").orderBy("seq")
-    seen = full.withColumn("old", F.lag("targets").over(order))
+    order = Window.orderBy("seq")
+    ranks = snapshots.select("seq").distinct().withColumn("rank", F.row_number().over(order)).withColumn("next_seq", F.lead("seq").over(order))
+    state = links.groupBy("page", "seq").agg(F.sort_array(F.collect_set("target")).alias("targets")).join(ranks, "seq")
+    own = Window.partitionBy("page").orderBy("rank")
+    near = state.withColumn("was", F.lag(F.struct("rank", "targets")).over(own)).withColumn("then", F.lead("rank").over(own))
     none = F.array().cast("array<string>")
-    event = F.when(F.col("old").isNull() & F.col("targets").isNotNull(), "appeared").when(F.col("old").isNotNull() & F.col("targets").isNull(), "disappeared").when(F.col("old") != F.col("targets"), "changed")
-    out = seen.withColumn("event", event).filter("event is not null")
-    return out.select("page", "seq", "event", F.array_except(F.coalesce("targets", none), F.coalesce("old", none)).alias("added"), F.array_except(F.coalesce("old", none), F.coalesce("targets", none)).alias("removed"))
+    kept = F.coalesce(F.col("was.rank") == F.col("rank") - 1, F.lit(False))
+    old = F.when(kept, F.col("was.targets")).otherwise(none)
+    here = F.when(~kept, "appeared").when(F.col("was.targets") != F.col("targets"), "changed")
+    gone = F.col("next_seq").isNotNull() & F.coalesce(F.col("then") > F.col("rank") + 1, F.lit(True))
+    events = F.array(
+        F.when(here.isNotNull(), F.struct("seq", here.alias("event"), F.array_except("targets", old).alias("added"), F.array_except(old, "targets").alias("removed"))),
+        F.when(gone, F.struct(F.col("next_seq").alias("seq"), F.lit("disappeared").alias("event"), none.alias("added"), F.col("targets").alias("removed"))),
+    )
+    return near.select("page", F.explode(events).alias("e")).filter("e is not null").select("page", "e.*")
 
 
 def recent_changes(files: DataFrame, limit: int | None = None) -> DataFrame:
