@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, small, table
 
 SAMPLE = 2_000
 #: Buckets of letter triples, and how much less a triple says because its neighbours say it too.
@@ -73,8 +73,14 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """From `sample` labelled rows, those with the smallest hash of their id."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col, lang_col).select(lang_col, text_col).limit(sample).collect()
+    """From `sample` labelled rows, those with the smallest hash of their id.
+
+    A first filter by hash lets about that many through, so that no task sends the driver more than its share.
+    """
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    below = (1 << 40) * min(1.0, 1.3 * sample / max(1, labelled.count()))
+    rows = labelled.filter(draw < below).orderBy(draw, id_col, lang_col).select(lang_col, text_col).limit(sample).collect()
     return TextModel.fit([(r[0], r[1]) for r in rows])
 
 
@@ -82,7 +88,7 @@ def _evidence(model: TextModel, pages: bool, kind: str):
     n = len(model.langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             said, logs, posts = [], [], []
             with np.errstate(over="ignore"):
                 for x in batch.column(1):
