@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import mixing, packing, quality, secrets
-from quillgraph.llm.common import table
+from quillgraph.llm.common import for_texts, table
 from quillgraph.llm.near_dedup import near_duplicates
 
 #: Near copies share 80 of 100 shingles of five words.
@@ -19,11 +19,13 @@ WIDTH, PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail are gone, and so are documents that lose too much or fail the base rules."""
+    for_texts(spark)
     return quality.clean_documents(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; of rows that repeat its id, each."""
+    for_texts(spark)
     found = near_duplicates(docs, width=WIDTH, percent=PERCENT)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -31,6 +33,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; every document stays."""
+    for_texts(spark)
     return secrets.redact_documents(docs)
 
 
@@ -41,6 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
+    for_texts(spark)
     return packing.pack(docs)
 
 
