@@ -8,13 +8,14 @@ full sets.
 
 A star can miss a link between two members of a bucket that don't link to its centres. So after the first components
 are known, buckets that still hold two components are gone through again. Documents whose set holds too many shingles
-that no other such document has cannot link at all and leave; buckets of up to `SMALL` compare the rest pair by pair;
-larger ones become stars with new centres, until a round of stars joins no more components. So a bucket of near copies
-costs its size, not its square.
-
-What can be lost is a linked pair that shares no bucket, (1 - s**4)**32 of pairs with similarity s, 6e-11 at 0.85 and
-5e-8 at 0.8; and a document of a large bucket that links to none of the centres it met but to another member. The
-README has measured figures.
+that no other such document has cannot link at all and leave. Buckets of up to `SMALL` compare the rest pair by pair.
+In larger ones, those outside the component of the bucket's centre are a query set that is compared, in blocks of
+`ASKED` by `MEMBERS`, with all members that share a bucket with them; buckets with one centre are gone through at once.
+So no link inside a bucket is lost, no task holds a bucket, and of near copies, nearly all of which are in the
+component of their centre, few have to ask.
+
+What can be lost is a linked pair that shares no bucket: (1 - s**4)**32 of pairs with similarity s, 6e-11 at 0.85,
+5e-8 at 0.8.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from .common import among, components, small, table
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Buckets whose open members are no more than this are finished pair by pair; larger ones by further stars.
+#: Buckets whose open members are no more than this are finished pair by pair; larger ones in blocks.
 SMALL = 64
+ASKED, MEMBERS = 256, 1024
 
 _U = np.uint64
 _SHIFT = _U(64 - (BINS - 1).bit_length())
@@ -142,6 +144,39 @@ def _shingles(width: int):
     return run
 
 
+def _block(width: int, percent: int):
+    """Links of the asking rows of a block with its other rows: those with which they share a bucket and not the root."""
+
+    def run(block: pa.Table) -> pa.Table:
+        rows = block.to_pylist()
+        others = [r for r in rows if not r["asks"]]
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(others):
+            for bucket in r["buckets"]:
+                by.setdefault(bucket, []).append(i)
+        n, u = (np.array([r[c] for r in others], np.int64) for c in ("n", "u"))
+        root = np.array([r["root"] for r in others], np.int64)
+        sets, out = [None] * len(others), []
+        with np.errstate(over="ignore"):
+            for r in rows:
+                if not r["asks"]:
+                    continue
+                near = np.unique(np.fromiter((i for bucket in r["buckets"] for i in by.get(bucket, ())), np.int64))
+                near = near[root[near] != r["root"]]
+                most = np.minimum(n[near] - u[near], r["n"] - r["u"])
+                near = near[100 * most >= percent * (n[near] + r["n"] - most)]
+                mine = shingle_set(r["text"], width)[1] if len(near) else None
+                for i in near:
+                    if sets[i] is None:
+                        sets[i] = shingle_set(others[i]["text"], width)[1]
+                    both = len(np.intersect1d(mine, sets[i], assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(sets[i]) - both):
+                        out.append((min(r["id"], others[i]["id"]), max(r["id"], others[i]["id"])))
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by their full sets."""
     mine = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
@@ -198,25 +233,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # a shingle that only one of the documents in these buckets has can't be part of what a pair shares
         where = among(texts, "id", rest.select("id").distinct())
         lone = where.mapInArrow(_shingles(width), "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count("*").alias("u"))
-        rest = table(rest.join(lone, "id", "left").select("bucket", "id", "n", F.coalesce("u", F.lit(0)).alias("u"), F.xxhash64("bucket", "id").alias("h")).filter(f"100 * (n - u) >= {percent} * n"), "rest")
-        while True:
-            open_ = table(_open(rest, roots), "open")
-            tiny = open_.filter(f"size <= {SMALL}")
-            left, right = (tiny.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "u", "root"))) for s in "ab")
-            few = left.join(right, "bucket").filter("ida < idb and roota <> rootb").filter(_could(percent))
-            large = open_.filter(f"size > {SMALL}")
-            star = large.groupBy("bucket").agg(F.min(F.struct("h", F.col("id").alias("ida"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("root").alias("roota"))).alias("c"))
-            met = large.join(star, "bucket").select("bucket", "c.*", F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("root").alias("rootb"))
-            many = met.filter("ida <> idb and roota <> rootb").filter(_could(percent))
-            pairs = few.select("ida", "idb", "roota", "rootb").unionByName(many.select("ida", "idb", "roota", "rootb"))
-            new = _links(pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), texts, width, percent)
-            if new.isEmpty():
-                break
+        rest = table(rest.join(lone, "id", "left").select("bucket", "id", "n", F.coalesce("u", F.lit(0)).alias("u")).filter(f"100 * (n - u) >= {percent} * n"), "rest")
+        open_ = table(_open(rest, roots), "open")
+        tiny = open_.filter(f"size <= {SMALL}")
+        left, right = (tiny.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "u", "root"))) for s in "ab")
+        few = left.join(right, "bucket").filter("ida < idb and roota <> rootb").filter(_could(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+        new = _links(few, texts, width, percent)
+        large = open_.filter(f"size > {SMALL}")
+        if not large.isEmpty():
+            new = new.unionByName(_asked(large, centre, roots, texts, width, percent))
+        if not new.isEmpty():
             roots = table(_merged(roots, new), "roots")
-            # small buckets are done, and what was a centre met all others of its bucket
-            rest = table(large.join(star.select("bucket", F.col("c.h").alias("seen")), "bucket").filter("h > seen").select("bucket", "id", "n", "u", "h"), "rest")
-            if rest.isEmpty():
-                break
 
     found = member.select("id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     named = found.groupBy("id").agg(F.min("root").alias("root"))
@@ -229,6 +256,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
+def _asked(large: DataFrame, centre: DataFrame, roots: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links in large buckets, by blocks: (hub, part of those who ask, part of the members)."""
+    at = large.join(centre.select("bucket", F.col("hub.id").alias("hub")), "bucket")
+    rows = at.groupBy("hub", "id", "n", "u", "root").agg(F.collect_set("bucket").alias("buckets"))
+    main = roots.select(F.col("node").alias("hub"), F.col("root").alias("main"))
+    rows = table(rows.join(main, "hub", "left").withColumn("asks", F.col("root") != F.coalesce("main", "hub")).drop("main"), "large")
+    parts = rows.groupBy("hub").agg(F.ceil(F.count_if("asks") / ASKED).alias("nq"), F.ceil(F.count("*") / MEMBERS).alias("nm")).filter("nq > 0")
+    rows = rows.join(parts, "hub")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = rows.filter("asks").withColumn("q", part("nq")).withColumn("m", every("nm"))
+    others = rows.withColumn("asks", F.lit(False)).withColumn("m", part("nm")).withColumn("q", every("nq"))
+    both = asking.select("hub", "q", "m", "id", "n", "u", "root", "buckets", "asks").unionByName(others.select("hub", "q", "m", "id", "n", "u", "root", "buckets", "asks"))
+    full = both.join(texts, "id").groupBy("hub", "q", "m").applyInArrow(_block(width, percent), "a long, b long")
+    return table(full.distinct(), "links")
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The roots after more links: their components are found among the roots alone."""
     of = lambda side: F.coalesce(F.col(f"{side}root"), F.col(side)).alias(side)
@@ -246,6 +290,6 @@ def _rest(inside: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(rest: DataFrame, roots: DataFrame) -> DataFrame:
-    named = rest.join(roots, rest["id"] == roots["node"], "left").select("bucket", "id", "n", "u", "h", F.coalesce("root", "id").alias("root"))
+    named = rest.join(roots, rest["id"] == roots["node"], "left").select("bucket", "id", "n", "u", F.coalesce("root", "id").alias("root"))
     two = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket", "size")
     return named.join(two, "bucket")
