@@ -18,7 +18,7 @@ PER_WORD = 64 // BITS
 #: Bits of a hash below its bin's number; the sign bit stays 0.
 LOW = 63 - (BINS - 1).bit_length()
 #: Rows of one task where documents stand in the order of their ids.
-RUN_ROWS, FEW, MANY = 4_000, 64, 1 << 16
+RUN_ROWS, FEW, MANY = 500, 64, 1 << 16
 
 
 def shingles(text: Column) -> Column:
