@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quillgraph.llm import near_dedup
+from quillgraph.llm.common import among, without
 from quillgraph.llm.near_dedup import near_duplicates
 
 
@@ -52,6 +53,8 @@ def edited(seed, n=250):
 @pytest.mark.parametrize(("width", "percent", "small"), [(3, 85, 64), (5, 80, 6)])
 def test_against_all_pairs(spark, monkeypatch, width, percent, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "ASKED", 9)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 20)
     rows = edited(width)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, width=width, percent=percent).collect()}
@@ -64,3 +67,13 @@ def test_edges(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in near_duplicates(df, width=3, percent=85).collect())
     assert got == [(-1, 0, -1, True), (-1, 2, -1, True), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 8, True), (9, 1, 8, False)]
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("bits", [6, 23])
+def test_bitmap_filters(spark, bits):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(None, "n")], "k long, t string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 700, 7)] + [(None,)], "k long")
+    got = {r.k for r in among(df, "k", keys, bits).collect()}
+    rest = [r.k for r in without(df, "k", keys, bits).collect()]
+    assert got == set(range(0, 500, 7)) and set(rest) == {None, *range(500)} - got and len(rest) == 501 - len(got)
+    assert without(df, "k", keys.limit(0), bits).count() == 501 and among(df, "k", keys.limit(0), bits).count() == 0
