@@ -59,20 +59,26 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
 FILTER_BITS = 23
 
 
+def _bitmap(df: DataFrame, key: str, keys: DataFrame, bits: int) -> DataFrame:
+    """df with `__hit`: false where a row's key is surely not among keys, by a bitmap of at most 2**(bits-6) rows."""
+    at = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    word, bit = F.expr("__at div 64"), F.expr("shiftleft(1L, cast(__at % 64 as int))")
+    bitmap = keys.withColumn("__at", at).groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    marked = df.withColumn("__at", at).withColumn("__word", word).join(F.broadcast(bitmap), "__word", "left")
+    return marked.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__at", "__word", "__bits")
+
+
 def among(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of df whose key is in keys (one column of that name, any size).
 
-    A bitmap of at most 2**(bits-6) rows is broadcast to drop most other rows before the exact semi-join
-    shuffles the rest, so wide rows that no key wants don't move.
+    The broadcast bitmap drops most other rows before the exact join shuffles the rest, so wide rows that no key wants
+    don't move.
     """
-    at = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
-    word, bit = F.expr("_at div 64"), F.expr("shiftleft(1L, cast(_at % 64 as int))")
-    bitmap = keys.withColumn("_at", at).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    kept = (
-        df.withColumn("_at", at)
-        .withColumn("_word", word)
-        .join(F.broadcast(bitmap), "_word")
-        .filter(F.col("_bits").bitwiseAND(bit) != 0)
-        .drop("_at", "_word", "_bits")
-    )
-    return kept.join(keys.select(key).distinct(), key)
+    return _bitmap(df, key, keys, bits).filter("__hit").drop("__hit").join(keys.select(key).distinct(), key)
+
+
+def without(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of df whose key is not in keys; only those that the bitmap can't tell are shuffled."""
+    marked = _bitmap(df, key, keys, bits)
+    unsure = marked.filter("__hit").drop("__hit").join(keys.select(key).distinct(), key, "left_anti")
+    return marked.filter("not __hit").drop("__hit").unionByName(unsure)
