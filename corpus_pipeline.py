@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import mixing, packing, quality, secrets
-from quillgraph.llm.common import for_texts, table
+from quillgraph.llm.common import for_texts, table, without
 from quillgraph.llm.near_dedup import near_duplicates
 
 #: Near copies share 80 of 100 shingles of five words.
@@ -27,8 +27,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; of rows that repeat its id, each."""
     for_texts(spark)
     found = near_duplicates(docs, width=WIDTH, percent=PERCENT)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = table(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return without(docs, "doc_id", gone).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
