@@ -38,6 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def reach(steps: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) of what lies within max_depth of start(node), along steps(source, target); depth is the least."""
     steps = steps.select("source", "target").filter("target is not null")
+    if max_depth > 1:
+        steps = table(steps, "steps")  # read in every round, made once
     found = table(start.select("node", F.lit(0).alias("depth")).distinct(), "reach")
     front = found
     for depth in range(1, max_depth + 1):
@@ -82,7 +84,7 @@ def shortest_path(edges: DataFrame, a: str, b: str, max_depth: int = 10) -> Data
     spark = edges.sparkSession
     if a == b:
         return spark.createDataFrame([(0, [a])], "hops int, path array<string>")
-    steps = edges.select("source", "target").filter("target is not null").distinct()
+    steps = table(edges.select("source", "target").filter("target is not null").distinct(), "steps")
     seen_nodes = front = table(spark.createDataFrame([(a, [a])], "node string, path array<string>"), "front")
     for depth in range(1, max_depth + 1):
         step = front.join(steps, front["node"] == steps["source"]).select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
