@@ -337,8 +337,7 @@ def object_changes(s, d):
 
 
 def _leaves(s, d):
-    li = read(s, d, "lineitem").filter("l_orderkey < 2000")
-    return li.groupBy(S("l_orderkey").alias("path"), "l_linenumber").agg(F.min("l_partkey").alias("p")).select("path", (F.col("l_linenumber") - 1).alias("pos"), F.expr("case when l_linenumber % 4 = 1 then 'heading' when l_linenumber % 4 = 3 then 'rules' else 'paragraph' end").alias("type"), F.expr("cast(case when l_linenumber % 4 = 1 then 1 + p % 3 end as int)").alias("level"), S("p").alias("text"), F.sha2(S("p"), 256).alias("hash"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.expr("case when p % 5 = 0 then 'b' || p end").alias("block_id"))
+    return read(s, d, "lineitem").groupBy(S("l_orderkey").alias("path"), "l_linenumber").agg(F.min("l_partkey").alias("p")).select("path", (F.col("l_linenumber") - 1).alias("pos"), F.expr("case when l_linenumber % 4 = 1 then 'heading' when l_linenumber % 4 = 3 then 'rules' else 'paragraph' end").alias("type"), F.expr("cast(case when l_linenumber % 4 = 1 then 1 + p % 3 end as int)").alias("level"), S("p").alias("text"), F.sha2(S("p"), 256).alias("hash"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.expr("case when p % 5 = 0 then 'b' || p end").alias("block_id"))
 
 
 _LEAVES = """leaves AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_linenumber - 1 AS pos, CASE WHEN l_linenumber % 4 = 1 THEN 'heading' WHEN l_linenumber % 4 = 3 THEN 'rules' ELSE 'paragraph' END AS type, CASE WHEN l_linenumber % 4 = 1 THEN 1 + p % 3 END AS level, sha256(CAST(p AS VARCHAR)) AS hash, CASE WHEN p % 5 = 0 THEN 'b' || p END AS block_id
@@ -383,7 +382,7 @@ def grounding_drift(s, d):
 
 @query("block_id_lookup", f"WITH {_LEAVES}, q AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS path, 'b' || (o_custkey % 20 * 5) AS block_id FROM orders WHERE o_orderkey < 2000) SELECT q.path, q.block_id, arg_min(l.hash, l.pos) AS hash FROM q LEFT JOIN leaves l ON l.path = q.path AND l.block_id = q.block_id GROUP BY 1, 2")
 def block_id_lookup(s, d):
-    q = read(s, d, "orders").filter("o_orderkey < 2000").select(S("o_orderkey").alias("path"), F.concat(F.lit("b"), S_expr("o_custkey % 20 * 5")).alias("block_id")).distinct()
+    q = read(s, d, "orders").select(S("o_orderkey").alias("path"), F.concat(F.lit("b"), S_expr("o_custkey % 20 * 5")).alias("block_id")).distinct()
     return merkle.resolve_block_ids(q, _leaves(s, d)).select("path", "block_id", "hash")
 
 
@@ -393,7 +392,7 @@ def S_expr(e):  # noqa: N802
 
 @query("hash_prefixes", f"WITH {_LEAVES}, q AS (SELECT substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 10) AS prefix FROM part WHERE p_partkey % 3 = 0) SELECT prefix, count(DISTINCT hash) AS n_hashes, CASE count(DISTINCT hash) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM q LEFT JOIN leaves ON starts_with(hash, prefix) GROUP BY 1")
 def hash_prefixes(s, d):
-    q = read(s, d, "part").filter("p_partkey % 3 = 0").select(F.substring(F.sha2(S("p_partkey"), 256), 1, 10).alias("prefix"))
+    q = read(s, d, "part").select(F.substring(F.sha2(S("p_partkey"), 256), 1, 10).alias("prefix"))
     return merkle.resolve_prefixes(q, _leaves(s, d)).select("prefix", "n_hashes", "status")
 
 
