@@ -139,19 +139,19 @@ def did_you_mean(s, d):
 @query("components", f"""WITH RECURSIVE {G}, e AS (SELECT source AS a, target AS b FROM edges_ WHERE predicate IN ('located_in', 'based_in')), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON w.a = r.b) SELECT a AS node, least(min(b), a) AS root FROM r GROUP BY a""")
 def components(s, d):
-    return iterate.components(model.place_edges(s, d), "source", "target")
+    return iterate.components(model.edges(s, d), "source", "target")
 
 
 @query("neighbourhood", f"""WITH RECURSIVE {G}, w AS (SELECT source AS a, target AS b FROM edges_ WHERE predicate IN ('located_in', 'based_in') UNION SELECT target, source FROM edges_ WHERE predicate IN ('located_in', 'based_in')),
     r(node, depth) AS (SELECT 'supplier:3', 0 UNION SELECT w.b, r.depth + 1 FROM r JOIN w ON w.a = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def neighbourhood(s, d):
-    return iterate.neighbourhood(model.place_edges(s, d), "supplier:3", 3)
+    return iterate.neighbourhood(model.edges(s, d), "supplier:3", 3)
 
 
 @query("induced_subgraph", f"""WITH RECURSIVE {G}, p AS (SELECT * FROM edges_ WHERE predicate IN ('located_in', 'based_in')), w AS (SELECT source AS a, target AS b FROM p UNION SELECT target, source FROM p),
     r(node, depth) AS (SELECT 'nation:3', 0 UNION SELECT w.b, r.depth + 1 FROM r JOIN w ON w.a = r.node WHERE r.depth < 2) SELECT source, target, predicate, line FROM p WHERE source IN (SELECT node FROM r) AND target IN (SELECT node FROM r)""")
 def induced_subgraph(s, d):
-    e = model.place_edges(s, d)
+    e = model.edges(s, d)
     return iterate.induced(e, iterate.neighbourhood(e, "nation:3", 2)).select("source", "target", "predicate", "line")
 
 
@@ -164,7 +164,7 @@ def links_depth(s, d):
 @query("backlinks_depth", f"""WITH RECURSIVE {G}, p AS (SELECT * FROM edges_ WHERE predicate IN ('located_in', 'based_in')), r(node, depth) AS (SELECT 'region:1', 0 UNION SELECT e.source, r.depth + 1 FROM r JOIN p e ON e.target = r.node WHERE r.depth < 1)
     SELECT source, target, line, min(depth) + 1 AS hop FROM p e JOIN r ON r.node = e.target GROUP BY 1, 2, 3""")
 def backlinks_depth(s, d):
-    return iterate.linked_within(model.place_edges(s, d), "region:1", 2, backwards=True)
+    return iterate.linked_within(model.edges(s, d), "region:1", 2, backwards=True)
 
 
 @query("shortest_path", f"""WITH RECURSIVE {G}, r(node, depth) AS (SELECT 'order:7', 0 UNION SELECT e.target, r.depth + 1 FROM r JOIN edges_ e ON e.source = r.node WHERE r.depth < 6)
@@ -176,7 +176,7 @@ def shortest_path(s, d):
 @query("closure", f"""WITH RECURSIVE {G}, p AS (SELECT source, target FROM edges_ WHERE predicate IN ('located_in', 'based_in')), r(source, target, hops) AS (SELECT source, target, 1 FROM p UNION SELECT r.source, p.target, r.hops + 1 FROM r JOIN p ON p.source = r.target WHERE r.hops < 3)
     SELECT source, target, min(hops) AS hops FROM r GROUP BY 1, 2""")
 def closure(s, d):
-    return iterate.closure(model.place_edges(s, d), 3)
+    return iterate.closure(model.edges(s, d), 3)
 
 
 @query("check_summary", f"""WITH {G} SELECT 'dead_link' AS kind, 'error' AS level, count(*) AS n FROM edges_ WHERE target NOT IN (SELECT page FROM pages_)
@@ -243,8 +243,7 @@ _B = "http://example.org/v/"
     UNION SELECT st, '{rdf.PROV}wasAttributedTo', s, 'iri' FROM t UNION SELECT st, '{rdf.DCTERMS}source', path || ':' || line, 'literal' FROM t UNION SELECT '{_B}vocabulary', '{rdf.RDF}type', '{rdf.SKOS}ConceptScheme', 'iri'
     UNION SELECT p, '{rdf.RDF}type', '{rdf.SKOS}Concept', 'iri' FROM t UNION SELECT p, '{rdf.SKOS}inScheme', '{_B}vocabulary', 'iri' FROM t UNION SELECT p, '{rdf.SKOS}prefLabel', CASE predicate WHEN 'located_in' THEN 'Located in' ELSE 'Based in' END, 'literal' FROM t""")
 def rdf_triples(s, d):
-    e = model.edges(s, d).filter("source like 'nation:%' or source like 'supplier:%'")
-    return rdf.triples(e, model.pages(s, d), _B, VOCABULARY)
+    return rdf.triples(model.edges(s, d), model.pages(s, d), _B, VOCABULARY)
 
 
 @query("rdf_ntriples")

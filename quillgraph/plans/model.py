@@ -68,14 +68,6 @@ EDGES = f"""edges_ AS (
     UNION ALL SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'supplied_by', NULL, CAST(l_linenumber AS INTEGER) FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= {PAGED}))"""
 GRAPH = f"{PAGES}, {EDGES}"
 
-#: The graph's upper part: places and who is there.
-PLACES = ("located_in", "based_in")
-
-
-def place_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).filter(F.col("predicate").isin(*PLACES))
-
-
 def days(spark: SparkSession, d: str) -> DataFrame:
     """(seq, page, target): the links of each day's snapshot: users as pages, kinds of events as targets."""
     e = read(spark, d, "events")

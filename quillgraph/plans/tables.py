@@ -192,7 +192,7 @@ def embeddings_reused(s, d):
 
 @query("near_filter", f"WITH {model.GRAPH} SELECT DISTINCT source AS page FROM edges_ WHERE predicate = 'based_in' AND target = 'nation:3' AND source LIKE 'customer:%'")
 def near_filter(s, d):
-    e = model.place_edges(s, d)
+    e = model.edges(s, d)
     from ..operators.iterate import neighbourhood
 
     return search.near(model.pages(s, d).filter("page like 'customer:%'").select("page"), neighbourhood(e, "nation:3", 1))
@@ -754,7 +754,7 @@ def what_if(s, d):
 
 @query("edge_facts", f"""WITH {model.GRAPH} SELECT '(' || predicate || ' "' || source || '" "' || target || '")' AS literal, (SELECT min(path) FROM pages_ WHERE page = source) AS path, line FROM edges_ WHERE predicate IN ('located_in', 'based_in')""")
 def edge_facts_(s, d):
-    return edge_facts(model.place_edges(s, d), model.pages(s, d)).select("literal", "path", "line")
+    return edge_facts(model.edges(s, d), model.pages(s, d)).select("literal", "path", "line")
 
 
 # streams, run as batches or to their end

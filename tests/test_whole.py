@@ -94,3 +94,92 @@ def test_blocks_and_prefixes_of_all_files(spark, tables):
     hits = {sha(p)[:10]: sum(h.startswith(sha(p)[:10]) for h in known) for p, _ in t["part"]}
     got = {(r["prefix"], r["n_hashes"], r["status"]) for r in plans.QUERIES["hash_prefixes"](spark, d).collect()}
     assert got == {(p, n, ("not_found", "found", "ambiguous")[min(n, 2)]) for p, n in hits.items()}
+
+
+def edges_of(t):
+    """(source, target, predicate, annotation, line) of every foreign key, repeats included."""
+    paged = {p for p, size in t["part"] if size <= 25}
+    out = [(f"nation:{n}", f"region:{r}", "located_in", None, 1) for n, r in t["nation"]]
+    out += [(f"customer:{c}", f"nation:{n}", "based_in", None, 1) for c, _, n in t["customer"]]
+    out += [(f"supplier:{s}", f"nation:{n}", p, None, k) for s, n in t["supplier"] for p, k in (("based_in", 1), (None, 2))]
+    out += [(f"order:{o}", f"customer:{c}", "placed_by", None, 1) for o, c in t["orders"]]
+    for o, k, p, s, flag in t["lineitem"]:
+        out.append((f"order:{o}", f"part:{p}", "contains", "returned" if flag == "R" else None, k + 1))
+        if p in paged:
+            out.append((f"part:{p}", f"supplier:{s}", "supplied_by", None, k))
+    return out
+
+
+def within(steps, start, depth):
+    """Least depth of each node within depth hops of start."""
+    seen = {start: 0}
+    for hop in range(1, depth + 1):
+        for b in {b for a, b in steps if seen.get(a) == hop - 1} - set(seen):
+            seen[b] = hop
+    return seen
+
+
+def rows(spark, d, name):
+    return sorted(map(tuple, plans.QUERIES[name](spark, d).collect()), key=repr)
+
+
+def test_graph_queries_see_all_links(spark, tables):
+    d, t = tables
+    links = edges_of(t)
+    out = {(e[0], e[1]) for e in links}
+    both = out | {(b, a) for a, b in out}
+    nodes = {x for e in out for x in e}
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in out:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    assert dict(rows(spark, d, "components")) == {x: find(x) for x in nodes}
+    assert dict(rows(spark, d, "neighbourhood")) == within(both, "supplier:3", 3)
+
+    near = within(both, "nation:3", 2)
+    assert rows(spark, d, "induced_subgraph") == sorted(((a, b, p, k) for a, b, p, _, k in links if a in near and b in near), key=repr)
+    back = within({(b, a) for a, b in out}, "region:1", 1)
+    assert rows(spark, d, "backlinks_depth") == sorted({(a, b, k, back[b] + 1) for a, b, _, _, k in links if b in back}, key=repr)
+    assert rows(spark, d, "near_filter") == [(x,) for x in sorted(within(both, "nation:3", 1)) if x.startswith("customer:")]
+
+    after = defaultdict(set)
+    for a, b in out:
+        after[a].add(b)
+    want = {}
+    for a in nodes:
+        front = {a}
+        for hop in (1, 2, 3):
+            front = {c for b in front for c in after[b]}
+            for c in front:
+                want.setdefault((a, c), hop)
+    assert {(a, b): h for a, b, h in rows(spark, d, "closure")} == want
+
+
+def test_facts_and_triples_of_all_links(spark, tables):
+    d, t = tables
+    typed = [e for e in edges_of(t) if e[2]]
+    paths = {f"{k}:{x[0]}": f"{k}/{x[0]}.md" for k, table in (("nation", "nation"), ("customer", "customer"), ("supplier", "supplier"), ("order", "orders")) for x in t[table]}
+    paths |= {f"part:{p}": f"part/{p}.md" for p, size in t["part"] if size <= 25}
+    assert rows(spark, d, "edge_facts") == sorted(((f'({p} "{a}" "{b}")', paths[a], k) for a, b, p, _, k in typed), key=repr)
+
+    base, geo = "http://example.org/v/", "http://example.org/geo#within"
+    iri = lambda x: f"{base}page/{x.replace(':', '%3A')}"
+    name = lambda p: geo if p == "located_in" else f"{base}predicate/{p}"
+    found = rows(spark, d, "rdf_triples")
+    assert len(found) == len(set(found))
+    said = {(s, p, o) for s, p, o, _ in found if s.startswith(f"{base}page/")}
+    assert said == {(iri(a), name(p), iri(b)) for a, b, p, _, _ in typed}
+    about = defaultdict(dict)
+    for s, p, o, _ in found:
+        if s.startswith(f"{base}statement/"):
+            about[s][p.split("/")[-1].split("#")[-1]] = o
+    told = [(x["subject"], x["predicate"], x["object"], x["source"], x.get("comment")) for x in about.values()]
+    assert sorted(told, key=repr) == sorted(((iri(a), name(p), iri(b), f"{paths[a]}:{k}", note) for a, b, p, note, k in typed), key=repr)
+    for written in ("rdf_ntriples", "rdf_turtle", "rdf_jsonld"):
+        assert "/order%3A2000>" in (text := "\n".join(r[0] for r in rows(spark, d, written))) or "/order%3A2000\"" in text
