@@ -59,12 +59,12 @@ def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: float = 3.0, n_shards: int = 16, block: int = BLOCK, seed: int = SEED
 ) -> DataFrame:
-    """The pieces of the mix, at least one row for each row of df: (row, id, source, size, source_size, target, start, length, copy, shard, block, seat).
+    """The pieces of the mix, at least one row for each row of df: (row, id, source, size, source_size, target, start, length, copy, shard, block, seat, at).
 
     Sources in the order of their code points, null last, have the weights by turns. A piece is `length` words of a
-    document from word `start` on, in its copy-th repetition; `block` numbers the blocks of a shard's source and `seat`
-    orders a shard. A row of which the mix takes nothing has one piece of length 0 without shard. `row` tells rows apart
-    that repeat an id. Null texts have no words; null ids are documents like others. Reruns give the same pieces.
+    document from word `start` on, in its copy-th repetition; `block` numbers the blocks of a shard's source, `seat`
+    orders a shard's blocks, and `at` is the word of the source's line where the piece begins. A row of which the mix
+    takes nothing has one piece of length 0 without shard. `row` tells rows apart that repeat an id. Null texts have no words; null ids are documents like others. Reruns give the same pieces.
     """
     spark = df.sparkSession
     tie = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -125,6 +125,7 @@ def mix(
             F.col("b").alias("block"),
             "shard",
             F.when(F.col("b").isNotNull(), F.xxhash64("shard", "sid", "b", F.lit(seed))).alias("seat"),
+            lo.alias("at"),
         )
     )
 
@@ -138,9 +139,14 @@ def mixed_documents(df: DataFrame, weights: Sequence[float] = (1, 2, 3), most: f
     """The texts of the mix with the columns of `documents`: each copy of a document that the mix takes is a row.
 
     Documents are kept whole: the one that the target's end cuts goes in if at least half of it lies before the end, and
-    every document that the mix would leave out entirely stays out. n_chars is that of the text.
+    every document that the mix would leave out entirely stays out. n_chars is that of the text. A copy belongs to the
+    shard that its first block was dealt to; partitions are ranges of shards and their seats, and each is in that order,
+    in a block by the place in the source's line. So a document's copies lie apart as its blocks were dealt.
     """
     kept = table(df.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "mixed")
     pieces = mix(kept.select(F.col("row").alias("doc_id"), "doc.text", "doc.source"), weights=weights, most=most, seed=seed)
-    times = pieces.filter("length > 0").groupBy("id", "size", "copy").agg(F.sum("length").alias("words")).filter("2 * words >= size").select(F.col("id").alias("row"), "copy")
-    return kept.join(times, "row").select("doc.*")
+    first = F.min(F.struct("start", "shard", "seat", "at")).alias("first")
+    times = pieces.filter("length > 0").groupBy("id", "size", "copy").agg(F.sum("length").alias("words"), first).filter("2 * words >= size")
+    placed = kept.join(times.select(F.col("id").alias("row"), "first.shard", "first.seat", "first.at"), "row")
+    order = ("shard", "seat", "at")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")

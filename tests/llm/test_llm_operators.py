@@ -252,3 +252,23 @@ def test_languages(spark):
     assert by["p", 50].lang == "de" and by["p", 52].lang == "fr"
     assert langid.identify(docs.limit(0), pages.limit(0)).collect() == []
     assert {r.lang for r in langid.identify(docs.limit(0), pages).collect()} == {None}
+
+
+def test_mixed_documents_lie_as_they_were_dealt(spark):
+    rows = [(i, f"{i} " + "w " * (i % 37 + 400), f"s{i % 3}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    got = [[r.doc_id for r in part] for part in mixing.mixed_documents(df).rdd.glom().collect()]
+    own = df.select(F.monotonically_increasing_id().alias("row"), "*").collect()
+    ids = {r.row: r.doc_id for r in own}
+    pieces = mixing.mix(spark.createDataFrame([(r.row, r.text, r.source) for r in own], df.schema)).filter("length > 0").collect()
+    copies = defaultdict(list)
+    for p in pieces:
+        copies[p.id, p.copy].append(p)
+    want = []
+    for (row, _), some in copies.items():
+        head = min(some, key=lambda p: p.start)
+        if 2 * sum(p.length for p in some) >= head["size"]:
+            want.append((head.shard, head.seat, head.at, ids[row]))
+    want = [w[3] for w in sorted(want)]
+    assert [i for part in got for i in part] == want and max(Counter(want).values()) > 1
+    assert all(a != b for a, b in zip(want, want[1:], strict=False))
