@@ -183,3 +183,10 @@ def test_facts_and_triples_of_all_links(spark, tables):
     assert sorted(told, key=repr) == sorted(((iri(a), name(p), iri(b), f"{paths[a]}:{k}", note) for a, b, p, note, k in typed), key=repr)
     for written in ("rdf_ntriples", "rdf_turtle", "rdf_jsonld"):
         assert "/order%3A2000>" in (text := "\n".join(r[0] for r in rows(spark, d, written))) or "/order%3A2000\"" in text
+
+
+def test_access_is_reasoned_for_all_customers(spark, tables):
+    d, t = tables
+    found = rows(spark, d, "access_reasoned")
+    assert {r[0] for r in found} == {name for _, name, _ in t["customer"]} and len(found) == 6 * len(t["customer"])
+    assert found == rows(spark, d, "access_decisions")
