@@ -20,15 +20,23 @@ from pyspark.sql import DataFrame
 
 from .common import small
 
+#: A private key: white space or escaped line ends, headers, then all up to its END line. Of a key without one, its lines
+#: of base64, and a short last line that is padded, ends the text or the quotes, or has other characters than letters.
+_BEGIN, _END = (rf"-----{x} [A-Z ]{{0,20}}PRIVATE KEY-----" for x in ("BEGIN", "END"))
+_SPACE = r"(?:\s|\\+[nrt])"
+_HEADER = r"[A-Za-z][A-Za-z0-9-]*+:(?:(?!\\+[nr])[^\r\n])*+"
+_WHOLE = rf"(?:[A-Za-z0-9+/=]|{_SPACE})*+{_END}"
+_TAIL = rf"(?:[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}+|(?=\s*\Z|\\*[\"']))|(?=[A-Za-z]*+[0-9+/])[A-Za-z0-9+/]{{1,15}}+(?=[\r\n]|\\+[nr]))"
+_CUT = rf"[A-Za-z0-9+/]{{16,}}+={{0,2}}+(?:{_SPACE}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{_SPACE}++{_TAIL})?"
 #: Candidates by kind. Group 1, if there is one, is the secret; the rest is its context.
 PATTERNS = {
     "cloud_key": r"\b((?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16})\b",
     "service_token": r"\b((?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}))",
     "web_token": r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
-    "private_key": r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,20000}?-----END [A-Z ]{0,20}PRIVATE KEY-----)?)",
-    "assigned": r"(?i)\b(?:[a-z0-9]{0,20}[_-])?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,256})",
-    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{3,128})@",
-    "opaque": r"(?<![A-Za-z0-9_+/=-])((?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,512}={0,2})(?![A-Za-z0-9_+/=-])",
+    "private_key": rf"({_BEGIN}(?:{_SPACE}*+(?:{_HEADER}{_SPACE}++)*+(?:{_WHOLE}|{_CUT}))?)",
+    "assigned": r"(?i)\b(?:[a-z0-9]{0,20}[_-])?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,})",
+    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{3,}+)@",
+    "opaque": r"(?<![A-Za-z0-9_+/=-])((?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9_+/=-])",
 }
 _patterns = [(k, re.compile(p)) for k, p in PATTERNS.items()]
 #: A text without one of these and without a long run has no candidate.
@@ -113,7 +121,17 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> Iterator[tuple[str, int, in
     names = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret", "db_password")
 
     def secret() -> tuple[str, str, str]:
-        k = int(rng.integers(8))
+        k = int(rng.integers(10))
+        if k == 8:
+            end, kind = pick(("\n", "\n", "\\n", "\\r\\n")), pick(("", "RSA ", "EC ", "ENCRYPTED "))
+            head = pick(("", "", f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,{draw(dig + 'ABCDEF', 32)}{end}{end}"))
+            body = end.join(draw(mixed + "+/", 64) for _ in range(between(1, 12)))
+            return f"{prose(1)} {pick(('', '"', '"key": "'))}", f"-----BEGIN {kind}PRIVATE KEY-----{end}{head}{body}{end}" + pick(("", f"-----END {kind}PRIVATE KEY-----")), f"{pick((end, '"'))}{prose(1)}"
+        if k == 9:
+            value = draw(pick((mixed, mixed, mixed + "+/", hexa)), between(64, 600))
+            if rng.integers(2):
+                return f"{pick(('postgres', 'mysql', 'https', 'amqp'))}://{word()}:", value.replace("/", "+"), f"@{word()}.example.com/{word()}"
+            return f"{prose(2)} {pick(names)}{pick(('=', ': ', ' = ', '=' + chr(34)))}", value, f" {prose(2)}"
         if k == 0:
             return f"{prose(3)} ", pick(("AKIA", "ASIA", "AROA")) + draw(up + dig, 16), f" {prose(2)}"
         if k == 1:
@@ -131,7 +149,9 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> Iterator[tuple[str, int, in
         return f"{pick(('AWS secret', 'secret key', 'login', 'credentials', 'the password is', 'access'))} ", draw(mixed + "+/", 40), f" {prose(2)}"
 
     def other() -> tuple[str, str, str]:
-        k = int(rng.integers(10))
+        k = int(rng.integers(11))
+        if k == 10:
+            return f"{prose(1)} {pick(('src', 'href', 'content'))}=\"data:{pick(('image/png', 'font/woff2'))};base64,", draw(mixed + "+/", between(64, 600)), f"\" {prose(1)}"
         if k == 0:
             return f"{prose(2)} {pick(('commit', 'sha1', 'revision', 'merge', 'build'))} ", draw(hexa, 40), f" {prose(2)}"
         if k == 1:
