@@ -16,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, small, table
 
 SAMPLE = 2_000
+#: Labelled rows that a rare language has in the sample, if there are so many.
+LEAST = 50
 #: Buckets of letter triples, and how much less a triple says because its neighbours say it too.
 BUCKETS, TEMPER, SMOOTH = 1 << 15, 0.25, 0.5
 #: Pages that a domain's, or a host's, higher level counts for.
@@ -73,14 +75,23 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """From `sample` labelled rows, those with the smallest hash of their id.
+    """From labelled rows of every language that any row has: its share of `sample`, and at least `LEAST` or all it has.
 
-    A first filter by hash lets about that many through, so that no task sends the driver more than its share.
+    Of a language those with the smallest hashes are drawn, so at most `sample` rows and `LEAST` for each language. A
+    first filter by hash lets about that many through, and always the smallest, so that no task sends the driver more
+    than its share.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
-    below = (1 << 40) * min(1.0, 1.3 * sample / max(1, labelled.count()))
-    rows = labelled.filter(draw < below).orderBy(draw, id_col, lang_col).select(lang_col, text_col).limit(sample).collect()
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()
+    if not known:
+        return TextModel.fit([])
+    whole = sum(r["n"] for r in known)
+    quota = {r["lang"]: max(LEAST, sample * r["n"] // whole) for r in known}
+    bounds = [(r["lang"], quota[r["lang"]], max(r["first"] + 1, int((1 << 40) * min(1.0, 1.3 * quota[r["lang"]] / r["n"])))) for r in known]
+    most = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long, below long"))
+    drawn = labelled.join(most, "lang").filter("draw < below").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id")))
+    rows = drawn.filter("k <= most").select("lang", "text").collect()
     return TextModel.fit([(r[0], r[1]) for r in rows])
 
 

@@ -292,3 +292,13 @@ def test_long_secrets_are_redacted_whole(spark):
     }
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact_documents(df).collect()} == dict(enumerate(texts.values()))
+
+
+def test_languages_with_few_labels(spark):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(5000)] + [(9000 + i, f"žluťoučký kůň úpěl {i}", "cs") for i in range(3)] + [(None, "ünï", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
+    assert langid.fit_text_model(df, sample=20).langs == ["cs", "en", "xx"]
+    assert langid.fit_text_model(df.limit(0)).langs == []
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    found = {r.doc_id: r.text_lang for r in langid.identify(df, pages).collect()}
+    assert {found[9000 + i] for i in range(3)} == {"cs"} and found[17] == "en"
