@@ -62,7 +62,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "page", text_col: str
     docs.agg(F.count("*").alias("n"), F.avg(F.size(search.tokens(F.col(text_col)))).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def query_index(spark: SparkSession, path: str, query: str, limit: int = search.MOST_HITS) -> DataFrame:
+def query_index(spark: SparkSession, path: str, query: str, limit: int | None = None) -> DataFrame:
     """bm25 over an index on disk; only the shards of the query's terms are read."""
     terms = sorted({t for t in "".join(c.lower() if c.isalnum() else " " for c in query).split()})
     shards = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(SHARDS)).cast("int")).distinct().collect()] if terms else []

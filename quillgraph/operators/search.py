@@ -22,17 +22,18 @@ def postings(docs: DataFrame, id_col: str = "page", text_col: str = "text") -> D
     return each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, n_docs: int, mean_length: float, query: str, limit: int = MOST_HITS) -> DataFrame:
-    """(id, score) of the documents that hold any term of the query, best first; ties by id."""
+def bm25(index: DataFrame, n_docs: int, mean_length: float, query: str, limit: int | None = None) -> DataFrame:
+    """(id, score) of the documents that hold any term of the query, best first; ties by id. All of them without a limit."""
     terms = sorted({t for t in "".join(c.lower() if c.isalnum() else " " for c in query).split()})
     hits = index.filter(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    return hits.join(df, "term").groupBy("id").agg(F.sum(idf * tf).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    ranked = hits.join(df, "term").groupBy("id").agg(F.sum(idf * tf).alias("score")).orderBy(F.desc("score"), "id")
+    return ranked if limit is None else ranked.limit(limit)
 
 
-def search(docs: DataFrame, query: str, limit: int = MOST_HITS, id_col: str = "page", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int | None = None, id_col: str = "page", text_col: str = "text") -> DataFrame:
     """bm25 over documents that aren't indexed. Only the query's terms leave the scan; sizes come from the same pass's totals."""
     sized = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
     totals = sized.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean")).first()

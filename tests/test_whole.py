@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from quillgraph import plans
+from quillgraph.operators import find, search
 
 N = 30
 
@@ -190,3 +191,11 @@ def test_access_is_reasoned_for_all_customers(spark, tables):
     found = rows(spark, d, "access_reasoned")
     assert {r[0] for r in found} == {name for _, name, _ in t["customer"]} and len(found) == 6 * len(t["customer"])
     assert found == rows(spark, d, "access_decisions")
+
+
+def test_search_returns_all_documents(spark):
+    docs = spark.range(10_050).selectExpr("id AS page", "'one word' AS text")
+    assert search.search(docs, "word").count() == 10_050 and search.search(docs, "word", 7).count() == 7
+    pages = docs.selectExpr("cast(page AS string) AS page", "cast(page AS string) AS path", "text AS content")
+    heads = spark.createDataFrame([], "path string, line int, text string, level int")
+    assert find.full_text(pages, heads, "word", 20_000).count() == 10_050
