@@ -91,24 +91,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both, F.greatest(F.lit(0.0), F.least(F.lit(1.0), est))).when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(0.0)
 
 
-def in_runs(df: DataFrame, key: str) -> DataFrame:
-    """df with a column _run: rows in the descending order of an integer key, null last, cut into runs of a few rows.
+def in_runs(df: DataFrame, key: str, tie: str) -> DataFrame:
+    """df with a column _run: rows in the descending order of an integer key, null last, then of `tie`, cut into runs of a few rows.
 
-    Runs are stretches between approximate quantiles, so one task holds one run however large the table is.
+    Runs are stretches between approximate quantiles of the key, so one task holds one run however large the table is;
+    a run of one key (or of null keys) with too many rows is cut again, evenly by the 64-bit hash `tie`.
     """
-    n = df.agg(F.count(key)).first()[0]
-    runs = min(MANY, max(FEW, n // RUN_ROWS))
+    n, every = df.agg(F.count(key), F.count("*")).first()
+    runs, own = min(MANY, max(FEW, n // RUN_ROWS)), max(RUN_ROWS, every // MANY)
     q = df.agg(F.percentile_approx(key, [i / runs for i in range(1, runs)], 20 * runs)).first()[0] or []
-    cuts = sorted(set(q), reverse=True)
+    # a key that fills more than one stretch has one of its own
+    cuts = sorted(set(q) | {max(a - 1, -(1 << 63)) for a, b in zip(q, q[1:], strict=False) if a == b}, reverse=True)
     steps, k = [], 1
     while k <= len(cuts):
         steps.insert(0, k)
         k *= 2
-    if not cuts:
-        return df.withColumn("_run", F.when(F.col(key).isNull(), 1).otherwise(0))
-    bounds = F.from_json(F.lit(str(cuts)), "array<bigint>")
-    low = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(lo + s <= len(cuts), F.when(F.get(bounds, lo + s - 1) > F.col(key), lo + s).otherwise(lo)).otherwise(lo))
-    return df.withColumn("_run", F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(low))
+    low = F.lit(0)
+    if cuts:
+        bounds = F.from_json(F.lit(str(cuts)), "array<bigint>")
+        low = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(lo + s <= len(cuts), F.when(F.get(bounds, lo + s - 1) >= F.col(key), lo + s).otherwise(lo)).otherwise(lo))
+    coarse = df.withColumn("_run", F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(low).cast("long"))
+    sums = coarse.groupBy("_run").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    over = sums.filter(f"n > {4 * own} and lo <=> hi").select("_run", F.ceil(F.col("n") / own).alias("_parts"))
+    # at most one row for each run, and parts add no more than MANY runs
+    part = F.floor((F.col(tie) / F.lit(2.0**64) + 0.5) * F.col("_parts"))
+    fine = coarse.join(F.broadcast(over), "_run", "left").withColumn("_part", F.least(F.coalesce(part, F.lit(0)), F.coalesce(F.col("_parts") - 1, F.lit(0))))
+    return fine.withColumn("_run", F.col("_run") * F.lit(1 << 32) + F.col("_part")).drop("_part", "_parts")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,24 +129,26 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text of a document keeps its first half, and the first characters of the next document, by descending
     id, take the place of the rest; after the last comes the first. A null text counts as empty, a null id stands last;
-    rows that repeat an id stand in the order of their texts. A single document is its own next.
+    rows that repeat an id stand in the order of their texts' hashes. A single document is its own next. Other columns
+    of df don't matter; an empty table gives an empty one.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = in_runs(docs, "id")
-    order = [F.col("id").desc_nulls_last(), F.col("text")]
-    # the first row of a run is also, as a guest, the last of the run before it
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    placed = in_runs(docs, "id", "tie")
+    order = [F.col("id").desc_nulls_last(), F.col("tie"), F.col("text")]
+    # the first row of a run is also, as a guest, the last of the run before it; texts stay out of the one window over runs
     first = table(first_rows(placed), "firsts")
     last_run = first.agg(F.max("_run")).first()[0]
     if last_run is None:
         return df.select(F.col(id_col), F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(F.lit(0.0).alias(c) for c in ("near_edited", "near_next")))
-    before = Window.orderBy("_run")
-    guests = first.select("id", "text", F.coalesce(F.lag("_run").over(before), F.lit(last_run)).alias("_run")).withColumn("guest", F.lit(True))
+    before = first.select("_run", F.coalesce(F.lag("_run").over(Window.orderBy("_run")), F.lit(last_run)).alias("_before"))
+    guests = first.join(before, "_run").select("id", "text", "tie", F.col("_before").alias("_run")).withColumn("guest", F.lit(True))
     rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)
     own = Window.partitionBy("_run").orderBy(F.col("guest"), *order)
     with_next = rows.withColumn("next", F.lead("text").over(own))
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("substring(coalesce(next, ''), 1, cast(floor(char_length(text) / 2) as int))"))
     made = with_next.select(
-        "id", "text", "_run", "guest",
+        "id", "tie", "text", "_run", "guest",
         F.char_length("text").cast("long").alias("n_chars"),
         fingerprint(F.col("text")).alias("print"),
         F.when(~F.col("guest"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("print")))).alias("e"),
@@ -156,11 +166,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def first_rows(placed: DataFrame) -> DataFrame:
-    """The first row of each run."""
-    top = placed.groupBy("_run").agg(F.max("id").alias("top"))
-    return (
-        placed.join(F.broadcast(top), "_run")
-        .filter(F.col("id").eqNullSafe(F.col("top")))
-        .groupBy("_run", "id")
-        .agg(F.min("text").alias("text"))
-    )
+    """The first row of each run, by the largest id and then the smallest hash."""
+    key = F.struct(F.col("id").isNull(), -F.col("id").cast("decimal(20,0)"), "tie")
+    top = placed.groupBy("_run").agg(F.min(key).alias("key"))
+    return placed.join(F.broadcast(top), "_run").filter(key.eqNullSafe(F.col("key"))).groupBy("_run", "id", "tie").agg(F.min("text").alias("text"))

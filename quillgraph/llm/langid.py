@@ -30,19 +30,56 @@ BUCKETS, TEMPER, SMOOTH = 1 << 15, 0.25, 0.5
 LEAN = 4.0
 CHUNK = 1 << 20
 
-_markup = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})|<meta\b[^>]*content-language[\"']?\s+content\s*=\s*[\"']?([a-z]{2,3})")
-_hidden = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
-_tag = re.compile(r"(?s)<[^>]*>")
+_lang = re.compile(r"(?is)\A<html\b.*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+_equiv = re.compile(r"(?is)\A<meta\b.*?content-language[\"']?\s+content\s*=\s*[\"']?([a-z]{2,3})")
+_opens = re.compile(r"(?i)<(?:html|meta)\b")
+_hides = re.compile(r"(?i)<(script|style|noscript|template)\b|<!--")
+_ends = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
+#: References to characters that there are not; their digits needn't be read as a number.
+_beyond = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
+
+
+def _shown(page: str) -> Iterator[str]:
+    """What lies outside scripts, styles and comments; an element that doesn't end hides nothing. One pass."""
+    at, gone = 0, set()
+    for m in _hides.finditer(page):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in gone:
+            continue
+        end = _ends[kind].search(page, m.end())
+        if end is None:
+            gone.add(kind)
+            continue
+        yield page[at : m.start()]
+        at = end.end()
+    yield page[at:]
+
+
+def _untagged(text: str) -> Iterator[str]:
+    """What lies outside tags; a < without a > after it is text."""
+    at = 0
+    while (i := text.find("<", at)) >= 0 and (j := text.find(">", i)) >= 0:
+        yield text[at:i]
+        at = j + 1
+    yield text[at:]
 
 
 def visible(page: str) -> str:
     """The text of a page without scripts, styles, comments and tags."""
-    return html.unescape(_tag.sub(" ", _hidden.sub(" ", page)))
+    return html.unescape(_beyond.sub(" ", " ".join(_untagged(" ".join(_shown(page))))))
 
 
 def declared(page: str) -> str:
-    m = _markup.search(page)
-    return (m[1] or m[2]).lower() if m else ""
+    """The language that the first html or meta tag with one names, else empty."""
+    at = 0
+    while m := _opens.search(page, at):
+        at = page.find(">", m.start())
+        tag = page[m.start() : at if at >= 0 else len(page)]
+        if found := _lang.match(tag) or _equiv.match(tag):
+            return found[1].lower()
+        if at < 0:
+            break
+    return ""
 
 
 def triples(text: str) -> Iterator[np.ndarray]:
@@ -81,7 +118,7 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     first filter by hash lets about that many through, and always the smallest, so that no task sends the driver more
     than its share.
     """
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40))
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
     known = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()
     if not known:
@@ -125,8 +162,22 @@ def evidence(rows: DataFrame, model: TextModel, id_col: str, body_col: str, host
     return asks.mapInArrow(run, schema)
 
 
-def _sums(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.array(*(F.sum(F.col("post")[i]) for i in range(n))).alias(name))
+#: A key with at least one of so many rows is hot; there are at most so many of them.
+HOT = 1_000
+
+
+def _with_sums(rows: DataFrame, key: str, n: int, every: int, name: str) -> DataFrame:
+    """rows with the sums of post over all rows of the same key, as an array.
+
+    The sums of hot keys, at most HOT rows, go to every task. Rows with a hot key are then dealt out by their ids, the
+    others by their keys.
+    """
+    sums = rows.groupBy(key).agg(F.array(*(F.sum(F.col("post")[i]) for i in range(n))).alias("_sum"), F.count("*").alias("_n"))
+    hot = F.broadcast(sums.filter(F.col("_n") * HOT >= every).select(key, F.col("_sum").alias("_hot")))
+    cold = sums.filter(F.col("_n") * HOT < every).select(F.col(key).alias("_key"), F.col("_sum").alias("_cold"))
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(HOT)).cast("string"))
+    met = rows.join(hot, key, "left").withColumn("_own", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+    return met.join(cold, F.col("_own") == F.col("_key"), "left").withColumn(name, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_own", "_key")
 
 
 def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
@@ -134,7 +185,7 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
 
     For each language: the text's log likelihood, the logs of how often its declaration and its suffix go with the
     language, and the log of its host's prior. Ties go to the first language in order. Without any evidence the whole
-    table's languages decide; rows without text, markup and host get them, too.
+    table's languages decide; rows without text, markup and host get them, too. text_lang is null without text.
     """
     n = len(langs)
     names = F.array(*map(F.lit, langs))
@@ -146,12 +197,14 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
         F.element_at(labels, -1).alias("suffix"),
         F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)).alias("domain"),
     )
-    whole = base.agg(*(F.sum(F.col("post")[i]).alias(f"w{i}") for i in range(n))).first()
-    total = [float(x or 0.0) + 1.0 for x in whole]
+    whole = base.agg(F.count("*"), *(F.sum(F.col("post")[i]).alias(f"w{i}") for i in range(n))).first()
+    every, total = whole[0], [float(x or 0.0) + 1.0 for x in whole[1:]]
     top = [x / sum(total) for x in total]
-    at_domain, at_host = _sums(base, ["domain"], n, "domain_sum"), _sums(base, ["host", "domain"], n, "host_sum")
-    says, ends = _sums(base, ["declared"], n, "declared_sum"), _sums(base, ["suffix"], n, "suffix_sum")
-    met = base.join(at_host.drop("domain"), "host").join(at_domain, "domain").join(says, "declared").join(ends, "suffix")
+    # what markup declares has at most three letters, so its sums are at most 18,253 rows
+    says = base.groupBy("declared").agg(F.array(*(F.sum(F.col("post")[i]) for i in range(n))).alias("declared_sum"))
+    met = base.join(F.broadcast(says), "declared")
+    for key in ("suffix", "domain", "host"):
+        met = _with_sums(met, key, n, every, f"{key}_sum")
     # others of the domain, then others of the host
     rest = lambda c: each(lambda i: F.greatest(F.col(c)[i] - F.col("post")[i], F.lit(0.0)))
     lean = lambda own, up: each(lambda i: (own[i] + LEAN * up[i]) / (add(own) + LEAN))
@@ -164,7 +217,7 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
     best = F.array_max("score")
     return score.select(
         "id", "host", "declared", "suffix",
-        F.get(names, F.array_position("post", F.array_max("post")).cast("int") - 1).alias("text_lang"),
+        F.when(F.exists("log", lambda x: x != 0), F.get(names, F.array_position("post", F.array_max("post")).cast("int") - 1)).alias("text_lang"),
         F.get(names, F.array_position("score", best).cast("int") - 1).alias("lang"),
         (1.0 / add(F.transform("score", lambda s: F.exp(s - best)))).alias("confidence"),
     )

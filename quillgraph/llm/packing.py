@@ -10,8 +10,9 @@ sums is shuffled, and only the last window has padding.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,19 +28,40 @@ WINDOW = 1024
 END = 0
 
 
+#: Texts on which the fast encoder has to agree before it is used.
+PROBES = ("It's 12,345 words;  two\n\n spaces\tand tabs   ", "ünï 漢字 <|endoftext|> x<|endoftext|>", "")
+
+
 @lru_cache(2)
-def _encoder(path: str):
-    """The byte-level BPE whose tokenizers file lies at path, from the ranks beside it.
+def _encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text by the tokenizers file at path.
 
-    Both files hold one vocabulary and give the same ids (tests compare them); the ranks are read by the library that
-    takes a quarter of the time. The special token's string gives its id, as in the tokenizers file.
+    A byte-level BPE whose ranks lie beside its file is read by the library that takes a quarter of the time, if it
+    gives the same ids on PROBES (tests compare more). Its pattern can't take very long runs of white space: texts that
+    it refuses go to the tokenizers library, and so do all texts of other files.
     """
     import public_tokenizers
     import tiktoken
-
-    with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    slow = lambda text: own.encode(text, add_special_tokens=False).ids
+    beside = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(beside):
+        return slow
+    with open(beside, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    if any(fast.encode(t, allowed_special="all") != slow(t) for t in PROBES):
+        return slow
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            return slow(text)
+
+    return encode
 
 
 def default_tokenizer() -> str:
@@ -51,12 +73,11 @@ def default_tokenizer() -> str:
 def _tokens(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        encoder = _encoder(path)
+        encode = _encoder(path)
         for batch in small(batches):
             ids, counts, starts = [], [], []
             for text in batch.column(1):
-                own = encoder.encode(text.as_py() or "", allowed_special="all")
-                own.append(end)
+                own = [*encode(text.as_py() or ""), end]
                 ids.append(np.array(own, "<u4").tobytes() if max(own) >= 1 << 16 else np.array(own, "<u2").tobytes())
                 counts.append(len(own))
                 starts.append(before)
@@ -66,25 +87,25 @@ def _tokens(path: str, end: int):
     return run
 
 
-def _cut(window: int, kind: pa.DataType):
+def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            out: list[tuple] = []
-            for doc, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row, out = [], []
+            for i, (at, n, raw) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 start = 0
                 while start < n:
                     place = (at + start) % window
                     length = min(window - place, n - start)
-                    out.append((doc, start, length, n, (at + start) // window, place, ids[start : start + length]))
+                    row.append(i)
+                    out.append((start, length, n, (at + start) // window, place, ids[start : start + length]))
                     start += length
-            kinds = [kind, *[pa.int64()] * 5]
-            arrays = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
-            sums = pa.array([zlib.crc32(x[6].tobytes()) for x in out], pa.int64())
-            flat = np.concatenate([x[6] for x in out]).astype(np.int32) if out else np.empty(0, np.int32)
-            ends = np.cumsum([0, *(x[2] for x in out)]).astype(np.int32)
+            arrays = [pa.array([x[k] for x in out], pa.int64()) for k in range(5)]
+            sums = pa.array([zlib.crc32(x[5].tobytes()) for x in out], pa.int64())
+            flat = np.concatenate([x[5] for x in out]).astype(np.int32) if out else np.empty(0, np.int32)
+            ends = np.cumsum([0, *(x[1] for x in out)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*arrays, sums, ids], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *arrays, sums, ids], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"])
 
     return run
 
@@ -94,7 +115,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     A document is the ids of its text and then `end`. A piece is its ids from `start` on; it lies at `offset` of
     sequence `sequence_id`; ids_crc32 is unsigned, over little-endian unsigned 32-bit ids. All sequences but the last are full, and the last is padded to `window` by whoever reads
-    it. A null or empty text is its end alone. Ids of documents may be null or repeat; other columns of df don't matter.
+    it. A null or empty text is its end alone. Ids of documents may be null, repeat
+    and have any type; other columns of df don't matter. An empty table has no pieces.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -103,6 +125,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     parts = own.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("sum"))
     offsets = parts.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part0"))
     placed = own.join(F.broadcast(offsets), "part").select("id", (F.col("part0") + F.col("before")).alias("at"), "n", "ids")
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    pieces = placed.mapInArrow(_cut(window, arrow), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids array<int>")
+    pieces = placed.mapInArrow(_cut(window), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids array<int>")
     return pieces.withColumnRenamed("id", id_col)

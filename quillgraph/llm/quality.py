@@ -1,7 +1,7 @@
 """Line-first cleaning of web text.
 
-Every line is judged by itself: does its punctuation look like prose, is it navigation, is it boilerplate, does it
-only repeat itself or shout. Failing lines are removed, and a document that loses too much of its text that way is
+Every line is judged by itself: does its punctuation look like prose (few words end in a doubled mark), is it navigation
+(few marks stand alone), is it boilerplate, does it only repeat itself or shout. Failing lines are removed, and a document that loses too much of its text that way is
 rejected. Before that, two base rules look at the document as a whole.
 """
 
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 
 from .common import small
 
-#: Marks of menus, breadcrumbs and tables written into a line.
-SEPARATOR = r"[|»›•·>]"
 SYMBOL = r"[#*$%&|<>]"
-#: A word that ends in doubled marks, as in "word!!" or "word###".
-TRAILING = r"(?:!!|##|\*\*|\$\$|%%|&&|\?\?|~~|\^\^|==|__|\+\+|--)$"
+#: A mark that stands alone between words, as in menus, breadcrumbs and tables: neither letter nor digit.
+ALONE = r"[^\p{L}\p{N}]"
+#: What a word may end in twice without being noise: letters, digits and dots.
+PLAIN = r"[\p{L}\p{N}.]$"
 #: Two capitals and no small letter.
 SHOUTED = r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$"
 LETTER = r"\p{L}"
@@ -33,7 +33,9 @@ BOILERPLATE = (
     r"javascript is (?:disabled|required)|enable javascript|lorem ipsum|back to top|powered by)\b"
 )
 
-_separator, _symbol, _trailing, _shouted, _letter = map(regex.compile, (SEPARATOR, SYMBOL, TRAILING, SHOUTED, LETTER))
+_symbol, _alone, _plain, _shouted, _letter = map(regex.compile, (SYMBOL, ALONE, PLAIN, SHOUTED, LETTER))
+#: A line without this has no shouted word.
+_capitals = regex.compile(r"\p{Lu}\S*\p{Lu}")
 _boilerplate = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
 
 
@@ -54,18 +56,21 @@ class Limits:
 def failing(line: str, words: list[str], limits: Limits) -> str | None:
     """The rule that a line with words fails, or None."""
     n = len(words)
-    if sum(1 for w in words if len(w) == 1 and _separator.match(w)) >= limits.separators * n:
+    alone = [w for w in words if len(w) == 1]
+    if len(alone) >= limits.separators * n and sum(map(bool, map(_alone.match, alone))) >= limits.separators * n:
         return "navigation"
-    if sum(1 for w in words if _trailing.search(w)) >= limits.trailing * n:
+    doubled = [w for w in words if w[-1] == w[-2:-1]]
+    if len(doubled) >= limits.trailing * n and sum(1 for w in doubled if not _plain.search(w)) >= limits.trailing * n:
         return "punctuation"
     if n <= 20 and _boilerplate.search(line):
         return "boilerplate"
     if n >= limits.long_line:
-        if Counter(words).most_common(1)[0][1] >= limits.one_word * n:
+        if max(Counter(words).values()) >= limits.one_word * n:
             return "repeated"
-        letters = sum(1 for w in words if _letter.search(w))
-        if letters and sum(1 for w in words if _shouted.match(w)) >= limits.shouting * letters:
-            return "shouting"
+        if _capitals.search(line):
+            letters = sum(1 for w in words if _letter.search(w))
+            if letters and sum(1 for w in words if _shouted.match(w)) >= limits.shouting * letters:
+                return "shouting"
     return None
 
 

@@ -1,4 +1,8 @@
-"""The registered queries of the operators and their SQL for the driver's comparison."""
+"""The registered queries of the operators and their SQL for the driver's comparison.
+
+SQL has no tokenizer, no MinHash, no random forest, no fused language model and no draws of a splitting tree: those
+queries are tested against brute force.
+"""
 
 from __future__ import annotations
 
@@ -95,8 +99,8 @@ ORACLES: dict[str, str] = {
         WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
         lines AS (SELECT k, line, i, {_WORDS.format('line')} AS w FROM (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)),
         judged AS (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY k, line ORDER BY i) > 1 AS again,
-            len(list_filter(w, lambda x: regexp_full_match(x, '[|»›•·>]'))) >= 0.2 * len(w)
-            OR len(list_filter(w, lambda x: regexp_matches(x, '{quality.TRAILING}'))) >= 0.2 * len(w)
+            len(list_filter(w, lambda x: regexp_full_match(x, '{quality.ALONE}'))) >= 0.2 * len(w)
+            OR len(list_filter(w, lambda x: x[-1] = x[-2:-2] AND NOT regexp_matches(x, '{quality.PLAIN}'))) >= 0.2 * len(w)
             OR (len(w) <= 20 AND regexp_matches(line, '{quality.BOILERPLATE}', 'i'))
             OR (len(w) >= 8 AND (list_max(map_values(list_histogram(w))) >= 0.4 * len(w)
                 OR (len(list_filter(w, lambda x: regexp_matches(x, '{quality.LETTER}'))) > 0 AND
@@ -134,16 +138,4 @@ ORACLES: dict[str, str] = {
                CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
-    "op8_mixing": f"""
-        WITH base AS (SELECT row_number() OVER () AS k, doc_id, source, len({_WORDS.format('text')}) AS size,
-                             CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
-        sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w FROM base GROUP BY source),
-        ordered AS (SELECT *, 3.0::DOUBLE * s AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * s / w, source NULLS LAST) AS i FROM sources),
-        levels AS (SELECT *, (sum(s) OVER () - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                             / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM ordered),
-        goals AS (SELECT source, s, least(cap, w * (SELECT arg_min(level, i) FROM levels WHERE level <= cap / w)) AS target FROM levels),
-        lined AS (SELECT b.*, g.s, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS goal,
-                         sum(size) OVER (PARTITION BY b.source ORDER BY h, doc_id NULLS FIRST, size, k ROWS UNBOUNDED PRECEDING) - size AS lo FROM base b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source)
-        SELECT doc_id, size, s AS source_size, target, CAST(CASE WHEN s = 0 THEN 0 ELSE (goal // s) * size + greatest(0, least(size, goal % s - lo)) END AS BIGINT) AS taken FROM lined
-    """,
 }

@@ -2,21 +2,24 @@
 
 A candidate is a token that some pattern takes for a credential. The forest sees its length, how its characters
 follow each other, how much of it a dictionary covers, whether it stands in a path or an address, and the words beside
-it, and tells credentials from hashes, numbers, identifiers and placeholders. It is trained here, on labelled findings
-that `labelled` makes from a seed: at most `FINDINGS`, so the driver's work doesn't depend on the data. Scanning is one
-pass over whole texts; nothing is shuffled.
+it, and tells credentials from hashes, numbers, identifiers and placeholders. The dictionary is counted over all texts:
+their `VOCABULARY` most frequent words. The forest is trained here, on labelled findings that `labelled` makes from a
+seed and that dictionary: at most `FINDINGS`, so the driver's work doesn't depend on the data. Scanning is one pass over
+whole texts; only counts of words are shuffled.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small
 
@@ -44,17 +47,42 @@ _hint = re.compile(r"(?i)AKIA|ASIA|AGPA|AIDA|AROA|gh[pousr]_|xox|sk-|sk_live|AIz
 WORDS_BESIDE = 3
 THRESHOLD = 0.5
 FINDINGS, TREES, DEPTH, SEED = 6_000, 40, 9, 11
+#: Words of the dictionary, and how long they are.
+VOCABULARY, SHORTEST, LONGEST = 20_000, 4, 12
 
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access", "auth", "credential", "bearer", "login", "private", "key", "aws", "connect")
 SAFE_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "id", "revision", "build", "version", "etag", "integrity", "order", "isbn", "doi", "phone", "card", "example", "test", "dummy", "placeholder", "session", "file", "image", "css", "class")
-#: Words that credentials chosen at random don't hold and placeholders and identifiers do.
-DICTIONARY = (
+#: Words of placeholders and identifiers, which every dictionary has.
+BASE_WORDS = (
     "example|sample|dummy|test|your|my|here|change|changeme|placeholder|insert|replace|password|secret|token|value|string|true|false|null|none|default|user|admin|name|index|image|style|script|"
     "component|module|package|version|release|config|setting|service|server|client|request|response|handler|manager|factory|controller|message|error|table|column|value|return|function|public|private|"
     "static|header|footer|content|article|page|home|about|contact|search|login|account|profile|download|upload|file|path|folder|image|video|audio|date|time|year|month|week|number|count|total|first|last|next|"
     "the|and|for|with|from|this|that|have|not|are|was|all|can|one|two|three"
 ).split("|")
-_dictionary = re.compile("|".join(sorted(set(DICTIONARY), key=len, reverse=True)))
+
+
+def dictionary(df: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> tuple[str, ...]:
+    """The `size` most frequent words of SHORTEST to LONGEST letters in all texts, lower-cased; of equals the first by code point."""
+    found = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")).alias("word")
+    counts = df.select(found).filter(F.char_length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    return tuple(sorted(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()))
+
+
+class Words:
+    """A dictionary that tells how much of a string its words cover, the longest first at each place."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.words = frozenset(words) | {w for w in BASE_WORDS if len(w) >= SHORTEST}
+
+    def covered(self, low: str) -> float:
+        at = total = 0
+        while at < len(low) - SHORTEST + 1:
+            size = next((k for k in range(LONGEST, SHORTEST - 1, -1) if low[at : at + k] in self.words), 0)
+            total += size
+            at += size or 1
+        return total / max(1, len(low))
+
+
 _classes = np.zeros(128, np.int64)
 for _i, _set in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/=_-.")):
     _classes[[ord(c) for c in _set]] = _i + 1
@@ -64,7 +92,7 @@ COMMON_PAIRS = set("th he in er an re on at en nd ti es or te of ed is it al ar
 NAMES = ("length", "entropy", "lower", "upper", "digit", "mark", "changes", "longest_run", "distinct", "pairs", "vowels", "hex", "decimal", "dictionary", "in_path", "in_url", "secret_words", "safe_words", "quoted", "assigned", "known_prefix", "uuid", "repeats", "times_40", "times_32", "times_64")
 
 
-def features(value: str, before: str, after: str, kind: str) -> list[float]:
+def features(value: str, before: str, after: str, kind: str, words: Words) -> list[float]:
     n = max(1, len(value))
     codes = np.frombuffer(value.encode("ascii", "replace"), np.uint8)
     cls = _classes[np.minimum(codes, 127)]
@@ -81,7 +109,7 @@ def features(value: str, before: str, after: str, kind: str) -> list[float]:
     return [
         len(value), float(-(p * np.log2(p)).sum()), float((cls == 1).sum() / n), float((cls == 2).sum() / n), float((cls == 3).sum() / n), float((cls == 4).sum() / n),
         change / n, float(np.diff(runs).max()) if len(runs) > 1 else n, len(p) / n, pairs, sum(c in "aeiou" for c in low) / n, hexa, value.isdigit(),
-        sum(map(len, _dictionary.findall(low))) / n, path, bool(re.search(r"://\S*$", before)), sum(any(s in w for s in SECRET_WORDS) for w in near), sum(w in SAFE_WORDS for w in near + later),
+        words.covered(low), path, bool(re.search(r"://\S*$", before)), sum(any(s in w for s in SECRET_WORDS) for w in near), sum(w in SAFE_WORDS for w in near + later),
         before[-1:] in "\"'" and before != "", bool(re.search(r"(?:=|:)\s*[\"']?$", before)), kind in ("cloud_key", "service_token", "web_token", "private_key"),
         bool(re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", low)), bool(re.search(r"(.)\1{4}", value)) or "xxx" in low, len(value) == 40, len(value) == 32, len(value) == 64,
     ]
@@ -93,29 +121,36 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         return []
     found: list[tuple[int, int, str]] = []
     for kind, pattern in _patterns:
+        new = []
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if all(b <= x or y <= a for x, y, _ in found):
-                found.append((a, b, kind))
-    return sorted(found)
+            # found is in order and without overlaps, so only its last one that begins before b can meet a
+            k = bisect_left(found, (b,))
+            if not k or found[k - 1][1] <= a:
+                new.append((a, b, kind))
+        if new:
+            found = sorted(found + new)
+    return found
 
 
 def context(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - 48) : start], text[end : end + 48]
 
 
-def labelled(n: int = FINDINGS, seed: int = SEED) -> Iterator[tuple[str, int, int, str, int]]:
+def labelled(n: int = FINDINGS, seed: int = SEED, words: tuple[str, ...] = ()) -> Iterator[tuple[str, int, int, str, int]]:
     """Labelled findings (text, start, end, kind, 1 for a secret), half of each label, drawn from a seed.
 
     Secrets are random strings in the forms that services give out; the others are digests, identifiers, file names,
-    placeholders and plain words in the places where they appear.
+    placeholders and plain words in the places where they appear. Their words are those of the dictionary, and syllables.
     """
+    known = [*BASE_WORDS, *words]
     rng = np.random.Generator(np.random.PCG64(seed))
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     draw = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa, mixed = dig + "abcdef", low + up + dig
-    word = lambda: "".join(pick(sorted(COMMON_PAIRS)) for _ in range(int(rng.integers(1, 5))))
+    pairs = sorted(COMMON_PAIRS)
+    word = lambda: pick(known) if rng.integers(2) else "".join(pick(pairs) for _ in range(int(rng.integers(1, 5))))
     prose = lambda k: " ".join(word() for _ in range(k))
     between = lambda a, b: int(rng.integers(a, b + 1))
     names = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret", "db_password")
@@ -167,7 +202,7 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> Iterator[tuple[str, int, in
         if k == 6:
             return f"{pick(('src/', 'assets/', '/usr/lib/', 'img/'))}", f"{word()}_{word()}_{word()}_{draw(hexa, 8)}{draw(dig, 4)}", f".{pick(('js', 'css', 'png'))} {prose(1)}"
         if k == 7:
-            return f"{prose(2)} ", f"{pick(DICTIONARY)}{pick(DICTIONARY).title()}{pick(DICTIONARY).title()}{pick(DICTIONARY).title()}{draw(dig, between(1, 3))}", f"{pick(('(', ' ', '.'))}{prose(1)}"
+            return f"{prose(2)} ", f"{pick(known)}{pick(known).title()}{pick(known).title()}{pick(known).title()}{draw(dig, between(1, 3))}", f"{pick(('(', ' ', '.'))}{prose(1)}"
         if k == 8:
             return f"{prose(2)} ", f"{word()}-{word()}-{draw(dig, 4)}-{word()}-{word()}-{word()}", f" {prose(2)}"
         return f"{prose(1)} {pick(('data', 'image', 'integrity', 'src'))}=\"{pick(('sha384-', 'data/png/', 'base64/'))}", draw(mixed + "+/", between(40, 120)), f"\" {prose(1)}"
@@ -214,6 +249,8 @@ class Forest:
                     best = (float(gain[k]), int(f), float((v[cut[k] - 1] + v[cut[k]]) / 2))
         if best[1] >= 0:
             low = x[:, best[1]] <= best[2]
+            if low.all():
+                return me
             a = self._grow(tree, x[low], y[low], depth - 1, rng)
             b = self._grow(tree, x[~low], y[~low], depth - 1, rng)
             tree[me] = (best[1], best[2], a, b, share)
@@ -230,21 +267,33 @@ class Forest:
         return out / len(self.nodes)
 
 
-def matrix(found: list[tuple[str, int, int, str]]) -> np.ndarray:
-    return np.array([features(t[a:b], *context(t, a, b), kind) for t, a, b, kind in found], np.float64).reshape(len(found), len(NAMES))
+def matrix(found: list[tuple[str, int, int, str]], words: Words) -> np.ndarray:
+    return np.array([features(t[a:b], *context(t, a, b), kind, words) for t, a, b, kind in found], np.float64).reshape(len(found), len(NAMES))
+
+
+class Detector:
+    """The trained forest and its dictionary."""
+
+    def __init__(self, words: tuple[str, ...] = (), n: int = FINDINGS, seed: int = SEED):
+        self.words = Words(words)
+        rows = list(labelled(n, seed, words))
+        self.forest = Forest(seed=seed).fit(matrix([r[:4] for r in rows], self.words), np.array([r[4] for r in rows], np.float64))
+
+    def score(self, found: list[tuple[str, int, int, str]]) -> np.ndarray:
+        """The forest's score of each finding (text, start, end, kind)."""
+        return self.forest.score(matrix(found, self.words))
 
 
-@lru_cache(2)
-def trained(n: int = FINDINGS, seed: int = SEED) -> Forest:
-    rows = list(labelled(n, seed))
-    return Forest(seed=seed).fit(matrix([r[:4] for r in rows]), np.array([r[4] for r in rows], np.float64))
+@lru_cache(4)
+def trained(words: tuple[str, ...] = ()) -> Detector:
+    return Detector(words)
 
 
-def scan(texts: list[str | None], forest: Forest, threshold: float) -> list[list[tuple[int, int, str, float, bool]]]:
+def scan(texts: list[str | None], detector: Detector, threshold: float) -> list[list[tuple[int, int, str, float, bool]]]:
     """(start, end, kind, score, is a secret) of each candidate of each text."""
     spots = [candidates(t or "") for t in texts]
     flat = [(texts[i], *c) for i, own in enumerate(spots) for c in own]
-    scores = iter(forest.score(matrix(flat)).tolist()) if flat else iter(())
+    scores = iter(detector.score(flat).tolist()) if flat else iter(())
     return [[(a, b, kind, s := next(scores), s >= threshold) for a, b, kind in own] for own in spots]
 
 
@@ -255,13 +304,14 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """(id_col, n_candidates, n_secrets, findings): one row for each row of df, texts without candidates included.
 
     A finding is a candidate with its place in code points, its kind, the forest's score and whether it counts as a
-    secret. Null and empty texts have none. Ids may be null or repeat; other columns of df don't matter.
+    secret. Null and empty texts have none; equal texts have equal findings. Ids may be null or repeat; other columns of
+    df don't matter. An empty table gives an empty one.
     """
-    forest, kind = trained(), df.schema[id_col].dataType.simpleString()
+    detector, kind = trained(dictionary(df, text_col)), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found = scan(batch.column(1).to_pylist(), forest, threshold)
+            found = scan(batch.column(1).to_pylist(), detector, threshold)
             rows = [[dict(zip(("start", "end", "kind", "score", "secret"), x, strict=True)) for x in own] for own in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, rows)), pa.int64()), pa.array([sum(x["secret"] for x in own) for own in rows], pa.int64()), pa.array(rows, pa.list_(FINDING))],
@@ -284,14 +334,15 @@ def redact_documents(df: DataFrame, text_col: str = "text", threshold: float = T
     """All rows and columns of df, with each secret in the text replaced by its kind.
 
     The context of a secret, such as a name before an equals sign, stays. n_chars, if there is one, follows the text.
+    Null texts stay null; rows need no key, each is scanned by itself.
     """
-    forest, at, names = trained(), df.columns.index(text_col), df.columns
+    detector, at, names = trained(dictionary(df, text_col)), df.columns.index(text_col), df.columns
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = batch.column(at).to_pylist()
-            clean = [t if t is None else redacted(t, own) for t, own in zip(texts, scan(texts, forest, threshold), strict=True)]
+            clean = [t if t is None else redacted(t, own) for t, own in zip(texts, scan(texts, detector, threshold), strict=True)]
             columns = list(batch.columns)
             columns[at] = pa.array(clean, columns[at].type)
             if size is not None:
