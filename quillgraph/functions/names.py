@@ -177,3 +177,18 @@ def version_satisfies(version: Column, wanted: str) -> Column:
         else:
             ok = ok & {">=": have >= at, "<=": have <= at, ">": have > at, "<": have < at}.get(op, have == at)
     return ok
+
+
+def line_and_column(text: Column, offset: Column) -> tuple[Column, Column]:
+    """The line and column, from 1, of a character that has `offset` before it; beyond the end, those of the end."""
+    before = F.substring(text, F.lit(1), F.least(offset, F.char_length(text)))
+    line = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return line, F.char_length(F.substring_index(before, "\n", -1)) + 1
+
+
+def offset_of(text: Column, line: Column, column: Column) -> Column:
+    """The characters before a line and column; null for a place that the text doesn't have."""
+    rows = F.split(text, "\n")
+    before = F.char_length(F.array_join(F.slice(rows, F.lit(1), F.greatest(line - 1, F.lit(0))), "\n")) + F.when(line > 1, 1).otherwise(0)
+    here = F.get(rows, line - 1)
+    return F.when((line >= 1) & (column >= 1) & (column <= F.char_length(here) + 1), before + column - 1)

@@ -216,3 +216,46 @@ def export(theory: Theory) -> DataFrame:
 
 def _written(c: Column) -> Column:
     return F.when(c.startswith("~"), F.concat(F.lit("(not "), F.substring(c, F.lit(2), F.length(c)), F.lit(")"))).otherwise(c)
+
+
+def explain_failure(theory: Theory, found: DataFrame, literal: str, depth: int = 10) -> DataFrame:
+    """(depth, literal, tag, rule, role, body, lacking, path, line): why a literal isn't provable.
+
+    A row for each rule of role `for`, with those of its body's literals that don't hold, and of role `against`, whose
+    head is the negation. What is lacking is explained in turn, down to `depth`; a literal without rules has one row.
+    """
+    good = found.filter(F.col("tag").isin("+D", "+d")).select("literal").distinct()
+    tags = strongest(found).withColumnRenamed("tag", "_tag")
+    parts = theory.body.join(good.withColumn("ok", F.lit(True)), "literal", "left")
+    bodies = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "literal", F.coalesce("ok", F.lit(False)).alias("ok")))).alias("b"))
+    own = bodies.select("label", F.transform("b", lambda x: x["literal"]).alias("body"), F.transform(F.filter("b", lambda x: ~x["ok"]), lambda x: x["literal"]).alias("lacking"))
+    told = theory.rules.join(own, "label", "left").select("label", "head", "kind", "body", "lacking", "path", "line")
+    pro = told.filter("kind <> 'defeater'").select(F.col("head").alias("q"), F.lit("for").alias("role"), "*")
+    con = told.select(negate(F.col("head")).alias("q"), F.lit("against").alias("role"), "*")
+    sides = table(pro.unionByName(con).drop("head", "kind"), "sides")
+    front = table(found.sparkSession.createDataFrame([(literal,)], "literal string").join(good, "literal", "left_anti"), "front")
+    seen, out = front, None
+    for d in range(depth + 1):
+        rows = front.join(sides, F.col("literal") == F.col("q"), "left").join(tags, "literal", "left").select(F.lit(d).alias("depth"), "literal", F.coalesce("_tag", F.lit("none")).alias("tag"), F.col("label").alias("rule"), "role", "body", "lacking", "path", "line")
+        rows = table(rows, "rows")
+        out = rows if out is None else out.unionByName(rows)
+        front = table(rows.filter("role = 'for'").select(F.explode("lacking").alias("literal")).distinct().join(seen, "literal", "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return out
+
+
+def suggestions(theory: Theory) -> DataFrame:
+    """(literal, rule, action, other): what would settle each literal that is headed both ways.
+
+    `prefer` sets a defeasible rule above one for the other side; `weaken` turns a defeasible rule with a defeasible
+    opponent into a defeater; `remove` drops a defeater that stands against a defeasible rule.
+    """
+    name = F.when(F.col("head").startswith("~"), negate(F.col("head"))).otherwise(F.col("head"))
+    own = theory.rules.filter("kind <> 'strict'").select("label", "kind", "head", name.alias("literal"))
+    left, right = own.select("literal", F.col("label").alias("rule"), F.col("kind").alias("k"), F.col("head").alias("h")), own.select("literal", F.col("label").alias("other"), F.col("kind").alias("ok"), F.col("head").alias("oh"))
+    pairs = left.join(right, "literal").filter("h <> oh and ok = 'defeasible'")
+    prefer = pairs.filter("k = 'defeasible'").select("literal", "rule", F.lit("prefer").alias("action"), "other")
+    alone = pairs.select("literal", "rule", F.when(F.col("k") == "defeater", "remove").otherwise("weaken").alias("action"), F.lit(None).cast("string").alias("other"))
+    return prefer.unionByName(alone).distinct()

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_snake
@@ -161,3 +161,21 @@ def same_blocks(cached: DataFrame, current: DataFrame) -> bool:
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
 
 
+PARTS = ("rules", "body", "facts", "superiority", "errors", "duplicates")
+
+
+def save_theory(theory: Theory, blocks: DataFrame, path: str) -> None:
+    """Keep a theory as tables, with the keys and hashes of the rule blocks that it was built from: blocks(key, ast_hash)."""
+    for name in PARTS:
+        getattr(theory, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    blocks.select("key", "ast_hash").write.mode("overwrite").parquet(f"{path}/blocks")
+
+
+def load_theory(spark: SparkSession, path: str, blocks: DataFrame, edges: DataFrame) -> Theory | None:
+    """The theory kept at path, or None if a rule block changed or any link has a predicate, whose facts it lacks."""
+    if not edges.filter("predicate is not null").isEmpty() or not same_blocks(spark.read.parquet(f"{path}/blocks"), blocks):
+        return None
+    theory = Theory.__new__(Theory)
+    for name in PARTS:
+        setattr(theory, name, spark.read.parquet(f"{path}/{name}"))
+    return theory

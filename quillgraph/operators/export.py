@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,44 @@ def page_predicates(links: DataFrame) -> DataFrame:
     """(source, predicates): the distinct predicates of each page, in the order of their first line."""
     each = links.select("source", "line", F.posexplode("predicates").alias("i", "p")).groupBy("source", "p").agg(F.min(F.struct("line", "i")).alias("at"))
     return each.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("x")).select("source", F.transform("x", lambda e: e["p"]).alias("predicates"))
+
+
+def build_vectors(chunks: DataFrame, known: DataFrame, embed: Callable[[list[str]], list[list[float]]], path: str) -> None:
+    """A vector index on disk of chunks(path, idx, heading, text, content_hash): vectors of equal texts are those of known(content_hash, embedding).
+
+    Only new texts are embedded, each once, by `embed`, which gets a batch of texts in a task.
+    """
+
+    def made(batches):
+        for b in batches:
+            yield pd.DataFrame({"content_hash": b["content_hash"], "embedding": embed(b["text"].tolist())})
+
+    old = known.select("content_hash", "embedding").dropDuplicates(["content_hash"])
+    fresh = chunks.join(old, "content_hash", "left_anti").groupBy("content_hash").agg(F.min("text").alias("text"))
+    every = old.unionByName(fresh.mapInPandas(made, "content_hash string, embedding array<float>"))
+    chunks.select("path", "idx", "heading", "content_hash").join(every, "content_hash").write.mode("overwrite").parquet(path)
+
+
+def store_snapshot(index: DataFrame, root: str, vault_root_hash: str) -> None:
+    """Keep the parsed pages of one state of a vault under its hash."""
+    index.write.mode("overwrite").parquet(f"{root}/{vault_root_hash}")
+
+
+def _snapshots(spark: SparkSession, root: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, sorted(((s.getModificationTime(), s.getPath().getName(), s.getPath()) for s in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+
+
+def load_snapshot(spark: SparkSession, root: str, vault_root_hash: str) -> DataFrame | None:
+    """The pages kept under a hash; None if there are none."""
+    _, found = _snapshots(spark, root)
+    return spark.read.parquet(f"{root}/{vault_root_hash}") if any(name == vault_root_hash for _, name, _ in found) else None
+
+
+def evict_snapshots(spark: SparkSession, root: str, keep: int = 100) -> list[str]:
+    """Remove all but the newest `keep` kept states; returns the hashes that went. The driver lists folders, not rows."""
+    fs, found = _snapshots(spark, root)
+    for _, _, at in found[keep:]:
+        fs.delete(at, True)
+    return [name for _, name, _ in found[keep:]]

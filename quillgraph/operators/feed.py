@@ -171,3 +171,61 @@ def json_feed(items: DataFrame, title: str, link: str, most: int = MOST_ITEMS) -
 
     rows = [json.loads(r[0]) for r in items.limit(most).select(F.to_json(F.struct("id", "url", "title", F.col("summary"), F.col("date_published"), "tags"))).collect()]
     return json.dumps({"version": "https://jsonfeed.org/version/1.1", "title": title, "home_page_url": link, "items": rows}, ensure_ascii=False)
+
+
+def license_url(license_: Column) -> Column:
+    """The address of a known licence, else null."""
+    kind = F.lower(F.regexp_extract(license_, r"^CC-([A-Z-]+)-\d", 1))
+    known = F.when(license_ == "CC0-1.0", "https://creativecommons.org/publicdomain/zero/1.0/")
+    return known.when(license_.isin(*LICENSES), F.concat_ws("/", F.lit("https://creativecommons.org/licenses"), kind, F.right(license_, F.lit(3)), F.lit("")))
+
+
+def inbound(items: DataFrame, subscriptions: DataFrame, own_license: str | None, commercial: bool, words: int = 120) -> DataFrame:
+    """(id, license, license_url, drifted, mode, reason, body) of items(id, subscription, link, rights array, content).
+
+    subscriptions(subscription, license, republish, mode, permitted) say what may be done with a feed's items; an item
+    of none is denied. The body is what may be shown: all, the first sentences, or null. `drifted` tells that a licence
+    set by hand isn't what the item itself states.
+    """
+    from ..sources.markdown import excerpt
+
+    def shown(batches):
+        for b in batches:
+            b["body"] = [t if m == "full" else excerpt(t or "", words) if m == "excerpt" else None for m, t in zip(b["mode"], b["content"], strict=True)]
+            yield b.drop(columns=["content"])
+
+    both = items.join(subscriptions, "subscription", "left")
+    stated = resolve_license(F.lit(None).cast("string"), F.col("link"), [F.array_join("rights", " ")])
+    lic = resolve_license(F.col("license"), F.col("link"), [F.array_join("rights", " ")])
+    hand = license_of(F.col("license"))
+    mode, reason = republication(lic, F.coalesce("republish", F.lit(False)), F.coalesce("mode", F.lit("excerpt")), F.lit(own_license).cast("string"), F.lit(commercial), F.coalesce("permitted", F.lit(False)))
+    drifted = (hand != UNKNOWN) & (stated != UNKNOWN) & (stated != hand)
+    told = both.select("id", lic.alias("license"), license_url(lic).alias("license_url"), drifted.alias("drifted"), mode.alias("mode"), reason.alias("reason"), F.col("content").cast("string").alias("content"))
+    kind = told.schema["id"].dataType.simpleString()
+    return told.mapInPandas(shown, f"id {kind}, license string, license_url string, drifted boolean, mode string, reason string, body string")
+
+
+def retracted(kept: DataFrame, now: DataFrame, at: str) -> DataFrame:
+    """kept(subscription, id, ...) with `retracted_at`: `at` for items that their feed, fetched as now(subscription, id), no longer has.
+
+    A feed that wasn't fetched retracts nothing.
+    """
+    fetched = now.select("subscription").distinct().withColumn("_f", F.lit(True))
+    here = now.select("subscription", "id").distinct().withColumn("_h", F.lit(True))
+    told = kept.join(fetched, "subscription", "left").join(here, ["subscription", "id"], "left")
+    return told.withColumn("retracted_at", F.when(F.col("_f") & F.col("_h").isNull(), F.lit(at))).drop("_f", "_h")
+
+
+#: A part of a path below which pages are for holders of a link only.
+GUARDED = "caps"
+
+
+def cohort_feeds(pages: DataFrame, members: DataFrame, cohorts: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
+    """(cohort, rank, id): the newest pages(slug, id, date_published) of each cohort(cohort, enabled) that its grant, members(cohort, slug), allows.
+
+    Pages below a guarded folder are in no feed, nor are cohorts that aren't enabled.
+    """
+    open_ = pages.filter(~F.col("slug").rlike(rf"(?:^|/){GUARDED}(?:/|$)"))
+    both = open_.join(members.join(cohorts.filter("enabled").select("cohort"), "cohort", "left_semi"), "slug")
+    order = Window.partitionBy("cohort").orderBy(F.desc("date_published"), "id")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("cohort", "rank", "id")

@@ -70,3 +70,19 @@ def mixed_parsers(pages: DataFrame, hooks: dict, expected: dict[str, str]) -> Da
         one = select(pages).filter(F.col("parser") != expected[name]).select(F.lit(name).alias("hook"), "path", "parser")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def page_card(edges: DataFrame, pages: DataFrame, name: str) -> DataFrame:
+    """One row (page, path, description, out_links, backlinks, dead_links) of the page that a name means, or none."""
+    asked = pages.sparkSession.createDataFrame([(name, name)], "raw_target string, target_page string")
+    hit = graph.resolve_names(asked, pages).select(F.col("resolved").alias("page")).filter("page is not null")
+    # at most one row
+    one = F.broadcast(hit)
+    near = edges.join(one, (F.col("source") == F.col("page")) | (F.col("target") == F.col("page")), "left_semi")
+    return pages.join(one, "page").select("page", "path", "description").join(graph.degrees(near, pages), "page")
+
+
+def status(edges: DataFrame, pages: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: pages, links, dead links, orphans, and how many conclusions hold, definitely and at least defeasibly."""
+    own = graph.stats(edges, pages, with_components=False).select("total_pages", "total_links", "dead_links", "orphan_count")
+    return own.crossJoin(found.agg(F.count_if(F.col("tag") == "+D").alias("definite"), F.count_distinct(F.when(F.col("tag").isin("+D", "+d"), F.col("literal"))).alias("provable")))

@@ -110,20 +110,27 @@ def by_predicate(edges: DataFrame) -> DataFrame:
 
 
 def stats(edges: DataFrame, pages: DataFrame, top: int = 10, with_components: bool = True) -> DataFrame:
-    """One row: pages, links, unique_targets, dead_links, ambiguous_links, orphans, connected_components, most_linked."""
+    """One row: pages, links, unique_targets, dead_links, ambiguous_links, orphans, connected_components, most_linked.
+
+    Edges are counted by target once; totals, ghosts, orphans and the most linked all come from those counts.
+    """
+    from ..scratch import table
     from .iterate import components
 
-    known = with_ghosts(edges.select("source", "target"), pages)
-    counted = known.agg(F.count("*").alias("total_links"), F.count_distinct("target").alias("unique_targets"), F.count_if("is_ghost").alias("dead_links"))
-    n_pages = pages.agg(F.count_distinct("page").alias("total_pages"))
-    n_orphans = orphans(edges, pages).agg(F.count("*").alias("orphan_count"))
-    best = most_linked(edges, top).agg(F.sort_array(F.collect_list(F.struct(F.negative("backlink_count").alias("k"), "page"))).alias("b")).select(F.transform("b", lambda x: F.struct(x["page"].alias("page"), (-x["k"]).alias("backlink_count"))).alias("most_linked"))
-    out = n_pages.crossJoin(counted).crossJoin(n_orphans).crossJoin(best).withColumn("ambiguous_links", F.lit(0))
+    per = edges.groupBy(F.col("target").alias("page")).agg(F.count("*").alias("n")).filter("page is not null")
+    known = table(pages.select("page", F.lit(True).alias("paged")).distinct().join(per, "page", "full"), "targets")
+    out = known.agg(
+        F.count_if("paged").alias("total_pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_links"), F.count("n").alias("unique_targets"),
+        F.coalesce(F.sum(F.when(F.col("paged").isNull(), F.col("n"))), F.lit(0)).alias("dead_links"), F.count_if(F.col("n").isNull()).alias("orphan_count"),
+    ).withColumn("ambiguous_links", F.lit(0))
+    best = known.filter("n is not null").orderBy(F.desc("n"), "page").limit(top).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "page"))).alias("b"))
+    out = out.crossJoin(best.select(F.transform("b", lambda x: F.struct(x["page"].alias("page"), (-x["k"]).alias("backlink_count"))).alias("most_linked")))
     if with_components:
-        every = nodes(edges, pages)
         roots = components(edges, "source", "target")
-        n = every.join(roots, every["page"] == roots["node"], "left").agg(F.count_distinct(F.coalesce("root", "page")).alias("connected_components"))
-        out = out.crossJoin(n)
+        # nodes of a component have a root; a page or an end of a loop without one stands alone
+        ends = known.select("page").unionByName(edges.filter("source = target").select(F.col("source").alias("page"))).distinct()
+        alone = ends.join(roots.select(F.col("node").alias("page")), "page", "left_anti").agg(F.count("*").alias("alone"))
+        out = out.crossJoin(roots.filter("node = root").agg(F.count("*").alias("joined")).crossJoin(alone).select((F.col("joined") + F.col("alone")).alias("connected_components")))
     return out
 
 
@@ -218,5 +225,35 @@ def check_summary(edges: DataFrame, pages: DataFrame, diagnostics: DataFrame) ->
     return diagnostics.select("kind", "level").unionByName(dead).unionByName(alone).groupBy("kind", "level").agg(F.count("*").alias("n"))
 
 
+#: The counters of a check, in order.
+COUNTERS = (
+    "dead_links", "orphans", "syntax_errors", "spl_errors", "drift_warnings", "drift_info", "total_spl_blocks", "drifted_blocks_warning", "drifted_blocks_info",
+    "explicitly_grounded_facts", "broken_groundings", "predicate_errors", "predicate_warnings",
+)
+
+
+def check(edges: DataFrame, pages: DataFrame, diagnostics: DataFrame, blocks: DataFrame, references: DataFrame, leaves: DataFrame) -> DataFrame:
+    """One row: the counters of COUNTERS, and whether a check fails that stops at errors, or at warnings.
+
+    diagnostics(kind, level) are those of syntax, rules, drift and predicates: all of syntax count, of rules the
+    errors, of the others errors, warnings and infos apart. blocks are rule blocks, references(target_path, hash) what
+    facts are grounded on; a reference is broken if that file has no such block. Dead links and orphans are errors.
+    """
+    n = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    kind = lambda k, *levels: (F.col("kind") == k) & (F.col("level").isin(*levels) if levels else F.lit(True))
+    told = diagnostics.agg(
+        n(kind("syntax")).alias("syntax_errors"), n(kind("rules", "error")).alias("spl_errors"), n(kind("drift", "warning")).alias("drift_warnings"), n(kind("drift", "info")).alias("drift_info"),
+        n(kind("drift", "warning")).alias("drifted_blocks_warning"), n(kind("drift", "info")).alias("drifted_blocks_info"),
+        n(kind("predicate", "error")).alias("predicate_errors"), n(kind("predicate", "warning")).alias("predicate_warnings"),
+        n(kind("syntax", "error") | kind("rules", "error") | kind("predicate", "error")).alias("_errors"), n(F.col("level") == "warning").alias("_warnings"),
+    )
+    here = leaves.select(F.col("path").alias("target_path"), "hash").distinct()
+    broken = references.join(here, ["target_path", "hash"], "left_anti").agg(F.count("*").alias("broken_groundings"))
+    counted = dead_links(edges, pages).agg(F.count("*").alias("dead_links")).crossJoin(orphans(edges, pages).agg(F.count("*").alias("orphans"))).crossJoin(told)
+    counted = counted.crossJoin(blocks.agg(F.count("*").alias("total_spl_blocks"))).crossJoin(references.agg(F.count("*").alias("explicitly_grounded_facts"))).crossJoin(broken)
+    errors = F.col("dead_links") + F.col("orphans") + F.col("_errors") > 0
+    return counted.select(*COUNTERS, errors.alias("fails_on_errors"), (errors | (F.col("_warnings") > 0)).alias("fails_on_warnings"))
+
+
 def as_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..scratch import table
 
 
 def resolve_snapshot(snapshots: DataFrame, expression: str, now: datetime) -> DataFrame:
@@ -26,18 +27,55 @@ def resolve_snapshot(snapshots: DataFrame, expression: str, now: datetime) -> Da
 
 
 def as_of(times: DataFrame, snapshots: DataFrame, by: str | None = None) -> DataFrame:
-    """times(ts, ...) each with the change_id of the newest snapshot at or before it, by key if there is one."""
+    """times(ts, ...) each with the change_id of the newest snapshot at or before it, by key if there is one.
+
+    Without a key, time is cut into ranges: each finds its own, and the last snapshot of the ranges before is carried over.
+    """
     keys = [by] if by else []
     left = times.select(*keys, "ts", F.struct(*[c for c in times.columns if c not in (*keys, "ts")]).alias("_t"), F.lit(None).cast("string").alias("_c"))
     right = snapshots.select(*keys, "ts", F.lit(None).cast(left.schema["_t"].dataType).alias("_t"), F.col("change_id").alias("_c"))
-    upto = Window.partitionBy(*keys or [F.lit(1)]).orderBy("ts", F.col("_t").isNotNull(), "_c").rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn("change_id", F.last("_c", ignorenulls=True).over(upto)).filter("_t is not null").select(*keys, "ts", "_t.*", "change_id")
+    both, order = left.unionByName(right), ["ts", F.col("_t").isNotNull(), "_c"]
+    if by:
+        upto = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("change_id", F.last("_c", ignorenulls=True).over(upto))
+    else:
+        ranged = table(both.repartitionByRange("ts").withColumn("_p", F.spark_partition_id()), "ranged")
+        lasts = ranged.groupBy("_p").agg(F.max(F.when(F.col("_c").isNotNull(), F.struct("ts", "_c")))["_c"].alias("_last"))
+        carry = lasts.select("_p", F.last("_last", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+        upto = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        # carry has a row for each range
+        found = ranged.withColumn("_own", F.last("_c", ignorenulls=True).over(upto)).join(F.broadcast(carry), "_p").withColumn("change_id", F.coalesce("_own", "_carry"))
+    return found.filter("_t is not null").select(*keys, "ts", "_t.*", "change_id")
+
+
+def tree_at(files: DataFrame, change: str) -> DataFrame:
+    """(path, content) of every file as of a change, from files(seq, change_id, path, content), which holds what each change wrote.
+
+    A null content is a deletion. Of each path the newest version up to the change counts.
+    """
+    upto = files.filter(F.col("change_id") == change).agg(F.max("seq").alias("_upto"))
+    newest = files.join(F.broadcast(upto), F.col("seq") <= F.col("_upto")).groupBy("path").agg(F.max_by(F.struct("content"), "seq").alias("f"))
+    return newest.select("path", "f.content").filter("content is not null")
+
+
+def file_at(files: DataFrame, change: str, path: str) -> DataFrame:
+    """The row of tree_at() for one path; that filter reaches the scan."""
+    return tree_at(files.filter((F.col("path") == path) | (F.col("change_id") == change)), change).filter(F.col("path") == path)
+
+
+def changed_names(files: DataFrame, old: str, new: str) -> DataFrame:
+    """(path, change) of the files that differ between two changes: added, removed, modified."""
+    was = tree_at(files, old).select("path", F.sha2("content", 256).alias("_o"))
+    now = tree_at(files, new).select("path", F.sha2("content", 256).alias("_n"))
+    kind = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_o") != F.col("_n"), "modified")
+    return now.join(was, "path", "full").select("path", kind.alias("change")).filter("change is not null")
 
 
 def collapse(timeline: DataFrame) -> DataFrame:
     """timeline(ts, vault_root_hash, ...) with the newest of each hash; rows without one all stay."""
     newest = Window.partitionBy("vault_root_hash").orderBy(F.desc("ts"))
-    return timeline.withColumn("_k", F.row_number().over(newest)).filter("_k = 1 or vault_root_hash is null").drop("_k")
+    told = timeline.filter("vault_root_hash is not null").withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
+    return told.unionByName(timeline.filter("vault_root_hash is null"))
 
 
 def since(timeline: DataFrame, kind: str, value) -> DataFrame:
@@ -111,12 +149,12 @@ def link_since(snapshots: DataFrame, links: DataFrame) -> DataFrame:
 
 def sample_trend(history: DataFrame, most: int) -> DataFrame:
     """At most `most` rows of history(seq, ...), evenly spaced from the oldest to the newest."""
-    ranked = history.withColumn("_i", F.row_number().over(Window.orderBy("seq")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
     if most <= 0:
         return history.limit(0)
-    at = history.sparkSession.range(most).select(F.col("id").alias("_j"))
-    want = F.when(F.col("_n") <= most, F.col("_j")).when(F.lit(most) == 1, F.lit(0)).otherwise(F.floor(F.col("_j") * (F.col("_n") - 1) / max(1, most - 1)))
-    return ranked.join(F.broadcast(at), F.col("_i") == want).drop("_i", "_n", "_j")
+    ranked = number(history, [F.col("seq")], "_at")
+    n = ranked.count()
+    at = sorted({j if n <= most else 0 if most == 1 else j * (n - 1) // (most - 1) for j in range(min(n, most))})
+    return ranked.join(F.broadcast(history.sparkSession.createDataFrame([(i,) for i in at], "_at long")), "_at").drop("_at")
 
 
 def page_ages(events: DataFrame, today: datetime) -> DataFrame:
@@ -145,8 +183,6 @@ def object_changes(old: DataFrame, new: DataFrame, start: int = 0) -> DataFrame:
 def number(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """Running numbers over the whole frame: rows of ranges, then an offset for each, so no task holds all."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from ..scratch import table
-
     kept = table(ranged, "numbered")
     sums = kept.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first")).withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return kept.join(F.broadcast(sums.select("_p", "_off", "_first")), "_p").withColumn(name, F.col("_off") + F.col("_i") - F.col("_first") + start).drop("_p", "_i", "_off", "_first")

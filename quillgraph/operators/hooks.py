@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..scratch import table
 
 #: Stages in order: text before parsing, the document tree, rendered HTML.
 STAGES = ("pre_parse", "transform", "post_render")
@@ -65,3 +68,37 @@ def run_stage(pages: DataFrame, hooks: list[Hook], stage: str) -> DataFrame:
             yield pd.DataFrame([one(*r) for r in zip(b["path"], b["content"], b["frontmatter"], strict=True)], columns=["path", "content", "failed", "ran", "emitted"])
 
     return pages.select("path", "content", "frontmatter").mapInPandas(run, OUT)
+
+
+def run_pipeline(pages: DataFrame, hooks: list[Hook], parse: Callable[[str], object], render: Callable[[object], str]) -> DataFrame:
+    """(path, html, stats, emitted) of pages(path, content, frontmatter): all three stages, each in one pass over its input.
+
+    Text hooks see the text, `parse` makes its tree, tree hooks change it, `render` makes HTML and the last hooks change
+    that. stats has an entry (stage, hook, ran, failed) for each hook that a page didn't turn off.
+    """
+
+    def step(f: Callable, load: bool, dump: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                made = [f(json.loads(v) if load else v) for v in b["content"]]
+                b["content"] = [json.dumps(m, sort_keys=True) for m in made] if dump else made
+                yield b
+
+        return run
+
+    carried = "path string, content string, frontmatter string, stats array<struct<stage:string,hook:string,ran:boolean,failed:boolean>>, emitted array<struct<ext:string,key:string,value:string>>"
+    now = pages.select("path", "content", "frontmatter", F.expr("cast(array() as array<struct<stage:string,hook:string,ran:boolean,failed:boolean>>)").alias("stats"), F.expr("cast(array() as array<struct<ext:string,key:string,value:string>>)").alias("emitted"))
+    for stage, after in zip(STAGES, (step(parse, False, True), step(render, True, False), None), strict=True):
+        now = table(now, "stage")
+        out = run_stage(now, hooks, stage)
+        mark = lambda names, ok: F.transform(names, lambda n: F.struct(F.lit(stage).alias("stage"), n.alias("hook"), F.lit(ok).alias("ran"), F.lit(not ok).alias("failed")))  # noqa: B023, E731
+        told = out.select("path", F.col("content").alias("_c"), F.concat(mark("ran", True), mark("failed", False)).alias("_s"), F.col("emitted").alias("_e"))
+        now = now.join(told, "path").select("path", F.col("_c").alias("content"), "frontmatter", F.concat("stats", "_s").alias("stats"), F.concat("emitted", "_e").alias("emitted"))
+        if after:
+            now = now.mapInPandas(after, carried)
+    return now.select("path", F.col("content").alias("html"), "stats", "emitted")
+
+
+def hook_statistics(done: DataFrame) -> DataFrame:
+    """(stage, hook, ran, failed): how many pages each hook ran on and failed on."""
+    return done.select(F.explode("stats").alias("s")).groupBy("s.stage", "s.hook").agg(F.count_if("s.ran").alias("ran"), F.count_if("s.failed").alias("failed"))

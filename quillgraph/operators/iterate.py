@@ -79,24 +79,35 @@ def linked_within(edges: DataFrame, page: str, depth: int, backwards: bool = Fal
 def shortest_path(edges: DataFrame, a: str, b: str, max_depth: int = 10) -> DataFrame:
     """(hops, path): one row if b can be reached from a along links within max_depth hops, else none.
 
-    Of equally short paths, the one through the smallest names is given.
+    Of equally short paths, the one through the smallest names is given. The search keeps names and depths only; the
+    path is then walked back from b, layer by layer, to what lies on any shortest path, and forth by the smallest name.
     """
     spark = edges.sparkSession
     if a == b:
         return spark.createDataFrame([(0, [a])], "hops int, path array<string>")
     steps = table(edges.select("source", "target").filter("target is not null").distinct(), "steps")
-    seen_nodes = front = table(spark.createDataFrame([(a, [a])], "node string, path array<string>"), "front")
-    for depth in range(1, max_depth + 1):
-        step = front.join(steps, front["node"] == steps["source"]).select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-        new = step.groupBy("node").agg(F.min("path").alias("path")).join(seen_nodes.select("node"), "node", "left_anti")
+    layers = [table(spark.createDataFrame([(a,)], "node string"), "front")]
+    met = layers[0]
+    while len(layers) <= max_depth:
+        new = layers[-1].join(steps, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct().join(met, "node", "left_anti")
         seen = Observation()
-        front = table(new, "front", seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == b).alias("hits"))
+        layers.append(table(new, "front", seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == b).alias("hits")))
         if seen.get["hits"]:
-            return front.filter(F.col("node") == b).select(F.lit(depth).alias("hops"), "path")
-        if not seen.get["n"]:
             break
-        seen_nodes = seen_nodes.select("node").unionByName(front.select("node"))
-    return spark.createDataFrame([], "hops int, path array<string>")
+        if not seen.get["n"]:
+            return spark.createDataFrame([], "hops int, path array<string>")
+        met = met.unionByName(layers[-1])
+    else:
+        return spark.createDataFrame([], "hops int, path array<string>")
+    on = [spark.createDataFrame([(b,)], "node string")]
+    for layer in reversed(layers[1:-1]):
+        to = steps.join(on[0].withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+        on.insert(0, table(layer.join(to, "node", "left_semi"), "on"))
+    path = [a]
+    for layer in on:
+        nxt = steps.filter(F.col("source") == path[-1]).select(F.col("target").alias("node")).join(layer, "node", "left_semi")
+        path.append(nxt.agg(F.min("node")).first()[0])
+    return spark.createDataFrame([(len(path) - 1, path)], "hops int, path array<string>")
 
 
 def induced(edges: DataFrame, near: DataFrame) -> DataFrame:

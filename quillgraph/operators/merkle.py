@@ -103,3 +103,23 @@ def explicit_drift(declared: DataFrame, leaves: DataFrame) -> DataFrame:
     joined = declared.join(now, ["target_path", "block_id"], "left")
     kind = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("hash"), "changed")
     return joined.withColumn("drift", kind).filter("drift is not null").select("path", "line", "target_path", "block_id", "drift")
+
+
+def blocks_of(leaves: DataFrame, kind: str) -> DataFrame:
+    """The blocks of one type; the filter reaches the scan."""
+    return leaves.filter(F.col("type") == kind)
+
+
+def grounded_counts(grounded: DataFrame, live: DataFrame, declared: DataFrame, leaves: DataFrame) -> DataFrame:
+    """One row: rule_blocks, grounded_blocks, grounded_facts, broken_groundings.
+
+    grounded(path, start_line, grounding) and declared(path, start_line, target_path, hash) may be of an earlier state:
+    only blocks that live(path, start_line) still has count. A declared grounding is broken if its file has no block of
+    that hash now, whether or not its own block lives.
+    """
+    here = live.select("path", "start_line").distinct()
+    blocks = grounded.join(here, ["path", "start_line"], "left_semi").agg(F.count("grounding").alias("grounded_blocks"))
+    facts = declared.join(here, ["path", "start_line"], "left_semi").agg(F.count("*").alias("grounded_facts"))
+    hashes = leaves.select(F.col("path").alias("target_path"), "hash").distinct()
+    broken = declared.join(hashes, ["target_path", "hash"], "left_anti").agg(F.count("*").alias("broken_groundings"))
+    return live.agg(F.count("*").alias("rule_blocks")).crossJoin(blocks).crossJoin(facts).crossJoin(broken)

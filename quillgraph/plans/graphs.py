@@ -13,11 +13,20 @@ from .registry import query
 G = model.GRAPH
 
 
-@query("graph_stats", f"""WITH {G} SELECT (SELECT count(DISTINCT page) FROM pages_) AS total_pages, count(*) AS total_links, count(DISTINCT target) AS unique_targets,
+_W = "w AS MATERIALIZED (SELECT source AS a, target AS b FROM edges_ UNION SELECT target, source FROM edges_)"
+#: The smallest node that each node reaches, either way, as roots(node, root).
+_CC = f"""{_W}, cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM w UNION
+    (SELECT u.node, t.root FROM (SELECT w.b AS node, min(v.root) AS root FROM cc v JOIN w ON w.a = v.node GROUP BY 1) t JOIN recurring.cc u ON u.node = t.node WHERE t.root < u.root)), roots AS (SELECT node, root FROM cc)"""
+
+
+@query("graph_stats", f"""WITH RECURSIVE {G}, {_CC} SELECT (SELECT count(DISTINCT page) FROM pages_) AS total_pages, count(*) AS total_links, count(DISTINCT target) AS unique_targets,
     count(*) FILTER (WHERE target NOT IN (SELECT page FROM pages_)) AS dead_links, 0 AS ambiguous_links,
-    (SELECT count(DISTINCT page) FROM pages_ WHERE page NOT IN (SELECT target FROM edges_)) AS orphan_count FROM edges_""")
+    (SELECT count(DISTINCT page) FROM pages_ WHERE page NOT IN (SELECT target FROM edges_)) AS orphan_count,
+    (SELECT count(DISTINCT root) FROM roots) + (SELECT count(DISTINCT page) FROM pages_ WHERE page NOT IN (SELECT node FROM roots)) AS connected_components,
+    (SELECT string_agg(target || ' ' || n, ', ' ORDER BY n DESC, target) FROM (SELECT target, count(*) AS n FROM edges_ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS most_linked FROM edges_""")
 def graph_stats(s, d):
-    return graph.stats(model.edges(s, d), model.pages(s, d), with_components=False).drop("most_linked")
+    told = F.array_join(F.transform("most_linked", lambda x: F.concat_ws(" ", x["page"], x["backlink_count"].cast("string"))), ", ")
+    return graph.stats(model.edges(s, d), model.pages(s, d)).withColumn("most_linked", told)
 
 
 @query("list_pages", f"WITH {G} SELECT page, path FROM pages_ ORDER BY lower(page)")
@@ -136,20 +145,21 @@ def did_you_mean(s, d):
     return graph.did_you_mean(model.pages(s, d), "Nation:1")
 
 
-@query("components", f"""WITH RECURSIVE {G}, e AS (SELECT source AS a, target AS b FROM edges_ WHERE predicate IN ('located_in', 'based_in')), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON w.a = r.b) SELECT a AS node, least(min(b), a) AS root FROM r GROUP BY a""")
+@query("components", f"WITH RECURSIVE {G}, {_CC} SELECT node, root FROM roots")
 def components(s, d):
     return iterate.components(model.edges(s, d), "source", "target")
 
 
-@query("neighbourhood", f"""WITH RECURSIVE {G}, w AS (SELECT source AS a, target AS b FROM edges_ WHERE predicate IN ('located_in', 'based_in') UNION SELECT target, source FROM edges_ WHERE predicate IN ('located_in', 'based_in')),
-    r(node, depth) AS (SELECT 'supplier:3', 0 UNION SELECT w.b, r.depth + 1 FROM r JOIN w ON w.a = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
+def _near(start: str, depth: int) -> str:
+    return f"r(node, depth) AS (SELECT '{start}', 0 UNION SELECT w.b, r.depth + 1 FROM r JOIN w ON w.a = r.node WHERE r.depth < {depth})"
+
+
+@query("neighbourhood", f"WITH RECURSIVE {G}, {_W}, {_near('supplier:3', 3)} SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def neighbourhood(s, d):
     return iterate.neighbourhood(model.edges(s, d), "supplier:3", 3)
 
 
-@query("induced_subgraph", f"""WITH RECURSIVE {G}, p AS (SELECT * FROM edges_ WHERE predicate IN ('located_in', 'based_in')), w AS (SELECT source AS a, target AS b FROM p UNION SELECT target, source FROM p),
-    r(node, depth) AS (SELECT 'nation:3', 0 UNION SELECT w.b, r.depth + 1 FROM r JOIN w ON w.a = r.node WHERE r.depth < 2) SELECT source, target, predicate, line FROM p WHERE source IN (SELECT node FROM r) AND target IN (SELECT node FROM r)""")
+@query("induced_subgraph", f"WITH RECURSIVE {G}, {_W}, {_near('nation:3', 2)} SELECT source, target, predicate, line FROM edges_ WHERE source IN (SELECT node FROM r) AND target IN (SELECT node FROM r)")
 def induced_subgraph(s, d):
     e = model.edges(s, d)
     return iterate.induced(e, iterate.neighbourhood(e, "nation:3", 2)).select("source", "target", "predicate", "line")
@@ -161,19 +171,20 @@ def links_depth(s, d):
     return iterate.linked_within(model.edges(s, d), "order:7", 3)
 
 
-@query("backlinks_depth", f"""WITH RECURSIVE {G}, p AS (SELECT * FROM edges_ WHERE predicate IN ('located_in', 'based_in')), r(node, depth) AS (SELECT 'region:1', 0 UNION SELECT e.source, r.depth + 1 FROM r JOIN p e ON e.target = r.node WHERE r.depth < 1)
-    SELECT source, target, line, min(depth) + 1 AS hop FROM p e JOIN r ON r.node = e.target GROUP BY 1, 2, 3""")
+@query("backlinks_depth", f"""WITH RECURSIVE {G}, r(node, depth) AS (SELECT 'region:1', 0 UNION SELECT e.source, r.depth + 1 FROM r JOIN edges_ e ON e.target = r.node WHERE r.depth < 1)
+    SELECT source, target, line, min(depth) + 1 AS hop FROM edges_ e JOIN r ON r.node = e.target GROUP BY 1, 2, 3""")
 def backlinks_depth(s, d):
     return iterate.linked_within(model.edges(s, d), "region:1", 2, backwards=True)
 
 
-@query("shortest_path", f"""WITH RECURSIVE {G}, r(node, depth) AS (SELECT 'order:7', 0 UNION SELECT e.target, r.depth + 1 FROM r JOIN edges_ e ON e.source = r.node WHERE r.depth < 6)
-    SELECT min(depth) AS hops FROM r WHERE node = (SELECT 'region:' || min(r_regionkey) FROM region)""")
+@query("shortest_path", f"""WITH RECURSIVE {G}, e AS (SELECT DISTINCT source, target FROM edges_), r(node, depth, path) AS (SELECT 'order:7', 0, 'order:7' UNION ALL
+    (SELECT e.target, min(r.depth) + 1, min(r.path || ' ' || e.target) FROM r JOIN e ON e.source = r.node WHERE r.depth < 6 GROUP BY 1))
+    SELECT depth AS hops, path FROM r WHERE node = 'region:0' ORDER BY depth LIMIT 1""")
 def shortest_path(s, d):
-    return iterate.shortest_path(model.edges(s, d), "order:7", "region:0", 6).select("hops")
+    return iterate.shortest_path(model.edges(s, d), "order:7", "region:0", 6).select("hops", F.array_join("path", " ").alias("path"))
 
 
-@query("closure", f"""WITH RECURSIVE {G}, p AS (SELECT source, target FROM edges_ WHERE predicate IN ('located_in', 'based_in')), r(source, target, hops) AS (SELECT source, target, 1 FROM p UNION SELECT r.source, p.target, r.hops + 1 FROM r JOIN p ON p.source = r.target WHERE r.hops < 3)
+@query("closure", f"""WITH RECURSIVE {G}, p AS (SELECT DISTINCT source, target FROM edges_), r(source, target, hops) AS (SELECT source, target, 1 FROM p UNION SELECT r.source, p.target, r.hops + 1 FROM r JOIN p ON p.source = r.target WHERE r.hops < 3)
     SELECT source, target, min(hops) AS hops FROM r GROUP BY 1, 2""")
 def closure(s, d):
     return iterate.closure(model.edges(s, d), 3)
@@ -237,11 +248,12 @@ VOCABULARY = lint.Vocabulary(labels={"based_in": "Based in", "located_in": None}
 _B = "http://example.org/v/"
 
 
-@query("rdf_triples", f"""WITH {model.GRAPH}, e AS (SELECT *, row_number() OVER (ORDER BY source, target, predicate NULLS FIRST, line) - 1 AS i FROM edges_ WHERE source LIKE 'nation:%' OR source LIKE 'supplier:%'),
+@query("rdf_triples", f"""WITH {model.GRAPH}, e AS (SELECT *, row_number() OVER (ORDER BY source, target, predicate NULLS FIRST, line, annotation NULLS FIRST) - 1 AS i FROM edges_),
     t AS (SELECT '{_B}page/' || replace(source, ':', '%3A') AS s, CASE predicate WHEN 'located_in' THEN 'http://example.org/geo#within' ELSE '{_B}predicate/' || predicate END AS p, '{_B}page/' || replace(target, ':', '%3A') AS o, '{_B}statement/' || i AS st, e.*, (SELECT min(path) FROM pages_ WHERE page = source) AS path FROM e WHERE predicate IS NOT NULL)
     SELECT s, p, o, 'iri' AS o_kind FROM t UNION SELECT st, '{rdf.RDF}type', '{rdf.RDF}Statement', 'iri' FROM t UNION SELECT st, '{rdf.RDF}subject', s, 'iri' FROM t UNION SELECT st, '{rdf.RDF}predicate', p, 'iri' FROM t UNION SELECT st, '{rdf.RDF}object', o, 'iri' FROM t
     UNION SELECT st, '{rdf.PROV}wasAttributedTo', s, 'iri' FROM t UNION SELECT st, '{rdf.DCTERMS}source', path || ':' || line, 'literal' FROM t UNION SELECT '{_B}vocabulary', '{rdf.RDF}type', '{rdf.SKOS}ConceptScheme', 'iri'
-    UNION SELECT p, '{rdf.RDF}type', '{rdf.SKOS}Concept', 'iri' FROM t UNION SELECT p, '{rdf.SKOS}inScheme', '{_B}vocabulary', 'iri' FROM t UNION SELECT p, '{rdf.SKOS}prefLabel', CASE predicate WHEN 'located_in' THEN 'Located in' ELSE 'Based in' END, 'literal' FROM t""")
+    UNION SELECT p, '{rdf.RDF}type', '{rdf.SKOS}Concept', 'iri' FROM t UNION SELECT p, '{rdf.SKOS}inScheme', '{_B}vocabulary', 'iri' FROM t UNION SELECT p, '{rdf.SKOS}prefLabel', CASE predicate WHEN 'located_in' THEN 'Located in' WHEN 'based_in' THEN 'Based in' WHEN 'placed_by' THEN 'Placed by' WHEN 'contains' THEN 'Contains' ELSE 'Supplied by' END, 'literal' FROM t
+    UNION SELECT st, '{rdf.RDFS}comment', annotation, 'literal' FROM t WHERE annotation IS NOT NULL""")
 def rdf_triples(s, d):
     return rdf.triples(model.edges(s, d), model.pages(s, d), _B, VOCABULARY)
 

@@ -341,7 +341,7 @@ def _leaves(s, d):
 
 
 _LEAVES = """leaves AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_linenumber - 1 AS pos, CASE WHEN l_linenumber % 4 = 1 THEN 'heading' WHEN l_linenumber % 4 = 3 THEN 'rules' ELSE 'paragraph' END AS type, CASE WHEN l_linenumber % 4 = 1 THEN 1 + p % 3 END AS level, sha256(CAST(p AS VARCHAR)) AS hash, CASE WHEN p % 5 = 0 THEN 'b' || p END AS block_id
-    FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2))"""
+    FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2))"""
 
 
 @query("file_roots", f"WITH {_LEAVES} SELECT path, sha256(string_agg(hash, chr(10) ORDER BY pos)) AS root_hash FROM leaves GROUP BY 1")
@@ -380,7 +380,7 @@ def grounding_drift(s, d):
     return merkle.drift(now, old).withColumn("start_line", F.col("start_line").cast("int"))
 
 
-@query("block_id_lookup", f"WITH {_LEAVES}, q AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS path, 'b' || (o_custkey % 20 * 5) AS block_id FROM orders WHERE o_orderkey < 2000) SELECT q.path, q.block_id, arg_min(l.hash, l.pos) AS hash FROM q LEFT JOIN leaves l ON l.path = q.path AND l.block_id = q.block_id GROUP BY 1, 2")
+@query("block_id_lookup", f"WITH {_LEAVES}, q AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS path, 'b' || (o_custkey % 20 * 5) AS block_id FROM orders) SELECT q.path, q.block_id, arg_min(l.hash, l.pos) AS hash FROM q LEFT JOIN leaves l ON l.path = q.path AND l.block_id = q.block_id GROUP BY 1, 2")
 def block_id_lookup(s, d):
     q = read(s, d, "orders").select(S("o_orderkey").alias("path"), F.concat(F.lit("b"), S_expr("o_custkey % 20 * 5")).alias("block_id")).distinct()
     return merkle.resolve_block_ids(q, _leaves(s, d)).select("path", "block_id", "hash")
@@ -390,7 +390,7 @@ def S_expr(e):  # noqa: N802
     return F.expr(f"cast({e} as string)")
 
 
-@query("hash_prefixes", f"WITH {_LEAVES}, q AS (SELECT substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 10) AS prefix FROM part WHERE p_partkey % 3 = 0) SELECT prefix, count(DISTINCT hash) AS n_hashes, CASE count(DISTINCT hash) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM q LEFT JOIN leaves ON starts_with(hash, prefix) GROUP BY 1")
+@query("hash_prefixes", f"WITH {_LEAVES}, q AS (SELECT substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 10) AS prefix FROM part) SELECT prefix, count(DISTINCT hash) AS n_hashes, CASE count(DISTINCT hash) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM q LEFT JOIN leaves ON substr(hash, 1, 10) = prefix GROUP BY 1")
 def hash_prefixes(s, d):
     q = read(s, d, "part").select(F.substring(F.sha2(S("p_partkey"), 256), 1, 10).alias("prefix"))
     return merkle.resolve_prefixes(q, _leaves(s, d)).select("prefix", "n_hashes", "status")
@@ -556,7 +556,7 @@ def access_violations(s, d):
     return access.violations(asked.filter("action = 'edit'"), users, scopes)
 
 
-@query("access_reasoned", f"""WITH {_ACL}, few AS (SELECT c_name FROM customer WHERE c_custkey < 60) SELECT "user", page, action, own OR action = 'read' OR ((admin OR editor) AND NOT barred) AS allowed, CASE WHEN own THEN '+D' WHEN action = 'read' OR ((admin OR editor) AND NOT barred) THEN '+d' ELSE '-d' END AS tag FROM acl WHERE "user" IN (SELECT c_name FROM few)""")
+@query("access_reasoned", f"""WITH {_ACL} SELECT "user", page, action, own OR action = 'read' OR ((admin OR editor) AND NOT barred) AS allowed, CASE WHEN own THEN '+D' WHEN action = 'read' OR ((admin OR editor) AND NOT barred) THEN '+d' ELSE '-d' END AS tag FROM acl""")
 def access_reasoned(s, d):
     return access.evaluate(*_acl(s, d))
 
@@ -750,7 +750,7 @@ def what_if(s, d):
     return reason.what_if(before, reason.conclusions(t)).filter("literal like 'exporter-%'")
 
 
-@query("edge_facts", f"""WITH {model.GRAPH} SELECT '(' || predicate || ' "' || source || '" "' || target || '")' AS literal, (SELECT min(path) FROM pages_ WHERE page = source) AS path, line FROM edges_ WHERE predicate IN ('located_in', 'based_in')""")
+@query("edge_facts", f"""WITH {model.GRAPH} SELECT '(' || predicate || ' "' || source || '" "' || target || '")' AS literal, (SELECT min(path) FROM pages_ WHERE page = source) AS path, line FROM edges_ WHERE predicate IS NOT NULL""")
 def edge_facts_(s, d):
     return edge_facts(model.edges(s, d), model.pages(s, d)).select("literal", "path", "line")
 

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names; one of our own only where none is set and executors are in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -6,6 +6,7 @@ shared folder or in state.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import graph
-from ..scratch import table
+from ..scratch import scratch_root, table
 
 #: The least and most time that changes are gathered, in ms, and the usual one.
 DEBOUNCE = (10, 5000, 150)
@@ -30,34 +31,51 @@ def graph_events(old: tuple[DataFrame, DataFrame] | None, new: tuple[DataFrame,
 
 
 class Watch:
-    """Pages that arrive as a stream of (path, content), of which the newest of a path counts and null content removes.
+    """Pages that arrive as a stream of (path, seq, content), of which the newest of a path counts and null content removes.
 
     Each trigger merges its pages into the table, skips those whose text is unchanged, builds the graph and hands the
-    events, then one `index_updated`, to the sink.
+    events, then one `index_updated`, to the sink. Pages and graph are tables in `state`, a folder for each epoch, whose
+    last file is written last: a restarted driver goes on from the newest whole epoch, and an epoch that is run again
+    starts from the one before it, so it gives the same events.
     """
 
-    def __init__(self, spark: SparkSession, to_graph: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Callable[[DataFrame, int], None]):
+    def __init__(self, spark: SparkSession, to_graph: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sink: Callable[[DataFrame, int], None], state: str | None = None):
         self.spark, self.to_graph, self.sink = spark, to_graph, sink
-        self.pages: DataFrame | None = None
-        self.graph: tuple[DataFrame, DataFrame] | None = None
+        self.state = state or f"{scratch_root(spark)}/watch-{uuid.uuid4().hex[:12]}"
+
+    def _before(self, epoch: int) -> str | None:
+        """The folder of the newest whole epoch before this one."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.state)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [p.getPath().getName() for p in fs.listStatus(root)] if fs.exists(root) else []
+        done = [e for e in (int(x[6:]) for x in found if x.startswith("epoch-")) if e < epoch and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/epoch-{e}/nodes/_SUCCESS"))]
+        return f"{self.state}/epoch-{max(done)}" if done else None
+
+    @property
+    def pages(self) -> DataFrame | None:
+        at = self._before(1 << 62)
+        return self.spark.read.parquet(f"{at}/pages") if at else None
 
     def batch(self, df: DataFrame, epoch: int) -> None:
         newest = Window.partitionBy("path").orderBy(F.desc("seq"))
         got = table(df.withColumn("_k", F.row_number().over(newest)).filter("_k = 1").select("path", "content"), "arrived")
-        if self.pages is not None:
-            same = self.pages.select("path", F.sha2("content", 256).alias("_h"))
+        at, here = self._before(epoch), f"{self.state}/epoch-{epoch}"
+        known = self.spark.read.parquet(f"{at}/pages") if at else None
+        if known is not None:
+            same = known.select("path", F.sha2("content", 256).alias("_h"))
             got = table(got.join(same, "path", "left").filter(~F.sha2("content", 256).eqNullSafe(F.col("_h"))).select("path", "content"), "changed")
         if got.isEmpty():
             return
         kept = got.filter("content is not null")
-        if self.pages is not None:
-            kept = self.pages.join(got.select("path"), "path", "left_anti").unionByName(kept)
-        self.pages = table(kept, "pages")
-        edges, pages = self.to_graph(self.pages)
-        now = (table(edges, "edges"), table(pages, "nodes"))
-        events = graph_events(self.graph, now)
+        if known is not None:
+            kept = known.join(got.select("path"), "path", "left_anti").unionByName(kept)
+        old = (self.spark.read.parquet(f"{at}/edges"), self.spark.read.parquet(f"{at}/nodes")) if at else None
+        now = []
+        for name, make in (("pages", lambda: kept), ("edges", lambda: self.to_graph(now[0])[0]), ("nodes", lambda: self.to_graph(now[0])[1])):
+            make().write.mode("overwrite").parquet(f"{here}/{name}")
+            now.append(self.spark.read.parquet(f"{here}/{name}"))
+        events = graph_events(old, (now[1], now[2]))
         done = self.spark.createDataFrame([("index_updated", None, None)], "event string, page string, target string")
-        self.graph = now
         self.sink(events.unionByName(done), epoch)
 
     def start(self, stream: DataFrame, debounce_ms: int = DEBOUNCE[2], checkpoint: str | None = None) -> StreamingQuery:
@@ -66,25 +84,36 @@ class Watch:
         return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+def reconcile(served: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, action) of files(path, content) edited outside against served(path, content): reload, drop, or nothing for equal texts."""
+    both = files.select("path", F.sha2("content", 256).alias("_f")).join(served.select("path", F.sha2("content", 256).alias("_s")), "path", "full")
+    action = F.when(F.col("_f").isNull(), "drop").when(~F.col("_f").eqNullSafe(F.col("_s")), "reload")
+    return both.select("path", action.alias("action")).filter("action is not null")
+
+
 def first_seen(items: DataFrame, known_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that appends items(guid, link, hash, ...) which no signal has shown before to a table of all seen."""
+    """A foreachBatch that appends items(guid, link, hash, ...) which no signal has shown before to a table of all seen.
+
+    An epoch that is run again replaces its own rows and sees those of the others only.
+    """
     from ..operators.feed import seen_before
 
     spark = items.sparkSession
 
     def batch(df: DataFrame, epoch: int) -> None:
-        # inside a batch the first of each signal counts
+        # inside a batch the first of each signal counts; rows without the signal all stay
         for c in ("guid", "link", "hash"):
-            order = Window.partitionBy(c).orderBy("seq")
-            df = df.withColumn("_k", F.row_number().over(order)).filter(f"_k = 1 or coalesce({c}, '') = ''").drop("_k")
+            told = df.filter(f"coalesce({c}, '') <> ''")
+            first = told.withColumn("_k", F.row_number().over(Window.partitionBy(c).orderBy("seq"))).filter("_k = 1").drop("_k")
+            df = table(first.unionByName(df.filter(f"coalesce({c}, '') = ''")), "firsts")
         try:
-            known = spark.read.schema("guid string, link string, hash string").parquet(known_path)
+            known = spark.read.schema("guid string, link string, hash string, epoch long").parquet(known_path).filter(F.col("epoch") != epoch)
         except Exception as e:  # there is no table before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = spark.createDataFrame([], "guid string, link string, hash string")
-        new = seen_before(df, known).filter("not seen").select("guid", "link", "hash")
-        table(new, "new").write.mode("append").parquet(known_path)
+        new = table(seen_before(df, known).filter("not seen").select("guid", "link", "hash"), "new")
+        new.write.mode("overwrite").parquet(f"{known_path.rstrip('/')}/epoch={epoch}")
 
     return batch
 
