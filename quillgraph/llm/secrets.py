@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, table
 
 #: A private key: white space or escaped line ends, headers, then all up to its END line. Of a key without one, its lines
 #: of base64, and a short last line that is padded, ends the text or the quotes, or has other characters than letters.
@@ -62,10 +62,20 @@ BASE_WORDS = (
 
 
 def dictionary(df: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> tuple[str, ...]:
-    """The `size` most frequent words of SHORTEST to LONGEST letters in all texts, lower-cased; of equals the first by code point."""
+    """The `size` most frequent words of SHORTEST to LONGEST letters in all texts, lower-cased; of equals the first by code point.
+
+    A first look at how many words are how frequent, in quarters of powers of two, tells from which count on there are
+    enough, so only little more than `size` words are sorted or leave their tasks.
+    """
     found = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")).alias("word")
-    counts = df.select(found).filter(F.char_length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
-    return tuple(sorted(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()))
+    counts = table(df.select(found).filter(F.char_length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count("*").alias("n")), "words")
+    rank = F.floor(F.log2("n") * 4)
+    left, least = size, -1
+    for r in counts.groupBy(rank.alias("rank")).agg(F.count("*").alias("n")).orderBy(F.desc("rank")).collect():  # 256 rows at most
+        left, least = left - r["n"], r["rank"]
+        if left <= 0:
+            break
+    return tuple(sorted(r["word"] for r in counts.filter(rank >= least).orderBy(F.desc("n"), "word").limit(size).collect()))
 
 
 class Words:
