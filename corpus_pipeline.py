@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import mixing, packing, quality, secrets
-from quillgraph.llm.common import for_texts, table, without
+from quillgraph.llm.common import among, for_texts, table, without
 from quillgraph.llm.near_dedup import near_duplicates
 
 #: Near copies share 80 of 100 shingles of five words.
@@ -24,11 +24,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; of rows that repeat its id, each."""
+    """One document of each group stays, that with the smallest id.
+
+    Of rows that repeat an id, and of rows without one, one of each text stays.
+    """
     for_texts(spark)
     found = near_duplicates(docs, width=WIDTH, percent=PERCENT)
     gone = table(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return without(docs, "doc_id", gone).select(*docs.columns)
+    left = without(docs, "doc_id", gone).select(*docs.columns)
+    often = table(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "often")
+    if often.isEmpty():
+        return left
+    known, named = often.filter("doc_id is not null"), left.filter("doc_id is not null")
+    once = without(named, "doc_id", known).unionByName(among(named, "doc_id", known).dropDuplicates(["doc_id", "text"]))
+    return once.unionByName(left.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ compared with its two centres only, the member that shares most buckets and one
 full sets.
 
 A star can miss a link between two members of a bucket that don't link to its centres. So after the first components
-are known, buckets that still hold two components are gone through again. Documents whose set holds too many shingles
-that no other such document has cannot link at all and leave. Buckets of up to `SMALL` compare the rest pair by pair.
-In larger ones, those outside the component of the bucket's centre are a query set that is compared, in blocks of
-`ASKED` by `MEMBERS`, with all members that share a bucket with them; buckets with one centre are gone through at once.
-So no link inside a bucket is lost, no task holds a bucket, and of near copies, nearly all of which are in the
-component of their centre, few have to ask.
+are known, the members of buckets that still hold two components are joined exactly, by what is rare: of each, in the
+order of how many of them have a shingle, as many of the rarest are taken as it could lack in a link, and one more. Two
+that link share one of these. A shingle that only one has counts among them but joins nothing, so what can't link drops
+out, and two large groups of near copies that don't link share none, as what sets them apart is rarer than what they
+have in common. The groups of such a shingle are stars again, with a new centre each round, as long as that joins
+components; of what is left, groups of up to `SMALL` are compared pair by pair, and in larger ones those outside the
+centre's component with all members, in blocks of `ASKED` by `MEMBERS`. So no link inside a bucket is lost, and no task
+holds a bucket.
 
 What can be lost is a linked pair that shares no bucket: (1 - s**4)**32 of pairs with similarity s, 6e-11 at 0.85,
 5e-8 at 0.8.
@@ -26,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, components, small, table
@@ -35,6 +37,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Buckets whose open members are no more than this are finished pair by pair; larger ones in blocks.
 SMALL = 64
+#: Stars go on while a round leaves at most this share of the members of large buckets.
+GAIN = 0.9
 ASKED, MEMBERS = 256, 1024
 
 _U = np.uint64
@@ -230,18 +234,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rest = _rest(inside, roots)
     if not rest.isEmpty():
-        # a shingle that only one of the documents in these buckets has can't be part of what a pair shares
-        where = among(texts, "id", rest.select("id").distinct())
-        lone = where.mapInArrow(_shingles(width), "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count("*").alias("u"))
-        rest = table(rest.join(lone, "id", "left").select("bucket", "id", "n", F.coalesce("u", F.lit(0)).alias("u")).filter(f"100 * (n - u) >= {percent} * n"), "rest")
-        open_ = table(_open(rest, roots), "open")
+        rare = table(_rare(among(texts, "id", rest.select("id").distinct()), rest, width, percent), "rare")
+        last = None
+        while True:
+            open_ = table(_open(rare, roots), "open")
+            large = open_.filter(f"size > {SMALL}")
+            now = large.count()
+            if not now or (last is not None and now > GAIN * last):
+                break
+            last = now
+            new = _links(_starred(large, now, percent), texts, width, percent)
+            if new.isEmpty():
+                break
+            roots = table(_merged(roots, new), "roots")
         tiny = open_.filter(f"size <= {SMALL}")
         left, right = (tiny.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "u", "root"))) for s in "ab")
         few = left.join(right, "bucket").filter("ida < idb and roota <> rootb").filter(_could(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
         new = _links(few, texts, width, percent)
-        large = open_.filter(f"size > {SMALL}")
-        if not large.isEmpty():
-            new = new.unionByName(_asked(large, centre, roots, texts, width, percent))
+        if now:
+            new = new.unionByName(_asked(large, roots, texts, width, percent))
         if not new.isEmpty():
             roots = table(_merged(roots, new), "roots")
 
@@ -256,9 +267,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def _asked(large: DataFrame, centre: DataFrame, roots: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _rare(texts: DataFrame, rest: DataFrame, width: int, percent: int) -> DataFrame:
+    """(bucket, id, n, u): each document's rarest shingles among texts(id, text), as buckets; u of its n shingles no other has.
+
+    A link shares at least percent of either document's shingles, so two that link share one of the n - ceil(percent *
+    n / 100) + 1 rarest of each, in one order of all shingles. Of an id with several texts all shingles are taken.
+    """
+    each = table(texts.mapInArrow(_shingles(width), "id long, shingle long"), "shingles")
+    k = each.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1")
+    sizes = rest.select("id", "n").distinct()
+    shared = each.join(k, "shingle")
+    often = texts.groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1")
+    found = sizes.join(shared.groupBy("id").agg(F.count("*").alias("some")), "id").join(often, "id", "left")
+    most = f"if(texts > 1, some, n - ceil({percent} * n / 100) + 1 - u)"
+    asked = found.select("id", "n", "some", "texts", F.expr("if(texts > 1, 0L, n - some)").alias("u")).filter(f"{most} > 0")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("k", "shingle"))
+    return shared.join(asked, "id").withColumn("at", rank).filter(f"at <= {most}").select(F.col("shingle").alias("bucket"), "id", "n", "u")
+
+
+def _starred(large: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's members with one of them, drawn by hash from a component drawn by hash."""
+    drawn = F.struct(F.xxhash64("root", F.lit(turn)).alias("r"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "u", "root")
+    star = large.groupBy("bucket").agg(F.min(drawn).alias("c"))
+    met = large.join(star, "bucket").filter("root <> c.root").select(F.col("id").alias("ida"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("c.id").alias("idb"), F.col("c.n").alias("nb"), F.col("c.u").alias("ub"))
+    return met.filter(_could(percent)).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+
+
+def _asked(large: DataFrame, roots: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links in large buckets, by blocks: (hub, part of those who ask, part of the members)."""
-    at = large.join(centre.select("bucket", F.col("hub.id").alias("hub")), "bucket")
+    hubs = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("hub"))
+    at = large.join(hubs, "bucket")
     rows = at.groupBy("hub", "id", "n", "u", "root").agg(F.collect_set("bucket").alias("buckets"))
     main = roots.select(F.col("node").alias("hub"), F.col("root").alias("main"))
     rows = table(rows.join(main, "hub", "left").withColumn("asks", F.col("root") != F.coalesce("main", "hub")).drop("main"), "large")

@@ -77,3 +77,53 @@ def test_bitmap_filters(spark, bits):
     rest = [r.k for r in without(df, "k", keys, bits).collect()]
     assert got == set(range(0, 500, 7)) and set(rest) == {None, *range(500)} - got and len(rest) == 501 - len(got)
     assert without(df, "k", keys.limit(0), bits).count() == 501 and among(df, "k", keys.limit(0), bits).count() == 0
+
+
+def test_two_groups_that_share_a_passage(spark, monkeypatch):
+    """Large groups of near copies and lone documents that share buckets but don't link: all exact, in few comparisons."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    draw = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    shared, rows = draw(80), []
+    for g in range(3):
+        base = shared + draw(24)
+        for _ in range(60):
+            text = list(base)
+            text[rnd.randrange(len(text))] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(1000 + i, " ".join(shared + draw(20))) for i in range(60)]
+    asked = []
+    links = near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, *a: asked.append(pairs.count()) or links(pairs, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
+    assert asked[0] <= 64 * len(rows) and sum(asked[1:]) < 3 * len(rows), asked
+
+
+def test_ids_with_several_texts(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rnd.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rnd.randrange(0, 5)):
+            text[rnd.randrange(60)] = rnd.choice(vocabulary)
+        rows.append((i // 2, " ".join(text)))
+    sets = [shingles(t, 3) for _, t in rows]
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                x, y = sorted((find(rows[i][0]), find(rows[j][0])))
+                root[y] = x
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == {(d, find(d)) for d, _ in rows}
