@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, history, search
+from . import feed, graph, history, search
 
 
 def json_lines(df: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def history_json(snapshots: DataFrame, links: DataFrame, most: int = 10) -> Data
 
 def catalog(scopes: DataFrame, items: DataFrame) -> DataFrame:
     """(scope, prefix, items): the feeds there are, with how many visible pages each has."""
-    n = items.join(F.broadcast(scopes), F.col("path").startswith(F.col("prefix"))).groupBy("scope").agg(F.count("*").alias("items"))
+    n = feed.below(items, scopes).groupBy("scope").agg(F.count("*").alias("items"))
     return scopes.join(n, "scope", "left").select("scope", "prefix", F.coalesce("items", F.lit(0)).alias("items"))
 
 

@@ -81,13 +81,24 @@ def in_set(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 def scoped(pages: DataFrame, scopes: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
     """(scope, rank, id) for scopes(scope, prefix): each scope's newest visible pages.
 
-    Scopes are few; the join is on the first folder where prefixes have one, else every page is tried.
+    Prefixes are joined as in below().
     """
-    both = pages.join(F.broadcast(scopes), F.col("path").startswith(F.col("prefix")))
+    both = below(pages, scopes)
     order = Window.partitionBy("scope").orderBy(F.desc("date_published"), "id")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("scope", "rank", "id")
 
 
+def below(pages: DataFrame, scopes: DataFrame) -> DataFrame:
+    """pages(path, ...) with each of scopes(scope, prefix, ...) whose prefix their path begins with.
+
+    Prefixes with a folder are joined on their first one; only those without are tried with every page.
+    """
+    first = lambda c: F.substring_index(c, "/", 1)
+    named = scopes.filter(F.col("prefix").contains("/")).withColumn("_first", first(F.col("prefix")))
+    near = pages.withColumn("_first", first(F.col("path"))).join(named, "_first").filter(F.col("path").startswith(F.col("prefix"))).drop("_first")
+    return near.unionByName(pages.join(scopes.filter(~F.col("prefix").contains("/")), F.col("path").startswith(F.col("prefix"))))
+
+
 def retention_plan(items: DataFrame, policy: str, now: str) -> DataFrame:
     """items(subscription, id, date_published, pinned) with `action`: keep, archive or delete.
 

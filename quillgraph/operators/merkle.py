@@ -20,34 +20,41 @@ def vault_root(roots: DataFrame) -> DataFrame:
     return roots.agg(F.count("*").alias("files"), *(part(i).alias(f"s{i}") for i in range(8))).select("files", F.sha2(F.concat_ws(",", F.col("files").cast("string"), *(F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(8))), 256).alias("vault_root_hash"))
 
 
+LEVELS = range(1, 7)
+
+
 def sections(leaves: DataFrame) -> DataFrame:
     """(path, section, heading_pos, level, heading, first, last): from each heading to the next of its level or above.
 
     What stands before the first heading is section 0, without one. `last` includes deeper sections.
     """
     heads = leaves.filter("type = 'heading'").select("path", F.col("pos").alias("heading_pos"), "level", F.col("text").alias("heading"))
-    ends = heads.select("path", F.col("heading_pos").alias("p2"), F.col("level").alias("l2"))
-    stop = heads.join(ends, "path").filter("p2 > heading_pos and l2 <= level").groupBy("path", "heading_pos").agg(F.min("p2").alias("stop"))
-    size = leaves.groupBy("path").agg((F.max("pos") + 1).alias("n"))
-    numbered = heads.withColumn("section", F.row_number().over(Window.partitionBy("path").orderBy("heading_pos")))
-    own = numbered.join(stop, ["path", "heading_pos"], "left").join(size, "path").select("path", "section", "heading_pos", "level", "heading", F.col("heading_pos").alias("first"), (F.coalesce("stop", "n") - 1).alias("last"))
-    intro = leaves.groupBy("path").agg(F.min(F.when(F.col("type") == "heading", F.col("pos"))).alias("h"), (F.max("pos") + 1).alias("n")).filter("h is null or h > 0")
+    # backwards through a file, the last heading met of each level or above is the next one
+    later = Window.partitionBy("path").orderBy(F.desc("heading_pos")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.array(*(F.last(F.when(F.col("level") <= k, F.col("heading_pos")), ignorenulls=True).over(later) for k in LEVELS))
+    numbered = heads.withColumn("stop", F.get(nxt, F.col("level") - 1)).withColumn("section", F.row_number().over(Window.partitionBy("path").orderBy("heading_pos")))
+    size = leaves.groupBy("path").agg(F.min(F.when(F.col("type") == "heading", F.col("pos"))).alias("h"), (F.max("pos") + 1).alias("n"))
+    own = numbered.join(size, "path").select("path", "section", "heading_pos", "level", "heading", F.col("heading_pos").alias("first"), (F.coalesce("stop", "n") - 1).alias("last"))
+    intro = size.filter("h is null or h > 0")
     return own.unionByName(intro.select("path", F.lit(0).alias("section"), F.lit(None).cast("int").alias("heading_pos"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading"), F.lit(0).alias("first"), (F.coalesce("h", "n") - 1).alias("last")))
 
 
 def groundings(leaves: DataFrame) -> DataFrame:
     """(path, pos, start_line, ast_hash, grounding): each rule block with the hash of the section around it.
 
-    The section is that of the nearest heading before the block; rule blocks don't count towards its hash.
+    The section is that of the nearest heading before the block; rule blocks don't count towards its hash. A block
+    lies in the sections of the last heading of each level before it, as far as these reach.
     """
     upto = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = leaves.withColumn("h", F.last(F.when(F.col("type") == "heading", F.col("pos")), ignorenulls=True).over(upto))
-    blocks = marked.filter("type = 'rules'").select("path", "pos", "start_line", F.col("hash").alias("ast_hash"), F.coalesce("h", F.lit(-1)).alias("h"))
-    spans = sections(leaves).select("path", F.coalesce("heading_pos", F.lit(-1)).alias("h"), "first", "last")
-    rest = leaves.filter("type <> 'rules'").select("path", F.col("pos").alias("p"), "hash")
-    text = blocks.join(spans, ["path", "h"]).join(rest, "path").filter("p between first and last")
-    hashed = text.groupBy("path", "pos").agg(F.sort_array(F.collect_list(F.struct("p", "hash"))).alias("x")).select("path", "pos", F.sha2(F.concat_ws("\n", F.transform("x", lambda e: e["hash"])), 256).alias("grounding"))
-    return blocks.drop("h").join(hashed, ["path", "pos"], "left")
+    is_head = F.col("type") == "heading"
+    marked = leaves.withColumn("h", F.coalesce(F.last(F.when(is_head, F.col("pos")), ignorenulls=True).over(upto), F.lit(-1)))
+    blocks = marked.filter("type = 'rules'").select("path", "pos", "start_line", F.col("hash").alias("ast_hash"), "h")
+    over = F.array(*(F.last(F.when(is_head & (F.col("level") == k), F.col("pos")), ignorenulls=True).over(upto) for k in LEVELS), F.when(F.col("h") == -1, F.lit(-1)))
+    rest = marked.withColumn("over", over).filter("type <> 'rules'").select("path", F.col("pos").alias("p"), "hash", F.explode(F.array_compact("over")).alias("h"))
+    spans = sections(leaves).select("path", F.coalesce("heading_pos", F.lit(-1)).alias("h"), "last").join(blocks.select("path", "h").distinct(), ["path", "h"], "left_semi")
+    text = rest.join(spans, ["path", "h"]).filter("p <= last")
+    hashed = text.groupBy("path", "h").agg(F.sort_array(F.collect_list(F.struct("p", "hash"))).alias("x")).select("path", "h", F.sha2(F.concat_ws("\n", F.transform("x", lambda e: e["hash"])), 256).alias("grounding"))
+    return blocks.join(hashed, ["path", "h"], "left").select("path", "pos", "start_line", "ast_hash", "grounding")
 
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:

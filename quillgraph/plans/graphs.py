@@ -295,9 +295,11 @@ def predicate_drift(s, d):
     return lint.spelling_drift(_uses(s, d))
 
 
-@query("relates_to_overuse", f"WITH {USES} SELECT file, count(*) FILTER (WHERE predicate = 'relates_to') AS used, count(*) AS typed, min(line) FILTER (WHERE predicate = 'relates_to') AS line FROM uses GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (WHERE predicate = 'relates_to') > 0.5 * count(*)")
+@query("relates_to_overuse", """WITH u AS (SELECT 'f' || (p_partkey % 50) AS file, CAST(p_size AS INTEGER) AS line, CASE WHEN p_partkey % 50 < 20 AND p_partkey % 7 <> 0 THEN 'relates_to' ELSE 'other' END AS predicate FROM part)
+    SELECT file, count(*) FILTER (WHERE predicate = 'relates_to') AS used, count(*) AS typed, min(line) FILTER (WHERE predicate = 'relates_to') AS line FROM u GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (WHERE predicate = 'relates_to') > 0.5 * count(*)""")
 def relates_to_overuse(s, d):
-    return lint.overuse(_uses(s, d))
+    kind = F.when((F.col("p_partkey") % 50 < 20) & (F.col("p_partkey") % 7 != 0), "relates_to").otherwise("other")
+    return lint.overuse(model.read(s, d, "part").select(F.concat(F.lit("f"), F.expr("cast(p_partkey % 50 as string)")).alias("file"), F.col("p_size").cast("int").alias("line"), kind.alias("predicate")))
 
 
 @query("predicate_lints", f"""WITH {FREQ} SELECT kind, level, count(*) AS n FROM (SELECT 'predicate-prefer-conforms-to' AS kind, 'warning' AS level FROM uses WHERE predicate = 'is_a'

@@ -478,13 +478,6 @@ def vault_status(s, d):
     return find.status(model.edges(s, d), model.pages(s, d), reason.conclusions(_theory(s, d)))
 
 
-@query("overused_relation", """WITH u AS (SELECT 'f' || (p_partkey % 50) AS file, CAST(p_size AS INTEGER) AS line, CASE WHEN p_partkey % 50 < 20 AND p_partkey % 7 <> 0 THEN 'relates_to' ELSE 'other' END AS predicate FROM part)
-    SELECT file, count(*) FILTER (WHERE predicate = 'relates_to') AS used, count(*) AS typed, min(line) FILTER (WHERE predicate = 'relates_to') AS line FROM u GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (WHERE predicate = 'relates_to') > 0.5 * count(*)""")
-def overused_relation(s, d):
-    kind = F.when((F.col("p_partkey") % 50 < 20) & (F.col("p_partkey") % 7 != 0), "relates_to").otherwise("other")
-    return lint.overuse(read(s, d, "part").select(F.concat(F.lit("f"), F.expr("cast(p_partkey % 50 as string)")).alias("file"), F.col("p_size").cast("int").alias("line"), kind.alias("predicate")))
-
-
 @query("lint_messages", """SELECT 'f' || p_partkey AS file, CAST(p_size AS INTEGER) AS line, 'warning' AS level, '`is_a::` asserts identity; prefer `conforms_to::`' AS message FROM part WHERE p_partkey % 5 = 0""")
 def lint_messages(s, d):
     uses = read(s, d, "part").select(F.concat(F.lit("f"), S("p_partkey")).alias("file"), F.col("p_size").cast("int").alias("line"), F.expr("if(p_partkey % 5 = 0, 'is_a', 'conforms_to')").alias("predicate"))

@@ -123,8 +123,13 @@ def leaf_hashes(s, d):
 
 @query("description_lengths")
 def description_lengths(s, d):
-    f = F.udf(lambda t: len(markdown.description(t or "")), "int")
-    return read(s, d, "documents").select("doc_id", f("text").alias("n"))
+    def run(batches):
+        for b in batches:
+            b["description"] = [markdown.description(t or "") for t in b.pop("text")]
+            b["n"] = b["description"].str.len()
+            yield b
+
+    return read(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, description string, n int")
 
 
 # search
@@ -159,7 +164,8 @@ def headings_as_of(s, d):
 @query("vector_top", "SELECT vec_id AS id, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 5) AS score FROM embeddings ORDER BY list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) DESC, vec_id LIMIT 20")
 def vector_top(s, d):
     v = read(s, d, "embeddings")
-    return search.vector_top(v, v.filter("vec_id = 7").first()["embedding"], 20).select("id", F.round("score", 5).alias("score"))
+    asked = v.filter("vec_id = 7").first()
+    return search.vector_top(v, asked["embedding"] if asked else [], 20).select("id", F.round("score", 5).alias("score"))
 
 
 @query("rank_fusion", """WITH a AS (SELECT user_id, row_number() OVER (ORDER BY sum(value) DESC, user_id) AS r FROM events GROUP BY 1 QUALIFY r <= 50), b AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS r FROM events GROUP BY 1 QUALIFY r <= 50)
@@ -521,7 +527,8 @@ def _cohorts(s):
 @query("cohort_backlinks", "WITH t AS (SELECT c_name FROM customer WHERE c_custkey = 1), m AS (SELECT 'odd' AS cohort, c_name AS slug FROM customer WHERE c_custkey % 4 <> 0 AND regexp_matches(c_name, '[13579]$') UNION ALL SELECT 'all', c_name FROM customer WHERE c_custkey % 4 <> 0) SELECT DISTINCT m.cohort, m.slug AS source FROM m JOIN customer c ON c.c_name = m.slug WHERE c.c_nationkey % 5 = 0 AND m.cohort IN (SELECT cohort FROM m WHERE slug IN (SELECT c_name FROM t))")
 def cohort_backlinks(s, d):
     c = read(s, d, "customer")
-    target = c.filter("c_custkey = 1").first()["c_name"]
+    one = c.filter("c_custkey = 1").first()
+    target = one["c_name"] if one else ""
     e = c.filter("c_nationkey % 5 = 0").select(F.col("c_name").alias("source"), F.lit(target).alias("target"))
     return access.scoped_backlinks(e, access.cohort_pages(_cohort_pages(s, d), _cohorts(s)), target)
 
@@ -723,10 +730,10 @@ def theory_problems(s, d):
     return _theory(s, d).problems()
 
 
-@query("why_not", f"WITH {_TH} SELECT 'e2' AS rule, CASE WHEN has THEN 'none' ELSE 'failed_body' END AS blocker, 'has-2' AS what FROM th WHERE k = 2 AND NOT has")
+@query("why_not", f"WITH {_TH} SELECT 's3' AS rule, 'failed_body' AS blocker, 'small-3' AS what FROM th WHERE k = 3")
 def why_not(s, d):
     t = _theory(s, d)
-    return reason.why_not(t, reason.conclusions(t), "exporter-2")
+    return reason.why_not(t, reason.conclusions(t), "~exporter-3")
 
 
 @query("required_facts", f"WITH {_TH} SELECT 's1' AS rule, 'small-1' AS needed FROM th WHERE k = 1 AND NOT small")
@@ -766,10 +773,8 @@ def rate_limit(s, d):
 
 @query("hits_in_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM events")
 def hits_in_window(s, d):
-    from pyspark.sql import Window
-
-    e = read(s, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return e.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-86400000000, 0)).alias("n"))
+    e = read(s, d, "events").select("event_id", F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return watch.hits_within(e, 86400000000).select("event_id", "n")
 
 
 @query("log_replay", "SELECT CAST(user_id AS VARCHAR) AS slug, arg_max(event_type, event_id) AS content, max(event_id) AS seq FROM events e WHERE event_type <> 'error' AND event_id > coalesce((SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error'), -1) GROUP BY 1")

@@ -170,6 +170,12 @@ def rate_limit_stream(hits: DataFrame, window: float, most: int) -> DataFrame:
     return hits.select("key", F.col("t").cast("double").alias("t")).groupBy("key").applyInPandasWithState(run, LIMITED, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def hits_within(hits: DataFrame, window: float) -> DataFrame:
+    """hits(key, t, ...) with `n`: how many of the key lie in the window that ends with each, itself included."""
+    upto = Window.partitionBy("key").orderBy("t").rangeBetween(-window, 0)
+    return hits.withColumn("n", F.count("*").over(upto))
+
+
 def replay(ops: DataFrame) -> DataFrame:
     """(slug, content, seq) from a log of ops(slug, seq, content, truncate): the last content after the last truncation."""
     cut = ops.groupBy("slug").agg(F.max(F.when(F.col("truncate"), F.col("seq"))).alias("_cut"))
