@@ -62,3 +62,36 @@ def test_first_seen(spark, tmp_path):
     step(items, 0)
     step(spark.createDataFrame([("g9", "l3", "", 5), ("g8", "l8", "", 6)], "guid string, link string, hash string, seq int"), 1)
     assert sorted(r.guid for r in spark.read.parquet(str(tmp_path / "known")).collect()) == ["g1", "g3", "g8"]
+
+
+def test_first_seen_again(spark, tmp_path):
+    """An epoch that runs again gives what it gave; empty signals match nothing."""
+    rows = [("g1", "", "", 1), ("g1", "l1", "", 2), ("", "", "", 3), ("", "", "", 4)]
+    items = spark.createDataFrame(rows, "guid string, link string, hash string, seq long")
+    step, path = watch.first_seen(items, str(tmp_path / "seen")), str(tmp_path / "seen")
+    told = lambda: sorted((r.guid, r.link) for r in spark.read.parquet(path).collect())
+    step(items, 0)
+    once = told()
+    step(items, 0)
+    assert told() == once == [("", ""), ("", ""), ("g1", "")]
+    step(items.filter("seq = 2"), 1)
+    assert told() == once
+
+
+def test_watch_goes_on_after_a_restart(spark, tmp_path):
+    seen = []
+
+    def to_graph(pages):
+        v = Vault(pages)
+        return v.edges.select("source", "target"), v.pages.select("page", "path")
+
+    def new():
+        return watch.Watch(spark, to_graph, lambda df, epoch: seen.append((epoch, {(r.event, r.page) for r in df.collect()})), str(tmp_path / "state"))
+
+    schema = "path string, seq long, content string"
+    new().batch(spark.createDataFrame([("a.md", 1, "[[b]]"), ("b.md", 1, "x")], schema), 0)
+    later = spark.createDataFrame([("b.md", 2, None), ("c.md", 2, "y")], schema)
+    new().batch(later, 1)
+    new().batch(later, 1)  # the driver died before the stream knew that the epoch was done
+    assert seen[1] == seen[2] and ("page_removed", "b") in seen[1][1] and ("page_added", "c") in seen[1][1] and ("page_added", "a") not in seen[1][1]
+    assert {r.path for r in new().pages.collect()} == {"a.md", "c.md"}
