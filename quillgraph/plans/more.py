@@ -49,10 +49,10 @@ def blocks_of_type(s, d):
     return merkle.blocks_of(_leaves(s, d), "heading").select("path", F.col("pos").cast("int"), "hash")
 
 
-@query("searched_below", "SELECT CAST(page_id AS VARCHAR) AS page, path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://(.*)$', 1) AS path FROM pages) WHERE starts_with(path, 'www.example.net/')")
+@query("searched_below", "SELECT CAST(page_id AS VARCHAR) AS page, path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*?(example[.][a-z]+/.*)$', 1) AS path FROM pages) WHERE starts_with(path, 'example.net/en/')")
 def searched_below(s, d):
-    p = read(s, d, "pages").select(S("page_id").alias("page"), F.regexp_extract("url", "^[a-z]+://(.*)$", 1).alias("path"))
-    return p.filter(names.path_glob(F.col("path"), "www.example.net/"))
+    p = read(s, d, "pages").select(S("page_id").alias("page"), F.regexp_extract("url", "^[a-z]+://[^/]*?(example[.][a-z]+/.*)$", 1).alias("path"))
+    return p.filter(names.path_glob(F.col("path"), "example.net/en/"))
 
 
 # Markdown
