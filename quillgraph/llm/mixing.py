@@ -50,8 +50,8 @@ def level(sources: DataFrame, most: float) -> float:
         if not sums["weight"]:
             return found or 0.0
         now = (float(sums["all"]) - float(sums["cut"] or 0.0)) / float(sums["weight"])
-        if now == found:
-            return now
+        if found is not None and now <= found:
+            return found
         found = now
 
 

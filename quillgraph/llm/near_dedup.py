@@ -210,8 +210,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = flat.filter("id is not null and n > 0")
 
     # equal sets first: one representative for equal normalised texts
-    reps = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = some.join(reps.filter("copies > 1"), ["d1", "d2"], "left").select("id", "n", "bands", F.coalesce("rep", "id").alias("rep"))
+    reps = table(some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "reps")
+    member = _represented(some, reps).select("id", "n", "bands", F.coalesce("rep", "id").alias("rep"))
     ones = member.filter("id = rep").select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = ones.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     inside = table(ones.join(sizes, "bucket").select("bucket", F.col("rep").alias("id"), "n", "size"), "buckets")
@@ -267,6 +267,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
+#: A text is hot with at least one of so many rows; there are at most so many hot ones.
+HOT = 1_000
+
+
+def _represented(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """some(d1, d2, id, ...) with `rep` of reps(d1, d2, rep, copies), null without one.
+
+    Hot texts, at most HOT, go to every task, and their rows are then dealt out by their ids, so no task has all copies.
+    """
+    every = some.count()
+    hot = F.broadcast(reps.filter(F.col("copies") * HOT >= every).select("d1", "d2", F.col("rep").alias("_hot")))
+    cold = reps.filter(F.col("copies") * HOT < every).select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("rep").alias("_cold"))
+    met = some.join(hot, ["d1", "d2"], "left").withColumn("_own", F.when(F.col("_hot").isNull(), F.col("d1")).otherwise(F.xxhash64("id")))
+    same = (F.col("_own") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & F.col("_hot").isNull()
+    return met.join(cold, same, "left").withColumn("rep", F.coalesce("_hot", "_cold"))
+
+
 def _rare(texts: DataFrame, rest: DataFrame, width: int, percent: int) -> DataFrame:
     """(bucket, id, n, u): each document's rarest shingles among texts(id, text), as buckets; u of its n shingles no other has.
 

@@ -6,7 +6,8 @@ for each of its host's suffixes with each path prefix that is as long as a rule'
 answered by one vectorised binary search, and a hit counts only if the stored string equals the one asked for.
 
 The driver writes the file to the cluster's shared folder and Spark hands it to every executor, also to one that
-replaces a lost one. Its size is that of the rules, not of the data, and is checked against `MAX_BYTES`.
+replaces a lost one. Its size is that of the rules, not of the data, and is checked against `MAX_BYTES`; more rules
+than that are a table, and `judge_urls_by_join` has the same result by joins.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, scratch_root, small
+from .common import lower_ascii, scratch_root, small, table
 
 #: The largest index that is handed to every executor.
 MAX_BYTES = 1 << 30
@@ -159,3 +160,21 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], id_col: str = "page_id", ur
     url = F.col(url_col)
     asks = df.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     return asks.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, host string, path string, rule string, verdict string")
+
+
+def judge_urls_by_join(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """The same as judge_urls() for any number of rules(host, path, verdict), which are a table; of equal rules the last verdict by name holds.
+
+    A url asks by each suffix of its host, and of its path by the lengths that rules of that host have: two joins on
+    keys, in place of the index, which has a largest size.
+    """
+    own = rules.select(lower_ascii(F.col("host")).alias("_host"), F.col("path").alias("_path"), "verdict").groupBy("_host", "_path").agg(F.max("verdict").alias("_verdict"))
+    lengths = own.groupBy("_host").agg(F.collect_set(F.char_length("_path")).alias("_lengths"))
+    url = F.col(url_col)
+    rows = table(df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path")), "urls")
+    labels = F.split("host", r"\.")
+    asks = rows.filter("host <> '' or path <> ''").select("_row", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("_host"))
+    cut = asks.join(lengths, "_host").select("_row", "_host", "path", F.explode("_lengths").alias("_n")).filter(F.col("_n") <= F.char_length("path"))
+    hits = cut.select("_row", "_host", F.substring(F.col("path"), F.lit(1), F.col("_n")).alias("_path")).join(own, ["_host", "_path"])
+    best = hits.groupBy("_row").agg(F.max(F.struct((F.char_length("_host") + F.char_length("_path")).alias("size"), F.char_length("_host").alias("host_size"), F.concat("_host", "_path").alias("rule"), "_verdict")).alias("b"))
+    return rows.join(best, "_row", "left").select(F.col("_id").alias(id_col), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b._verdict", F.lit(default)).alias("verdict"))
