@@ -8,7 +8,7 @@ from ..functions import names
 from ..operators import graph, iterate, lint, rdf
 from ..sources.vault import Vault, choose_parser
 from . import model
-from .registry import query
+from .registry import ORACLES, query
 
 G = model.GRAPH
 
@@ -258,7 +258,7 @@ def rdf_triples(s, d):
     return rdf.triples(model.edges(s, d), model.pages(s, d), _B, VOCABULARY)
 
 
-@query("rdf_ntriples")
+@query("rdf_ntriples", f"""SELECT '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END || ' .' AS value FROM ({ORACLES["rdf_triples"]})""")
 def rdf_ntriples(s, d):
     return rdf.ntriples(rdf_triples(s, d))
 

@@ -355,7 +355,10 @@ def file_roots(s, d):
     return merkle.file_roots(_leaves(s, d))
 
 
-@query("vault_root")
+_PARTS = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0) AS VARCHAR)" for i in range(8))
+
+
+@query("vault_root", f"WITH {_LEAVES}, each AS (SELECT sha256(path || chr(10) || sha256(string_agg(hash, chr(10) ORDER BY pos))) AS h FROM leaves GROUP BY path) SELECT count(*) AS files, sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {_PARTS})) AS vault_root_hash FROM each")
 def vault_root(s, d):
     return merkle.vault_root(merkle.file_roots(_leaves(s, d)))
 
