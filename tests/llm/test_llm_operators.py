@@ -34,6 +34,8 @@ def test_urls(spark):
         1: ("a.example.net", "/en/x", "example.net/en/", "allow"), 2: ("x.net", "", None, "allow"), 3: ("x.net", "/", "net/", "block"), 4: ("notexample.com", "/de/", None, "allow"), 5: ("www.example.com", "/de/", "example.com/de/", "block"),
         6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 8: ("example.net", "/en", "net/", "block"), None: ("a.net", "/b", "net/", "block"), 9: ("", "", None, "allow"), 10: ("y:", "//net/", None, "allow"),
     }
+    by_join = url_filter.judge_urls_by_join(df, spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string"))
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in by_join.collect()} == got
     assert url_filter.judge_urls(df.limit(0), rules).collect() == []
     assert {r.verdict for r in url_filter.judge_urls(df, [], default="block").collect()} == {"block"}
 
