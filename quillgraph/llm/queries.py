@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, langid, mixing, packing, quality, secrets, shard, url_filter
+from . import audit, chat, fingerprint, langid, mixing, packing, quality, ranked, secrets, shard, url_filter
 from .common import read
 from .near_dedup import near_duplicates
 
@@ -64,11 +64,28 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality_rules, op4_sharding, op5_secret_scan, op6_chat_format, op7_packing, op8_mixing, op9_language_id, op10_fingerprint)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interaction_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_near_dedup, op3_quality_rules, op4_sharding, op5_secret_scan, op6_chat_format, op7_packing, op8_mixing, op9_language_id, op10_fingerprint,
+        op11_ranked_search, op13_filter_audit,
+    )
+}
 
 _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_EMPTY = "''"
+_TERMS = f"regexp_extract_all({_LOWER.format('coalesce(text, ' + _EMPTY + ')')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": f"""
         WITH rules(rh, rp, rule, verdict) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
@@ -138,4 +155,31 @@ ORACLES: dict[str, str] = {
                CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op11_ranked_search": f"""
+        WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents),
+        whole AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS l FROM docs),
+        asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        held AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY k, term),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), whole),
+        impacts AS (SELECT k, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(t) * n_docs) // l)) AS impact FROM held JOIN docs USING (k), whole),
+        scores AS (SELECT item_id, k, any_value(doc_id) AS doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, k),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+    "op13_filter_audit": f"""
+        WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format('text')} AS w FROM documents),
+        said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        failed AS (SELECT part, doc_id, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f FROM docs),
+        counted AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM failed LEFT JOIN said USING (doc_id) GROUP BY part, f),
+        letters(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (SELECT a.c || b.c || d.c || e.c || g.c AS o FROM letters a JOIN letters b ON a.c <> b.c JOIN letters d ON d.c NOT IN (a.c, b.c) JOIN letters e ON e.c NOT IN (a.c, b.c, d.c) JOIN letters g ON g.c NOT IN (a.c, b.c, d.c, e.c)),
+        cases AS (SELECT part, o, s, n, g, x, f, o[s] AS c, contains(f, o[s]) AS own, regexp_matches(f, '[' || o[:s - 1] || '0]') AS before FROM counted, orders, range(1, 6) r(s)),
+        sums AS (SELECT part, o, s, c, sum(n) FILTER (NOT own AND NOT before) AS kept, sum(n) FILTER (own AND NOT before) AS removed, sum(n) FILTER (own AND before) AS redundant,
+            sum(n) FILTER (f = c) AS unique_fails, sum(g) FILTER (own AND NOT before) AS good_lost, sum(x) FILTER (own AND NOT before) AS toxic_lost FROM cases GROUP BY part, o, s, c)
+        SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+            CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+            CAST(coalesce(sum(removed) OVER (PARTITION BY part, c), 0) AS BIGINT) AS shapley FROM sums
+    """,
 }

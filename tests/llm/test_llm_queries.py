@@ -18,7 +18,7 @@ def plain(v):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     names = [c[0] for c in cursor.description]
