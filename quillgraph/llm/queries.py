@@ -1,6 +1,6 @@
 """The registered queries of the operators and their SQL for the driver's comparison.
 
-SQL has no tokenizer, no MinHash, no random forest, no fused language model and no draws of a splitting tree: those
+SQL has no tokenizer, no MinHash, no random forest, no random field, no fused language model and no draws of a splitting tree: those
 queries are tested against brute force.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, chat, fingerprint, langid, mixing, packing, quality, ranked, secrets, shard, url_filter
+from . import audit, chat, fingerprint, langid, line_crf, mixing, packing, quality, ranked, secrets, shard, url_filter
 from .common import read
 from .near_dedup import near_duplicates
 
@@ -68,6 +68,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 50)
 
 
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interaction_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -76,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_near_dedup, op3_quality_rules, op4_sharding, op5_secret_scan, op6_chat_format, op7_packing, op8_mixing, op9_language_id, op10_fingerprint,
-        op11_ranked_search, op13_filter_audit,
+        op11_ranked_search, op12_line_quality, op13_filter_audit,
     )
 }
 
