@@ -29,7 +29,7 @@ from .common import small, table
 #: Labelled documents of the fit, half of each label if there are so many, and lines of each.
 SAMPLE, WINDOW = 2_400, 32
 THRESHOLD = 0.7
-STEPS, RATE, RIDGE = 120, 0.1, 1e-3
+STEPS, RATE, RIDGE = 120, 0.1, 1e-4
 #: Lines whose features are held at once where a text is scored.
 CHUNK_LINES = 50_000
 
