@@ -2,7 +2,7 @@
 
 Four kinds of evidence meet in one posterior: how likely the text's letter sequences are in each language, which
 language the markup declares, which suffix the address has, and which languages the host's other pages are in. The
-text model is fitted on a bounded sample of labelled rows (`SAMPLE`). Everything else is counted over all rows by
+text model is fitted on a bounded sample of labelled rows (`SAMPLE`, of at most `LANGS` languages). Everything else is counted over all rows by
 grouped sums: how often a declaration or a suffix goes with a language, and priors of hosts that lean on those of
 their domain, which lean on the whole, the more the fewer pages there are. A page's own text is left out of its host's
 counts, so it isn't heard twice.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, small, table
 
 SAMPLE = 2_000
-#: Labelled rows that a rare language has in the sample, if there are so many.
-LEAST = 50
+#: Labelled rows that a rare language has in the sample, if there are so many; languages that the model has at most, and parts in which its counts are added up.
+LEAST, LANGS, SUMS = 50, 256, 4
 #: Buckets of letter triples, and how much less a triple says because its neighbours say it too.
 BUCKETS, TEMPER, SMOOTH = 1 << 15, 0.25, 0.5
 #: Pages that a domain's, or a host's, higher level counts for.
@@ -90,18 +90,28 @@ def triples(text: str) -> Iterator[np.ndarray]:
         yield ((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA6B) ^ b[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(17)).astype(np.int64)
 
 
+def triple_counts(text: str) -> np.ndarray:
+    """How often each bucket occurs: of one size whatever the text's."""
+    return sum((np.bincount(codes, minlength=BUCKETS) for codes in triples(text)), np.zeros(BUCKETS, np.int64))
+
+
 class TextModel:
     def __init__(self, langs: list[str], log: np.ndarray):
         self.langs, self.log = langs, log
 
+    @classmethod
+    def of_counts(cls, counts: dict[str, np.ndarray]) -> TextModel:
+        """counts: of each language, how often it has each bucket."""
+        langs = sorted(counts)
+        smooth = np.array([counts[lang] for lang in langs], np.float64).reshape(len(langs), BUCKETS).T + SMOOTH
+        return cls(langs, np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
+
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
-        langs = sorted({lang for lang, _ in rows})
-        counts = np.full((BUCKETS, len(langs)), SMOOTH)
+        counts: dict[str, np.ndarray] = {}
         for lang, text in rows:
-            for codes in triples(text):
-                counts[:, langs.index(lang)] += np.bincount(codes, minlength=BUCKETS)
-        return cls(langs, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+            counts[lang] = counts.get(lang, 0) + triple_counts(text)
+        return cls.of_counts(counts)
 
     def score(self, text: str) -> np.ndarray:
         """Log likelihood of each language, tempered; zeros for a text without triples."""
@@ -111,25 +121,57 @@ class TextModel:
         return TEMPER * out
 
 
-def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """From labelled rows of every language that any row has: its share of `sample`, and at least `LEAST` or all it has.
+def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of (lang, ..., counts), counts as the buckets that occur and how often."""
+    *first, counts = zip(*rows)
+    at = [np.flatnonzero(c) for c in counts]
+    lists = [pa.array([i.astype(np.int32) for i in at], pa.list_(pa.int32())), pa.array([c[i] for c, i in zip(counts, at)], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, first), *lists], names=[*names, "buckets", "times"])
+
+
+def _count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches, 32):
+        if batch.num_rows:
+            yield _packed([(lang.as_py(), draw.as_py(), triple_counts(text.as_py())) for lang, draw, text in zip(*batch.columns)], ["lang", "draw"])
+
+
+def _sum_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, buckets, times in zip(*batch.columns):
+            sums = counts.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
+            sums[buckets.values.to_numpy()] += times.values.to_numpy()
+    if counts:
+        yield _packed(list(counts.items()), ["lang"])
+
+
+def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, langs: int = LANGS) -> TextModel:
+    """From labelled rows of every language, of the `langs` most frequent ones if there are more: of each its share of `sample`, and at least `LEAST` or all it has.
 
-    Of a language those with the smallest hashes are drawn, so at most `sample` rows and `LEAST` for each language. A
-    first filter by hash lets about that many through, and always the smallest, so that no task sends the driver more
-    than its share.
+    Of a language those with the smallest hashes of id and text are drawn, and rows equal in both count as one, however
+    often they repeat. A first filter by hash lets a third more through than are drawn, and always the smallest, so no
+    task holds more than that. Texts stay where they are: tasks count their triples, which is at most `BUCKETS` numbers a
+    drawn row, and add them up in `SUMS` parts, which is at most as many for each language in what the driver gets.
     """
     draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40))
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
-    known = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    frequent = labelled.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n"), F.min("draw").alias("first")).orderBy(F.desc("n"), "lang").limit(langs)
+    known = frequent.collect()
     if not known:
         return TextModel.fit([])
     whole = sum(r["n"] for r in known)
     quota = {r["lang"]: max(LEAST, sample * r["n"] // whole) for r in known}
     bounds = [(r["lang"], quota[r["lang"]], max(r["first"] + 1, int((1 << 40) * min(1.0, 1.3 * quota[r["lang"]] / r["n"])))) for r in known]
     most = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long, below long"))
-    drawn = labelled.join(most, "lang").filter("draw < below").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id")))
-    rows = drawn.filter("k <= most").select("lang", "text").collect()
-    return TextModel.fit([(r[0], r[1]) for r in rows])
+    asked = labelled.join(most, "lang").filter("draw < below").select("lang", "draw", "text")
+    counted = asked.mapInArrow(_count_triples, "lang string, draw long, buckets array<int>, times array<long>")
+    once = counted.groupBy("lang", "draw").agg(F.first(F.struct("buckets", "times")).alias("c"))
+    ranked = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).join(most, "lang").filter("k <= most")
+    sums = ranked.select("lang", "c.buckets", "c.times").coalesce(SUMS).mapInArrow(_sum_triples, "lang string, buckets array<int>, times array<long>")
+    counts: dict[str, np.ndarray] = {}
+    for lang, buckets, times in sums.toLocalIterator():
+        counts.setdefault(lang, np.zeros(BUCKETS, np.int64))[buckets] += np.array(times, np.int64)
+    return TextModel.of_counts(counts)
 
 
 def _evidence(model: TextModel, pages: bool, kind: str):

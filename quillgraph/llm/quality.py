@@ -24,8 +24,8 @@ SYMBOL = r"[#*$%&|<>]"
 ALONE = r"[^\p{L}\p{N}]"
 #: What a word may end in twice without being noise: letters, digits and dots.
 PLAIN = r"[\p{L}\p{N}.]$"
-#: Two capitals and no small letter.
-SHOUTED = r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$"
+#: A shouted word has two capitals and no small letter.
+TWO_CAPITALS, SMALL_LETTER = r"\p{Lu}\P{Lu}*\p{Lu}", r"\p{Ll}"
 LETTER = r"\p{L}"
 BOILERPLATE = (
     r"\b(?:cookie policy|accept (?:all )?cookies|all rights reserved|terms of (?:use|service)|privacy policy|"
@@ -33,7 +33,7 @@ BOILERPLATE = (
     r"javascript is (?:disabled|required)|enable javascript|lorem ipsum|back to top|powered by)\b"
 )
 
-_symbol, _alone, _plain, _shouted, _letter = map(regex.compile, (SYMBOL, ALONE, PLAIN, SHOUTED, LETTER))
+_symbol, _alone, _plain, _two_capitals, _small_letter, _letter = map(regex.compile, (SYMBOL, ALONE, PLAIN, TWO_CAPITALS, SMALL_LETTER, LETTER))
 #: A line without this has no shouted word.
 _capitals = regex.compile(r"\p{Lu}\S*\p{Lu}")
 _boilerplate = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
@@ -69,7 +69,7 @@ def failing(line: str, words: list[str], limits: Limits) -> str | None:
             return "repeated"
         if _capitals.search(line):
             letters = sum(1 for w in words if _letter.search(w))
-            if letters and sum(1 for w in words if _shouted.match(w)) >= limits.shouting * letters:
+            if letters and sum(1 for w in words if _two_capitals.search(w) and not _small_letter.search(w)) >= limits.shouting * letters:
                 return "shouting"
     return None
 

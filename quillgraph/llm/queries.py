@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
             OR (len(w) <= 20 AND regexp_matches(line, '{quality.BOILERPLATE}', 'i'))
             OR (len(w) >= 8 AND (list_max(map_values(list_histogram(w))) >= 0.4 * len(w)
                 OR (len(list_filter(w, lambda x: regexp_matches(x, '{quality.LETTER}'))) > 0 AND
-                    len(list_filter(w, lambda x: regexp_matches(x, '{quality.SHOUTED}'))) >= 0.8 * len(list_filter(w, lambda x: regexp_matches(x, '{quality.LETTER}')))))) AS failed
+                    len(list_filter(w, lambda x: regexp_matches(x, '{quality.TWO_CAPITALS}') AND NOT regexp_matches(x, '{quality.SMALL_LETTER}'))) >= 0.8 * len(list_filter(w, lambda x: regexp_matches(x, '{quality.LETTER}')))))) AS failed
             FROM lines WHERE len(w) > 0),
         by_doc AS (SELECT k, count(*) FILTER (WHERE again) AS dup, count(*) FILTER (WHERE failed) AS n_failed, coalesce(sum(length(array_to_string(w, ''))) FILTER (WHERE failed), 0) AS lost FROM judged GROUP BY k),
         windows AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) > 3)),

@@ -31,14 +31,16 @@ _HEADER = r"[A-Za-z][A-Za-z0-9-]*+:(?:(?!\\+[nr])[^\r\n])*+"
 _WHOLE = rf"(?:[A-Za-z0-9+/=]|{_SPACE})*+{_END}"
 _TAIL = rf"(?:[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}+|(?=\s*\Z|\\*[\"']))|(?=[A-Za-z]*+[0-9+/])[A-Za-z0-9+/]{{1,15}}+(?=[\r\n]|\\+[nr]))"
 _CUT = rf"[A-Za-z0-9+/]{{16,}}+={{0,2}}+(?:{_SPACE}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{_SPACE}++{_TAIL})?"
+#: A character of a part of a web token. Runs of them are taken whole and a match begins where a run does, so no character is read again and again.
+_PART = "[A-Za-z0-9_-]"
 #: Candidates by kind. Group 1, if there is one, is the secret; the rest is its context.
 PATTERNS = {
     "cloud_key": r"\b((?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16})\b",
     "service_token": r"\b((?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}))",
-    "web_token": r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
+    "web_token": rf"(?<!{_PART})(?={_PART}++\.{_PART}{{8,}}+\.{_PART}{{8}})(?:{_PART}*?-)??(eyJ{_PART}{{8,}}+\.{_PART}{{8,}}+\.{_PART}{{8,}}+)",
     "private_key": rf"({_BEGIN}(?:{_SPACE}*+(?:{_HEADER}{_SPACE}++)*+(?:{_WHOLE}|{_CUT}))?)",
-    "assigned": r"(?i)\b(?:[a-z0-9]{0,20}[_-])?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,})",
-    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{3,}+)@",
+    "assigned": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*+(?::=|=>|=|:)\s*+[\"']?([^\s\"'<>,;]{6,}+)",
+    "url_password": r"(?i)(?<=[a-z0-9+.-])://[^\s/:@]*+:([^\s/@]{3,}+)@",
     "opaque": r"(?<![A-Za-z0-9_+/=-])((?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9_+/=-])",
 }
 _patterns = [(k, re.compile(p)) for k, p in PATTERNS.items()]
