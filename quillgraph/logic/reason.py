@@ -8,6 +8,8 @@ grow, so the rounds are at most as many as the longest chain of rules.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -126,11 +128,11 @@ def why_not(theory: Theory, found: DataFrame, literal: str) -> DataFrame:
     return failed.unionByName(beaten).unionByName(defeaters).distinct()
 
 
-def require(theory: Theory, found: DataFrame, literal: str, most: int = 5, rounds: int = 50) -> DataFrame:
-    """(rule, needed): for up to `most` rules for the literal, what would have to be given.
+def require(theory: Theory, found: DataFrame, literal: str, most: int = 5, rounds: int | None = None) -> DataFrame:
+    """(rule, needed, open): for up to `most` rules for the literal, what would have to be given.
 
     A missing body literal is replaced by the body of the first rule for it, in file and line order, until nothing
-    missing has a rule.
+    missing has a rule. With a number of rounds, what then still has one is given, too, as open.
     """
     good = found.filter(F.col("tag").isin("+D", "+d")).select("literal").distinct()
     rules = theory.rules.filter("kind <> 'defeater'")
@@ -138,20 +140,26 @@ def require(theory: Theory, found: DataFrame, literal: str, most: int = 5, round
     cand = rules.filter(F.col("head") == literal).orderBy("path", "line", "label").limit(most).select(F.col("label").alias("rule"))
     front = table(cand.join(theory.body, F.col("rule") == F.col("label")).select("rule", "literal").join(good, "literal", "left_anti").distinct(), "front")
     seen, leaves = front, None
-    for _ in range(rounds):
+    for done in count(1):
         led = front.join(first, F.col("literal") == F.col("head"), "left")
-        ends = led.filter("sub is null").select("rule", F.col("literal").alias("needed"))
+        ends = led.filter("sub is null").select("rule", F.col("literal").alias("needed"), F.lit(False).alias("open"))
         leaves = ends if leaves is None else leaves.unionByName(ends)
         nxt = led.filter("sub is not null").select("rule", "sub").distinct().join(theory.body, F.col("sub") == F.col("label")).select("rule", "literal").join(good, "literal", "left_anti").join(seen, ["rule", "literal"], "left_anti").distinct()
         front = table(nxt, "front")
         if front.isEmpty():
             break
+        if done == rounds:
+            leaves = leaves.unionByName(front.select("rule", F.col("literal").alias("needed"), F.lit(True).alias("open")))
+            break
         seen = seen.unionByName(front)
     return leaves.distinct()
 
 
-def explain(theory: Theory, found: DataFrame, literal: str, depth: int = 10) -> DataFrame:
-    """(depth, literal, tag, rule, body): the proof tree of a literal, from the rules whose whole body holds."""
+def explain(theory: Theory, found: DataFrame, literal: str, depth: int | None = None) -> DataFrame:
+    """(depth, literal, tag, rule, body): the proof tree of a literal, from the rules whose whole body holds.
+
+    With a depth the tree is cut there: a body literal without a row of its own is further down.
+    """
     good = strongest(found.filter(F.col("tag").isin("+D", "+d")))
     bodies = theory.body.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "literal"))).alias("b")).select("label", F.transform("b", lambda x: x["literal"]).alias("body"))
     lacking = theory.body.join(good, "literal", "left_anti").select("label").distinct()
@@ -160,9 +168,11 @@ def explain(theory: Theory, found: DataFrame, literal: str, depth: int = 10) ->
     front = table(spark.createDataFrame([(literal,)], "literal string").join(good, "literal"), "front")
     out = None
     seen = front.select("literal")
-    for d in range(depth + 1):
+    for d in count():
         rows = front.join(usable, F.col("literal") == F.col("head"), "left").select(F.lit(d).alias("depth"), "literal", "tag", F.col("r.label").alias("rule"), F.col("r.body").alias("body"))
         out = rows if out is None else out.unionByName(rows)
+        if d == depth:
+            break
         front = table(rows.select(F.explode("body").alias("literal")).distinct().join(seen, "literal", "left_anti").join(good, "literal"), "front")
         if front.isEmpty():
             break
@@ -218,27 +228,31 @@ def _written(c: Column) -> Column:
     return F.when(c.startswith("~"), F.concat(F.lit("(not "), F.substring(c, F.lit(2), F.length(c)), F.lit(")"))).otherwise(c)
 
 
-def explain_failure(theory: Theory, found: DataFrame, literal: str, depth: int = 10) -> DataFrame:
-    """(depth, literal, tag, rule, role, body, lacking, path, line): why a literal isn't provable.
+def explain_failure(theory: Theory, found: DataFrame, literal: str, depth: int | None = None) -> DataFrame:
+    """(depth, literal, tag, rule, role, kind, body, lacking, path, line): why a literal isn't provable.
 
     A row for each rule of role `for`, with those of its body's literals that don't hold, and of role `against`, whose
-    head is the negation. What is lacking is explained in turn, down to `depth`; a literal without rules has one row.
+    head is the negation: rules of all kinds, so defeaters, too. What is lacking is explained in turn, as deep as it
+    goes or down to `depth`; a literal without rules has one row. Of a literal's tags -d is given before -D: that it
+    fails defeasibly says more than that nothing strict proves it.
     """
     good = found.filter(F.col("tag").isin("+D", "+d")).select("literal").distinct()
-    tags = strongest(found).withColumnRenamed("tag", "_tag")
+    tags = found.groupBy("literal").agg(F.max("tag").alias("_tag"))  # "-d" sorts after "-D"
     parts = theory.body.join(good.withColumn("ok", F.lit(True)), "literal", "left")
     bodies = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "literal", F.coalesce("ok", F.lit(False)).alias("ok")))).alias("b"))
     own = bodies.select("label", F.transform("b", lambda x: x["literal"]).alias("body"), F.transform(F.filter("b", lambda x: ~x["ok"]), lambda x: x["literal"]).alias("lacking"))
     told = theory.rules.join(own, "label", "left").select("label", "head", "kind", "body", "lacking", "path", "line")
     pro = told.filter("kind <> 'defeater'").select(F.col("head").alias("q"), F.lit("for").alias("role"), "*")
     con = told.select(negate(F.col("head")).alias("q"), F.lit("against").alias("role"), "*")
-    sides = table(pro.unionByName(con).drop("head", "kind"), "sides")
+    sides = table(pro.unionByName(con).drop("head"), "sides")
     front = table(found.sparkSession.createDataFrame([(literal,)], "literal string").join(good, "literal", "left_anti"), "front")
     seen, out = front, None
-    for d in range(depth + 1):
-        rows = front.join(sides, F.col("literal") == F.col("q"), "left").join(tags, "literal", "left").select(F.lit(d).alias("depth"), "literal", F.coalesce("_tag", F.lit("none")).alias("tag"), F.col("label").alias("rule"), "role", "body", "lacking", "path", "line")
+    for d in count():
+        rows = front.join(sides, F.col("literal") == F.col("q"), "left").join(tags, "literal", "left").select(F.lit(d).alias("depth"), "literal", F.coalesce("_tag", F.lit("none")).alias("tag"), F.col("label").alias("rule"), "role", "kind", "body", "lacking", "path", "line")
         rows = table(rows, "rows")
         out = rows if out is None else out.unionByName(rows)
+        if d == depth:
+            break
         front = table(rows.filter("role = 'for'").select(F.explode("lacking").alias("literal")).distinct().join(seen, "literal", "left_anti"), "front")
         if front.isEmpty():
             break

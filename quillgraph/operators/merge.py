@@ -13,10 +13,20 @@ from pyspark.sql import functions as F
 SHARD_BYTES = 16 << 20
 
 
-def last_writer_wins(shards: DataFrame) -> DataFrame:
-    """(ext, key, value) of shards(ext, key, value, seq): the value of the highest seq; shards over the size limit don't count."""
-    size = shards.groupBy("ext", "seq").agg(F.sum(F.octet_length("key") + F.octet_length("value")).alias("_b")).filter(F.col("_b") <= SHARD_BYTES)
-    return shards.join(size, ["ext", "seq"], "left_semi").groupBy("ext", "key").agg(F.max_by("value", "seq").alias("value"))
+def shard_sizes(shards: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
+    """(ext, seq, bytes, counts): how large each shard is, and whether last_writer_wins reads it."""
+    size = F.sum(F.octet_length("key") + F.octet_length("value"))
+    return shards.groupBy("ext", "seq").agg(size.alias("bytes")).withColumn("counts", F.col("bytes") <= most)
+
+
+def last_writer_wins(shards: DataFrame, most: int | None = SHARD_BYTES) -> DataFrame:
+    """(ext, key, value) of shards(ext, key, value, seq): the value of the highest seq.
+
+    Shards of more than `most` bytes don't count, and shard_sizes tells which; with None all do.
+    """
+    if most is not None:
+        shards = shards.join(shard_sizes(shards, most).filter("counts"), ["ext", "seq"], "left_semi")
+    return shards.groupBy("ext", "key").agg(F.max_by("value", "seq").alias("value"))
 
 
 def nearest_rank(c: str, share: float) -> Column:

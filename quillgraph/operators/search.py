@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import dot, hamming, text_fingerprint
+from .history import number
 
 #: BM25 and rank fusion: the usual parameters.
 K1, B, RRF_K = 1.2, 0.75, 60
-MOST_HITS = 10_000
 
 
 def tokens(text: Column) -> Column:
@@ -102,12 +102,13 @@ def stale_chunks(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(before, ["path", "idx"], "left").filter(~F.col("content_hash").eqNullSafe(F.col("_old"))).select("path", "idx")
 
 
-def ranked_pages(hits: DataFrame, order: list[Column]) -> DataFrame:
-    """(page, rank): hits in order, the first of each page only, ranked from 1."""
+def ranked_pages(hits: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+    """(page, rank): hits in order, the first of each page only, ranked from 1; all pages unless there is a limit."""
     first = Window.partitionBy("page").orderBy(*order)
-    one = hits.withColumn("_k", F.row_number().over(first)).filter("_k = 1")
-    top = one.orderBy(*order).limit(MOST_HITS)  # a bounded list is ranked, never the corpus
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("page", "rank")
+    one = hits.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    if limit is None:
+        return number(one, order, "rank", 1).select("page", F.col("rank").cast("int").alias("rank"))
+    return one.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("page", "rank")
 
 
 def fuse_ranks(*lists: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -14,10 +14,7 @@ from ..functions import names
 from ..operators import graph
 from ..scratch import table
 from . import markdown
-
-#: Folders that are never scanned, whatever the options.
-NEVER = (".git", "node_modules")
-ENDINGS = (".md", ".fountain", ".spl")
+from .scan import ENDINGS, NEVER, Rules, reachable, scan
 
 _LINK = "array<struct<target_page:string,raw_target:string,heading:string,block_ref:string,alias:string,is_embed:boolean,line:int,column:int,predicates:array<string>,annotation:string>>"
 _HEADING = "array<struct<offset:int,line:int,level:int,text:string>>"
@@ -51,8 +48,14 @@ def scanned(paths: DataFrame, exclude: tuple[str, ...] = (), include_hidden: boo
 
 
 def read_folder(spark: SparkSession, root: str, **options) -> DataFrame:
-    """(path, content, mtime) of the files below root that a scan keeps; paths are relative."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, content, mtime) of the files below root that a scan keeps; paths are relative.
+
+    Where pyarrow can reach the folder, folders that a scan leaves out are neither listed nor opened. In other stores
+    Spark lists all files, by their endings, and opens those that the filter on paths leaves.
+    """
+    if reachable(root):
+        return scan(spark, root, Rules(**options))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(ENDINGS) + "}").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     path = F.regexp_replace("path", "^(?:[a-z]+:(?://[^/]*)?)?" + names._plain(base) + "/", "")
     return scanned(files.select(path.alias("path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("mtime")), **options)
