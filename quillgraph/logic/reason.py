@@ -1,82 +1,22 @@
-"""Defeasible reasoning by rounds over DataFrames, and what is asked of its conclusions.
+"""What is asked of the conclusions of defeasible reasoning.
 
 The propositional proof theory with ambiguity blocking: +D and -D are what strict rules prove and cannot prove, +d and
--d what holds and fails defeasibly. Every round derives all tags that the previous ones allow, by grouped Booleans over
-rule bodies and joins of rules with their attackers, until a round adds none; so cyclic literals get no tag. Tags only
-grow, so the rounds are at most as many as the longest chain of rules.
+-d what holds and fails defeasibly. Tags only grow, each derived from others, until nothing more follows; so cyclic
+literals get no tag. `parts` finds them.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import literal_matches
 from ..scratch import table
+from .parts import TAGS, conclusions, negate, revised  # noqa: F401
 from .rules import Theory
 
-TAGS = ("+D", "-D", "+d", "-d")
-#: Their columns; names of columns don't tell capitals apart.
-NAMES = ("def_yes", "def_no", "yes", "no")
-
-
-def negate(c: Column) -> Column:
-    return F.when(c.startswith("~"), F.substring(c, F.lit(2), F.length(c))).otherwise(F.concat(F.lit("~"), c))
-
-
-def literals(theory: Theory) -> DataFrame:
-    """Every literal of the theory and its negation."""
-    own = theory.rules.select(F.col("head").alias("literal")).unionByName(theory.body.select("literal")).unionByName(theory.facts.select("literal"))
-    return own.unionByName(own.select(negate(F.col("literal")).alias("literal"))).distinct()
-
-
-def conclusions(theory: Theory) -> DataFrame:
-    """(literal, tag) of every literal that is tagged."""
-    rules = table(theory.rules.select("label", "kind", "head"), "rules")
-    body, sup = table(theory.body.select("label", "literal"), "body"), table(theory.superiority, "superiority")
-    facts = table(theory.facts.select("literal").distinct(), "facts")
-    lits = table(literals(theory), "literals")
-    # what is tagged so far, as four Booleans a literal
-    state = table(lits.select("literal", *(F.lit(False).alias(n) for n in NAMES)), "state")
-    n = 0
-    while True:
-        seen = Observation()
-        state = table(_round(lits, rules, body, facts, sup, state), "state", seen, *(F.count_if(c).alias(c) for c in NAMES))
-        now = sum(seen.get.values())
-        if now == n:
-            break
-        n = now
-    tags = F.filter(F.array(*(F.when(F.col(n), F.lit(t)) for n, t in zip(NAMES, TAGS, strict=True))), lambda t: t.isNotNull())
-    return state.select("literal", F.explode(tags).alias("tag"))
-
-
-def _round(lits: DataFrame, rules: DataFrame, body: DataFrame, facts: DataFrame, sup: DataFrame, state: DataFrame) -> DataFrame:
-    s = state
-    used = body.join(s, "literal").groupBy("label").agg(F.bool_and("def_yes").alias("all_sure"), F.bool_or("def_no").alias("some_barred"), F.bool_and("yes").alias("all_hold"), F.bool_or("no").alias("some_fail"))
-    r = rules.join(used, "label", "left").na.fill(True, ["all_sure", "all_hold"]).na.fill(False, ["some_barred", "some_fail"])
-    # attackers of a literal, each with whether some stronger rule for the literal beats it, and whether all such are discarded
-    support = r.filter("kind <> 'defeater'").select("head", F.col("label").alias("t"), F.col("all_hold").alias("t_ok"), F.col("some_fail").alias("t_out"))
-    attack = r.select(negate(F.col("head")).alias("q"), F.col("label").alias("s"), F.col("all_hold").alias("s_ok"), F.col("some_fail").alias("s_out"))
-    beats = attack.select("q", "s").join(sup, F.col("s") == F.col("inferior")).join(support, (F.col("t") == F.col("superior")) & (F.col("head") == F.col("q"))).groupBy("q", "s").agg(F.bool_or("t_ok").alias("beaten"), F.bool_and("t_out").alias("none_left"))
-    foes = attack.join(beats, ["q", "s"], "left").na.fill(False, ["beaten"]).na.fill(True, ["none_left"])
-    foe = foes.groupBy("q").agg(F.bool_and(F.col("s_out") | F.col("beaten")).alias("foes_out"), F.bool_or(F.col("s_ok") & F.col("none_left")).alias("foe_wins"))
-    mine = r.groupBy(F.col("head").alias("q")).agg(
-        F.bool_or((F.col("kind") == "strict") & F.col("all_sure")).alias("strict_ok"), F.bool_and((F.col("kind") != "strict") | F.col("some_barred")).alias("strict_out"),
-        F.bool_or((F.col("kind") != "defeater") & F.col("all_hold")).alias("some_ok"), F.bool_and((F.col("kind") == "defeater") | F.col("some_fail")).alias("all_out"),
-    )
-    other = s.select(negate(F.col("literal")).alias("literal"), F.col("def_yes").alias("other_sure"), F.col("def_no").alias("other_barred"))
-    all_ = (
-        s.join(facts.withColumn("given", F.lit(True)), "literal", "left").join(mine.withColumnRenamed("q", "literal"), "literal", "left").join(foe.withColumnRenamed("q", "literal"), "literal", "left").join(other, "literal", "left")
-        .na.fill(False, ["given", "strict_ok", "some_ok", "foe_wins", "other_sure", "other_barred"]).na.fill(True, ["strict_out", "all_out", "foes_out"])
-    )
-    sure = F.col("def_yes") | F.col("given") | F.col("strict_ok")
-    barred = F.col("def_no") | (~F.col("given") & F.col("strict_out"))
-    holds = F.col("yes") | F.col("def_yes") | (F.col("some_ok") & F.col("other_barred") & F.col("foes_out"))
-    fails = F.col("no") | (F.col("def_no") & (F.col("all_out") | F.col("other_sure") | F.col("foe_wins")))
-    return all_.select("literal", *(c.alias(n) for c, n in zip((sure, barred, holds, fails), NAMES, strict=True)))
-
 
 def strongest(found: DataFrame) -> DataFrame:
     """(literal, tag): one tag each, +D before +d before -D before -d."""
@@ -224,6 +164,29 @@ def export(theory: Theory) -> DataFrame:
     return facts.unionByName(rules).unionByName(sup).orderBy("k", "value").select("value")
 
 
+def export_json(theory: Theory, found: DataFrame | None = None) -> DataFrame:
+    """(part, value): the theory as JSON objects, one for each fact, rule and preference, one with the summary and, with conclusions, one for each.
+
+    Names and forms are those of the JSON export. A positive conclusion has the places that prove it, sorted.
+    """
+    make = lambda *columns: F.to_json(F.struct(*columns)).alias("value")
+    place = (F.col("path").alias("source_file"), F.col("line").alias("source_line"), F.col("page").alias("source_page"))
+    bodies = theory.body.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "literal"))).alias("b")).select("label", F.transform("b", lambda x: x["literal"]).alias("body"))
+    facts = theory.facts.select(F.lit("facts").alias("part"), make("literal", *place))
+    rules = theory.rules.join(bodies, "label", "left").select(F.lit("rules").alias("part"), make("label", F.initcap("kind").alias("rule_type"), F.coalesce("body", F.array().cast("array<string>")).alias("body"), "head", *place))
+    better = theory.superiority.select(F.lit("superiority").alias("part"), make("superior", "inferior"))
+    counts = theory.facts.agg(F.count("*").alias("fact_count")).crossJoin(theory.rules.agg(F.count_if(F.col("kind") != "defeater").alias("rule_count"), F.count_if(F.col("kind") == "defeater").alias("defeater_count")))
+    counts = counts.crossJoin(theory.superiority.agg(F.count("*").alias("superiority_count"))).crossJoin(theory.rules.select("path").unionByName(theory.facts.select("path")).agg(F.count_distinct("path").alias("source_file_count")))
+    out = facts.unionByName(rules).unionByName(better).unionByName(counts.select(F.lit("summary").alias("part"), make(*counts.columns)))
+    if found is None:
+        return out
+    proofs = proof_sources(theory, found).groupBy("literal").agg(F.sort_array(F.collect_set(F.struct("path", "line", "page"))).alias("p")).select("literal", F.transform("p", lambda x: F.struct(x["page"].alias("page"), x["path"].alias("path"), x["line"].alias("line"))).alias("p"))
+    told = found.join(proofs, "literal", "left")
+    sources = F.when(F.col("tag").startswith("+"), F.col("p"))
+    none = F.array().cast("array<struct<page:string,path:string,line:int>>")
+    return out.unionByName(told.select(F.lit("conclusions").alias("part"), make("literal", F.col("tag").alias("conclusion_type"), F.coalesce(sources, none).alias("proof_sources"))))
+
+
 def _written(c: Column) -> Column:
     return F.when(c.startswith("~"), F.concat(F.lit("(not "), F.substring(c, F.lit(2), F.length(c)), F.lit(")"))).otherwise(c)
 

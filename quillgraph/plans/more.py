@@ -408,13 +408,14 @@ def explained(s, d):
     return reason.explain(t, reason.conclusions(t), "known-4").select("depth", "literal", "tag", "rule", F.array_join("body", ",").alias("body"))
 
 
-@query("explained_failure", f"""WITH {_TH} SELECT 0 AS depth, '~exporter-1' AS literal, '-d' AS tag, 's1' AS rule, 'for' AS role, 'small-1' AS body, 'small-1' AS lacking, 'n1.md' AS path FROM th WHERE k = 1
-    UNION ALL SELECT 0, '~exporter-1', '-d', 'e1', 'against', 'has-1', CASE WHEN has THEN '' ELSE 'has-1' END, 'n1.md' FROM th WHERE k = 1 UNION ALL SELECT 1, 'small-1', '-D', NULL, NULL, NULL, NULL, NULL FROM th WHERE k = 1""")
+@query("explained_failure", f"""WITH {_TH}, t AS (SELECT '~exporter-' || k AS literal, CASE WHEN small AND NOT has THEN '+d' ELSE '-d' END AS tag FROM th UNION ALL SELECT 'small-' || k, CASE WHEN small THEN '+D' ELSE '-d' END FROM th)
+    SELECT 0 AS depth, literal, tag, 's1' AS rule, 'for' AS role, 'small-1' AS body, 'small-1' AS lacking, 'n1.md' AS path FROM th JOIN t ON literal = '~exporter-1' WHERE k = 1
+    UNION ALL SELECT 0, literal, tag, 'e1', 'against', 'has-1', CASE WHEN has THEN '' ELSE 'has-1' END, 'n1.md' FROM th JOIN t ON literal = '~exporter-1' WHERE k = 1
+    UNION ALL SELECT 1, literal, tag, NULL, NULL, NULL, NULL, NULL FROM t WHERE literal = 'small-1'""")
 def explained_failure(s, d):
     t = _theory(s, d)
     told = reason.explain_failure(t, reason.conclusions(t), "~exporter-1")
-    tag = F.when((F.col("tag") == "-D") & (F.col("literal") == "~exporter-1"), "-d").otherwise(F.col("tag"))
-    return told.select("depth", "literal", tag.alias("tag"), "rule", "role", F.array_join("body", ",").alias("body"), F.array_join("lacking", ",").alias("lacking"), "path")
+    return told.select("depth", "literal", "tag", "rule", "role", F.array_join("body", ",").alias("body"), F.array_join("lacking", ",").alias("lacking"), "path")
 
 
 @query("conflict_suggestions", f"""WITH {_TH} SELECT 'exporter-' || k AS literal, 'e' || k AS rule, 'prefer' AS action, 's' || k AS other FROM th UNION ALL SELECT 'exporter-' || k, 's' || k, 'prefer', 'e' || k FROM th

@@ -739,7 +739,7 @@ def why_not(s, d):
     return reason.why_not(t, reason.conclusions(t), "~exporter-3")
 
 
-@query("required_facts", f"WITH {_TH} SELECT 's1' AS rule, 'small-1' AS needed FROM th WHERE k = 1 AND NOT small")
+@query("required_facts", f"WITH {_TH} SELECT 's1' AS rule, 'small-1' AS needed, false AS open FROM th WHERE k = 1 AND NOT small")
 def required_facts(s, d):
     t = _theory(s, d)
     return reason.require(t, reason.conclusions(t), "~exporter-1")
