@@ -117,6 +117,7 @@ def stats(edges: DataFrame, pages: DataFrame, top: int = 10, with_components: bo
     from ..scratch import table
     from .iterate import components
 
+    edges = table(edges.select("source", "target"), "edges")  # read three times, made once
     per = edges.groupBy(F.col("target").alias("page")).agg(F.count("*").alias("n")).filter("page is not null")
     known = table(pages.select("page", F.lit(True).alias("paged")).distinct().join(per, "page", "full"), "targets")
     out = known.agg(

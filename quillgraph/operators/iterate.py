@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..scratch import table
 
@@ -41,8 +42,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", local: int = 0) ->
 
     Alternating large-star and small-star steps over a table of edges, each a pre-aggregated minimum and a join that
     can be split where a node has very many edges. Nodes without an edge to another are not listed. A graph of at most
-    `local` edges is one task's work instead, which spares small ones the rounds.
+    `local` edges is one task's work instead, which spares small ones the rounds. Nodes that are texts are numbered
+    first, so the rounds move numbers only.
     """
+    if not local and isinstance(edges.schema[a].dataType, StringType):
+        return _named(edges, a, b)
     seen = Observation()
     now = table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges", *([seen, F.count(F.lit(1)).alias("n")] if local else []))
     if local and seen.get["n"] <= local:
@@ -64,6 +68,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", local: int = 0) ->
     return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _named(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """components() of nodes that are texts, over numbers of them."""
+    pairs = table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "pairs")
+    names = table(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    left, right = (names.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id")) for c in "ab")
+    found = components(pairs.join(left, "a").join(right, "b").select("a_id", "b_id"), "a_id", "b_id")
+    told = table(found.join(names.withColumnRenamed("id", "node"), "node").select("name", F.col("root").alias("group")), "named")
+    return told.join(told.groupBy("group").agg(F.min("name").alias("root")), "group").select(F.col("name").alias("node"), "root")
+
+
 def reach(steps: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) of what lies within max_depth of start(node), along steps(source, target); depth is the least."""
     steps = steps.select("source", "target").filter("target is not null")

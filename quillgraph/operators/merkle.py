@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import source_ref_class
+from ..scratch import table
 
 
 def file_roots(leaves: DataFrame) -> DataFrame:
@@ -57,11 +58,46 @@ def groundings(leaves: DataFrame) -> DataFrame:
     return blocks.join(hashed, ["path", "h"], "left").select("path", "pos", "start_line", "ast_hash", "grounding")
 
 
+#: Lines are below 2**40.
+LINE_LEVELS = 40
+
+
+def _pieces(start: Column, end: Column) -> Column:
+    """The lines from start to end as disjoint blocks (level, index): block i of level k is [i * 2**k, (i + 1) * 2**k).
+
+    Level by level, from both ends inwards, the block that has no sibling in what is left is taken.
+    """
+
+    def step(s: Column, k: Column) -> Column:
+        a, b = s["a"], s["b"]
+        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        taken = F.array_compact(F.array(F.when(left, a), F.when(right, b - 1)))
+        halved = lambda x: F.shiftright(x, 1)
+        return F.struct(
+            halved(F.when(left, a + 1).otherwise(a)).alias("a"), halved(F.when(right, b - 1).otherwise(b)).alias("b"),
+            F.concat(s["out"], F.transform(taken, lambda i: F.struct(k.alias("level"), i.alias("index")))).alias("out"),
+        )
+
+    first = F.struct(start.cast("long").alias("a"), (end.cast("long") + 1).alias("b"), F.array().cast("array<struct<level:int,index:bigint>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LINE_LEVELS)), first, step, lambda s: s["out"])
+
+
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """points(path, line, ...) with the columns of the span(path, start_line, end_line, ...) around the line, if any."""
-    extra = [c for c in spans.columns if c not in ("path",)]
-    s = spans.select("path", *extra)
-    return points.join(s, (points["path"] == s["path"]) & (points["line"] >= s["start_line"]) & (points["line"] <= s["end_line"]), "left").drop(s["path"])
+    """points(path, line, ...) with the columns of each span(path, start_line, end_line, ...) around the line; nulls if there is none.
+
+    A span is cut into blocks of powers of two lines, at most two of each size, and a point asks for the one block of
+    each size that it lies in, so they meet by equality: work follows points, spans and the pairs that are found, also
+    in a file that has a large share of both. Lines are 0 or more; a span that ends before it starts, or lacks an end,
+    holds nothing.
+    """
+    extra = [c for c in spans.columns if c != "path"]
+    known = spans.filter("start_line <= end_line").select(F.col("path").alias("_path"), F.struct(*extra).alias("_span"), F.explode(_pieces(F.col("start_line"), F.col("end_line"))).alias("_b"))
+    cut = table(known.select("_path", F.col("_b.level").alias("_level"), F.col("_b.index").alias("_index"), "_span"), "pieces")
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())  # 41 at most
+    rows = table(points.withColumn("_row", F.monotonically_increasing_id()), "points")
+    asks = rows.select("_row", F.col("path").alias("_path"), F.col("line").cast("long").alias("_line"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("_level")).withColumn("_index", F.expr("shiftright(_line, _level)"))
+    hits = table(asks.join(cut, ["_path", "_level", "_index"]).select("_row", "_span"), "hits")
+    return rows.join(hits, "_row", "left").select(*points.columns, *(F.col(f"_span.{c}").alias(c) for c in extra))
 
 
 def resolve_block_ids(refs: DataFrame, leaves: DataFrame) -> DataFrame:

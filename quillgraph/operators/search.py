@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import dot, hamming, text_fingerprint
+from ..scratch import table
 from .history import number
 
 #: BM25 and rank fusion: the usual parameters.
@@ -81,6 +84,47 @@ def similar(prints: DataFrame, text: str, threshold: int = 12, limit: int = 10)
     return prints.select("id", away.alias("distance")).filter(F.col("distance") <= threshold).orderBy("distance", "id").limit(limit)
 
 
+#: Parts of a fingerprint that are compared by equality.
+PARTS, PART_BITS = 4, 16
+
+
+def _radii(threshold: int) -> list[int]:
+    """How many bits each part may differ in: of two fingerprints at most threshold bits apart, one part is that near."""
+    each, more = divmod(threshold, PARTS)
+    return [each if p <= more else each - 1 for p in range(PARTS)]
+
+
+def _masks(threshold: int) -> list[tuple[int, int]]:
+    """(part, mask): every difference that a part may have; 9,080 with a threshold of 16."""
+    return [(p, sum(1 << b for b in bits)) for p, r in enumerate(_radii(threshold)) for n in range(r + 1) for bits in combinations(range(PART_BITS), n)]
+
+
+def similar_all(prints: DataFrame, questions: DataFrame, threshold: int = 12, limit: int = 10) -> DataFrame:
+    """(question, rank, id, distance): for each of questions(question, fingerprint) what similar() gives, nearest first, ties by id.
+
+    Multi-index hashing: fingerprints are cut into parts, and one part of two that are near differs in few bits, so
+    questions ask for their own parts with all such differences and meet fingerprints by equality. Equal fingerprints
+    meet once, with the `limit` smallest ids of each, as no more of them can be among the nearest. A null fingerprint is
+    near nothing, a null id is none. threshold is below 20.
+    """
+    if threshold >= 5 * PARTS:
+        raise ValueError("a threshold of so many bits is a comparison with everything")
+    spark, first = prints.sparkSession, Window.partitionBy("fingerprint").orderBy("id")
+    few = prints.filter("fingerprint is not null and id is not null").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= limit).select("id", "fingerprint")
+    few = table(few, "few")
+    part = lambda p: F.shiftrightunsigned("fingerprint", PART_BITS * p).bitwiseAND((1 << PART_BITS) - 1)
+    parts = F.posexplode(F.array(*map(part, range(PARTS)))).alias("part", "key")
+    have = few.select("fingerprint").distinct().select("fingerprint", parts)
+    asked = questions.select("fingerprint").filter("fingerprint is not null").distinct().select(F.col("fingerprint").alias("ask"), parts)
+    masks = F.broadcast(spark.createDataFrame(_masks(threshold), "part int, mask long"))
+    keys = asked.join(masks, "part").select("ask", "part", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
+    away = hamming(F.col("ask"), F.col("fingerprint"))
+    near_ = table(keys.join(have, ["part", "key"]).select("ask", "fingerprint", away.alias("distance")).filter(F.col("distance") <= threshold).distinct(), "near")
+    hits = near_.join(few, "fingerprint").select(F.col("ask").alias("_ask"), "id", "distance")
+    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("_ask").orderBy("distance", "id"))).filter(F.col("rank") <= limit)
+    return questions.select("question", F.col("fingerprint").alias("_ask")).join(best, "_ask").select("question", "rank", "id", "distance")
+
+
 def nearest_literals(literals: DataFrame, wanted: str, threshold: int = 16, limit: int = 5) -> DataFrame:
     return similar(literals.select(F.col("literal").alias("id"), text_fingerprint("literal").alias("fingerprint")), wanted, threshold, limit)
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..logic import parts, reason
 from ..logic.rules import Theory
+from ..operators import search
+from ..operators.vectors import VectorIndex
 from ..streaming.vault_watch import VaultWatch
 from .more import _place
 from .registry import query
@@ -131,3 +133,32 @@ def watched_orders(s, d):
     again = c.filter("moves").withColumn("content", F.lit(None).cast("string")).unionByName(o.filter("moves").withColumn("content", F.concat("content", F.lit(" See [[urgent list]]."))))
     w.batch(again.drop("moves"), 1)
     return s.read.parquet(at).select("epoch", "event", "page", "target")
+
+
+@query("sign_neighbours", """WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+    near AS (SELECT q.vec_id AS question, x.vec_id AS id, CAST(len(list_filter(list_zip(q.b, x.b), lambda p: p[1] <> p[2])) AS INTEGER) AS distance FROM f q, f x WHERE q.vec_id % 20 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY distance, id) AS INTEGER) AS rank FROM near WHERE distance <= 16) SELECT question, rank, id, distance FROM ranked WHERE rank <= 10""")
+def sign_neighbours(s, d):
+    """The signs of a vector as a fingerprint: for each question the ten nearest of all vectors, up to 16 bits away."""
+    bits = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, y) -> a | y)")
+    prints = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("fingerprint"))
+    return search.similar_all(prints, prints.filter("id % 20 = 0").select(F.col("id").alias("question"), "fingerprint"), 16, 10)
+
+
+@query("similar_documents")
+def similar_documents(s, d):
+    """Every twentieth document's similar ones by the fingerprints of texts; tests compare with all pairs."""
+    prints = search.fingerprints(read(s, d, "documents"), "doc_id").filter("id is not null")
+    return search.similar_all(prints, prints.filter("id % 20 = 0").select(F.col("id").alias("question"), "fingerprint"))
+
+
+_DOT = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+
+
+@query("nearest_vectors", f"""WITH scored AS (SELECT q.vec_id AS question, e.vec_id AS id, {_DOT} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+    ranked AS (SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS INTEGER) AS rank, id, round(score, 5) AS score FROM scored) SELECT * FROM ranked WHERE rank <= 10""")
+def nearest_vectors(s, d):
+    """For each question the ten nearest of all vectors, by an index of cells."""
+    e = read(s, d, "embeddings")
+    index = VectorIndex.build(e, _place(s, "cells"), cells=64)
+    return index.nearest(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 5))
