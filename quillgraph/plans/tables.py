@@ -196,12 +196,12 @@ def embeddings_reused(s, d):
     return search.embed_missing(read(s, d, "customer").select(F.md5(S("c_custkey")).alias("content_hash")), known).groupBy(F.col("embedding").isNull().alias("n")).agg(F.count("*").alias("chunks"))
 
 
-@query("near_filter", f"WITH {model.GRAPH} SELECT DISTINCT source AS page FROM edges_ WHERE predicate = 'based_in' AND target = 'nation:3' AND source LIKE 'customer:%'")
+@query("near_filter", f"WITH {model.GRAPH} SELECT DISTINCT page FROM pages_ WHERE page = 'nation:3' OR page IN (SELECT source FROM edges_ WHERE target = 'nation:3') OR page IN (SELECT target FROM edges_ WHERE source = 'nation:3')")
 def near_filter(s, d):
     e = model.edges(s, d)
     from ..operators.iterate import neighbourhood
 
-    return search.near(model.pages(s, d).filter("page like 'customer:%'").select("page"), neighbourhood(e, "nation:3", 1))
+    return search.near(model.pages(s, d).select("page"), neighbourhood(e, "nation:3", 1))
 
 
 # the predicate language
@@ -527,12 +527,12 @@ def _cohorts(s):
     return s.createDataFrame([("own", "^$"), ("odd", "[13579]$"), ("all", None)], "cohort string, pattern string")
 
 
-@query("cohort_backlinks", "WITH t AS (SELECT c_name FROM customer WHERE c_custkey = 1), m AS (SELECT 'odd' AS cohort, c_name AS slug FROM customer WHERE c_custkey % 4 <> 0 AND regexp_matches(c_name, '[13579]$') UNION ALL SELECT 'all', c_name FROM customer WHERE c_custkey % 4 <> 0) SELECT DISTINCT m.cohort, m.slug AS source FROM m JOIN customer c ON c.c_name = m.slug WHERE c.c_nationkey % 5 = 0 AND m.cohort IN (SELECT cohort FROM m WHERE slug IN (SELECT c_name FROM t))")
+@query("cohort_backlinks", "WITH t AS (SELECT c_name FROM customer WHERE c_custkey = 1), m AS (SELECT 'odd' AS cohort, c_name AS slug FROM customer WHERE c_custkey % 4 <> 0 AND regexp_matches(c_name, '[13579]$') UNION ALL SELECT 'all', c_name FROM customer WHERE c_custkey % 4 <> 0) SELECT DISTINCT m.cohort, m.slug AS source FROM m JOIN customer c ON c.c_name = m.slug WHERE m.cohort IN (SELECT cohort FROM m WHERE slug IN (SELECT c_name FROM t))")
 def cohort_backlinks(s, d):
     c = read(s, d, "customer")
     one = c.filter("c_custkey = 1").first()
     target = one["c_name"] if one else ""
-    e = c.filter("c_nationkey % 5 = 0").select(F.col("c_name").alias("source"), F.lit(target).alias("target"))
+    e = c.select(F.col("c_name").alias("source"), F.lit(target).alias("target"))
     return access.scoped_backlinks(e, access.cohort_pages(_cohort_pages(s, d), _cohorts(s)), target)
 
 
@@ -608,12 +608,19 @@ def feed_catalog(s, d):
     return export.catalog(scopes, _items(s, d))
 
 
-@query("full_text_hits", """SELECT CAST(doc_id AS VARCHAR) AS path, CAST(n AS INTEGER) AS line, CAST(strpos(lower(line), 'nicht') AS INTEGER) AS "column" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
-    WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])nicht($|[^\\p{L}\\p{N}])')) WHERE strpos(lower(line), 'nicht') > 0""")
+@query("full_text_hits", r"""WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ts FROM documents),
+    sizes AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t), tf AS (SELECT doc_id, text, len(ts) AS dl, len(list_filter(ts, lambda x: x = 'nicht')) AS tf FROM t),
+    scored AS (SELECT doc_id, text, (SELECT ln(1 + (n - df + 0.5) / (df + 0.5)) FROM sizes, (SELECT count(*) AS df FROM tf WHERE tf > 0)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT mean FROM sizes))) AS score FROM tf WHERE tf > 0),
+    lines AS (SELECT *, unnest(string_split(text, chr(10))) AS line_, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM scored),
+    heads AS (SELECT *, max(CASE WHEN n % 3 = 1 THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS h FROM lines)
+    SELECT CAST(doc_id AS VARCHAR) AS path, CAST(n AS INTEGER) AS line, CAST(strpos(lower(line_), 'nicht') AS INTEGER) AS "column", substr(line_, greatest(strpos(lower(line_), 'nicht') - 40, 1), strpos(lower(line_), 'nicht') - greatest(strpos(lower(line_), 'nicht') - 40, 1) + 45) AS context,
+        'line ' || h AS heading, CAST(1 + h % 2 AS INTEGER) AS heading_level, round(score, 5) AS score FROM heads WHERE strpos(lower(line_), 'nicht') > 0""")
 def full_text_hits(s, d):
+    """Every third line from the first counts as a heading."""
     pages = read(s, d, "documents").select(S("doc_id").alias("page"), S("doc_id").alias("path"), F.col("text").alias("content"))
-    heads = pages.limit(0).select("path", F.lit(1).alias("line"), F.lit("").alias("text"), F.lit(1).alias("level"))
-    return find.full_text(pages, heads, "nicht", 1_000_000).select("path", "line", "column")
+    lines = pages.select("path", F.posexplode(F.split("content", "\n")).alias("n", "x")).filter("n % 3 = 0").select("path", (F.col("n") + 1).alias("line"))
+    heads = lines.select("path", "line", F.concat(F.lit("line "), S("line")).alias("text"), (1 + F.col("line") % 2).alias("level"))
+    return find.full_text(pages, heads, "nicht", 1_000_000_000).drop("page").withColumn("score", F.round("score", 5))
 
 
 @query("page_by_name", "SELECT n_name AS page, 0 AS distance FROM nation WHERE n_nationkey = 7")

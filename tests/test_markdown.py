@@ -138,3 +138,24 @@ def test_generated_vault(spark):
     v = Vault(generate(spark, 60, 5))
     e = v.edges
     assert e.count() == 300 and 0.1 < e.filter("is_ghost").count() / 300 < 0.35
+
+
+def test_descriptions_at_the_limit():
+    fits = "a" * 79 + " " + "b" * 80
+    assert len(fits) == 160 and md.fitted(fits) == fits and md.fitted(f"  {fits}\n") == fits
+    # 160 characters that end with a word, and more: the word goes, as the blank inside the limit is the last
+    assert md.fitted(fits + " c") == "a" * 79 + "…"
+    assert md.fitted("a" * 155 + ", " + "b" * 20) == "a" * 155 + "…" and md.fitted("a" * 158 + "--" + "b" * 9) == "a" * 158 + "…"
+    assert md.fitted("a" * 159 + " b c") == "a" * 159 + "…"
+
+
+def test_excerpts():
+    body = lambda n: " ".join(["word"] * n)
+    assert md.excerpt("<p>One &amp; two.</p>\n<p>Three\nfour.</p>", 50) == "One & two.\n\nThree four."
+    assert md.excerpt(f"<p>{body(48)}.</p><div>A b. C d e. F.</div>", 50) == body(48) + ".\n\nA b."
+    assert md.excerpt(f"<p>{body(50)}</p><p>More.</p>", 50) == body(50)
+    assert md.excerpt(f"<p>{body(60)}.</p><p>More.</p>", 50) == "" and md.excerpt("", 50) == "" == md.excerpt("<p></p> ", 99)
+    assert md.excerpt("a<br>b <video x>no<p>no</VIDEO >c<img src=x>d<script>never ends <p>x", 50) == "a\n\nb cd"
+    assert md.excerpt("a <b", 50) == "a" and md.excerpt("1 &lt; 2 &amp;lt; 3 é<i>ü</i>", 50) == "1 < 2 < 3 éü"
+    assert md.excerpt(f"<p>Pi is 3.14. Then {body(60)}.</p>", 50) == "Pi is 3. 14."
+    assert len(md.excerpt("x. " * 900, 900).split()) == 500 and md.excerpt("<p" * 200_000, 50) == "" and md.excerpt("<style>" * 100_000, 50) == ""
