@@ -66,7 +66,7 @@ def examples(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of an example, as array<struct<role, text>>."""
+    """The turns of an example, as array<struct<role, text>>: null of null, none of an empty text."""
     parts = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p: p != "")
     cut = lambda p: F.split(F.substring(p, F.lit(1), F.char_length(p) - len(END)), r"<\|says\|>", 2)
     return F.transform(parts, lambda p: F.transform(F.array(cut(p)), lambda x: F.struct(unescape(F.get(x, F.lit(0))).alias("role"), unescape(F.get(x, F.lit(1))).alias("text")))[0])

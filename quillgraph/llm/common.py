@@ -28,6 +28,7 @@ def for_texts(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the driver's, as it is: nulls are left to the operators."""
     for_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

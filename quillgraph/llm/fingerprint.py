@@ -33,7 +33,7 @@ def shingles(text: Column) -> Column:
 
 
 def values(text: Column) -> Column:
-    """One value for each bin, or an empty array for a text without words."""
+    """One value for each bin, or an empty array for a text without words, as an empty one; null of a null text."""
     bin_ = lambda v: F.shiftright(v, LOW)
     # the largest number of each bin stands for "empty", so that the first of each bin is there to find
     ends = F.array(*(F.lit(((b + 1) << LOW) - 1) for b in range(BINS)))

@@ -198,7 +198,11 @@ def host_of(url: Column) -> Column:
 
 
 def evidence(rows: DataFrame, model: TextModel, id_col: str, body_col: str, host: Column, pages: bool) -> DataFrame:
-    """(id, host, declared, log, post) of each row: what its own text and markup say."""
+    """(id, host, declared, log, post) of each row: what its own text and markup say.
+
+    A null text counts as empty: its log likelihoods are all zero and its post is the same for all languages. A null
+    host is empty. Ids may be null or repeat.
+    """
     asks = rows.select(F.col(id_col).alias("id"), F.col(body_col).alias("body"), F.coalesce(host, F.lit("")).alias("host"))
     run, schema = _evidence(model, pages, asks.schema["id"].dataType.simpleString())
     return asks.mapInArrow(run, schema)
