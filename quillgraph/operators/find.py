@@ -16,11 +16,11 @@ def context(text: Column, column: Column, length: Column, around: int) -> Column
     return F.substring(text, start, column - start + length + around)
 
 
-def full_text(pages: DataFrame, headings: DataFrame, query: str, limit: int = 20, glob: str | None = None, near: DataFrame | None = None) -> DataFrame:
+def full_text(pages: DataFrame, headings: DataFrame, query: str, limit: int | None = 20, glob: str | None = None, near: DataFrame | None = None) -> DataFrame:
     """(page, path, line, column, context, heading, heading_level, score) of pages(page, path, content).
 
     Pages that hold a term are ranked, and their lines that hold one are the hits: by score, path and line. The limit
-    comes before the filter by near(node), so there can be fewer hits than it allows.
+    comes before the filter by near(node), so there can be fewer hits than it allows; with None all hits are given.
     """
     if glob:
         pages = pages.filter(path_glob(F.col("path"), glob))
@@ -29,7 +29,8 @@ def full_text(pages: DataFrame, headings: DataFrame, query: str, limit: int = 20
     lines = search.line_matches(found, query, "path", "content")
     hits = lines.withColumnRenamed("id", "path").join(found.select("path", "page", "score"), "path").withColumn("offset", F.col("line").cast("long"))
     marked = search.with_headings(hits, headings.select("path", F.col("line").cast("long").alias("offset"), "text", "level"))
-    top = marked.select("page", "path", "line", "column", "context", "heading", "heading_level", "score").orderBy(F.desc("score"), "path", "line").limit(limit)
+    top = marked.select("page", "path", "line", "column", "context", "heading", "heading_level", "score").orderBy(F.desc("score"), "path", "line")
+    top = top if limit is None else top.limit(limit)
     return search.near(top, near) if near is not None else top
 
 

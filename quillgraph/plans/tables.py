@@ -620,7 +620,7 @@ def full_text_hits(s, d):
     pages = read(s, d, "documents").select(S("doc_id").alias("page"), S("doc_id").alias("path"), F.col("text").alias("content"))
     lines = pages.select("path", F.posexplode(F.split("content", "\n")).alias("n", "x")).filter("n % 3 = 0").select("path", (F.col("n") + 1).alias("line"))
     heads = lines.select("path", "line", F.concat(F.lit("line "), S("line")).alias("text"), (1 + F.col("line") % 2).alias("level"))
-    return find.full_text(pages, heads, "nicht", 1_000_000_000).drop("page").withColumn("score", F.round("score", 5))
+    return find.full_text(pages, heads, "nicht", None).drop("page").withColumn("score", F.round("score", 5))
 
 
 @query("page_by_name", "SELECT n_name AS page, 0 AS distance FROM nation WHERE n_nationkey = 7")
