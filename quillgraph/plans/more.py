@@ -12,7 +12,7 @@ from ..logic import reason
 from ..logic.rules import load_theory, save_theory
 from ..operators import access, export, feed, find, graph, history, hooks, lint, merkle, search
 from ..scratch import scratch_root
-from ..sources import vault
+from ..sources import epochs, vault
 from ..streaming import watch
 from . import model
 from .graphs import _markdown
@@ -183,6 +183,16 @@ def event_log(s, d):
     return s.read.schema("event_id long, event_type string").json(at).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("event_epochs", "SELECT event_id, event_type FROM events")
+def event_epochs(s, d):
+    """The events as a stream, whose epoch is done twice, as by a driver that died before it was noted."""
+    at, e = _place(s, "epochs"), read(s, d, "events").select("event_id", "event_type")
+    for _ in range(2):
+        stream = s.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        epochs.start(stream, at, _place(s, "epochs-checkpoint")).awaitTermination()
+    return epochs.read(s, at, "event_id long, event_type string")
+
+
 @query("searched_index", r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ts FROM documents), sizes AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t),
     tf AS (SELECT doc_id, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM t) WHERE term IN ('nicht', 'con') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
     SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score FROM tf JOIN df USING (term), sizes GROUP BY 1""")
