@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..logic import reason
 from ..logic.rules import load_theory, save_theory
-from ..operators import access, export, feed, find, graph, history, hooks, lint, merkle, search
+from ..operators import access, export, feed, find, graph, history, hooks, lint, merkle, search, segments
 from ..scratch import scratch_root
 from ..sources import epochs, vault
 from ..streaming import watch
 from . import model
 from .graphs import _markdown
-from .registry import query
+from .registry import ORACLES, query
 from .tables import _GROUND, _LEAVES, _TH, D, S, _leaves, _theory, read
 
 
@@ -202,6 +202,17 @@ def searched_index(s, d):
     return export.query_index(s, at, "nicht con").select("id", F.round("score", 6).alias("score"))
 
 
+@query("edited_index", ORACLES["searched_index"] + " ORDER BY 2 DESC, 1 LIMIT 50")
+def edited_index(s, d):
+    """The best fifty after edits: first every text stands backwards beside a copy, then copies go and texts are put right."""
+    index, docs = segments.SegmentIndex(s, _place(s, "segments"), "long"), read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    wrong = docs.select("id", F.reverse("text").alias("text"))
+    copies = docs.select((-F.col("id") - 1).alias("id"), "text")
+    index.edit(0, wrong.unionByName(copies))
+    index.edit(1, docs, removed=copies.select("id"))
+    return index.top("nicht con", 50).select("id", F.round("score", 6).alias("score"))
+
+
 # stored states
 
 
