@@ -13,7 +13,7 @@ from ..logic.rules import load_theory, save_theory
 from ..operators import access, export, feed, find, graph, history, hooks, lint, merkle, search, segments
 from ..scratch import scratch_root
 from ..sources import epochs, vault
-from ..streaming import watch
+from ..streaming import seen, watch
 from . import model
 from .graphs import _markdown
 from .registry import ORACLES, query
@@ -213,6 +213,19 @@ def edited_index(s, d):
     return index.top("nicht con", 50).select("id", F.round("score", 6).alias("score"))
 
 
+@query("first_seen_items")
+def first_seen_items(s, d):
+    """The events as feed items in three batches: those of which neither user and kind, nor minute and kind, nor value was new before."""
+    e = read(s, d, "events")
+    items = e.select(F.col("event_id").alias("seq"), F.concat_ws("/", "user_id", "event_type").alias("guid"), F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd HH:mm"), "event_type").alias("link"), F.coalesce(S("value"), F.lit("")).alias("hash"))
+    cuts = e.agg(F.percentile_approx("event_id", [0.4, 0.7])).first()[0] or [0, 0]
+    at = _place(s, "first-seen")
+    step = seen.FirstSeen(s, f"{at}/state", lambda df, epoch: df.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}"))
+    for k, part in enumerate((items.filter(F.col("seq") <= cuts[0]), items.filter((F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1])), items.filter(F.col("seq") > cuts[1]))):
+        step(part, k)
+    return s.read.schema("seq long, guid string, link string, hash string, epoch long").parquet(f"{at}/out").select("seq", "guid", "link", "hash")
+
+
 # stored states
 
 

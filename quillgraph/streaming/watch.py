@@ -94,25 +94,22 @@ def reconcile(served: DataFrame, files: DataFrame) -> DataFrame:
 def first_seen(items: DataFrame, known_path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch that appends items(guid, link, hash, ...) which no signal has shown before to a table of all seen.
 
-    An epoch that is run again replaces its own rows and sees those of the others only.
+    An epoch that is run again replaces its own rows and sees those of the others only. Each batch reads the whole table;
+    seen.FirstSeen reads what its signals ask for.
     """
-    from ..operators.feed import seen_before
+    from .seen import SIGNALS, new_items
 
     spark = items.sparkSession
 
     def batch(df: DataFrame, epoch: int) -> None:
-        # inside a batch the first of each signal counts; rows without the signal all stay
-        for c in ("guid", "link", "hash"):
-            told = df.filter(f"coalesce({c}, '') <> ''")
-            first = told.withColumn("_k", F.row_number().over(Window.partitionBy(c).orderBy("seq"))).filter("_k = 1").drop("_k")
-            df = table(first.unionByName(df.filter(f"coalesce({c}, '') = ''")), "firsts")
         try:
             known = spark.read.schema("guid string, link string, hash string, epoch long").parquet(known_path).filter(F.col("epoch") != epoch)
         except Exception as e:  # there is no table before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = spark.createDataFrame([], "guid string, link string, hash string")
-        new = table(seen_before(df, known).filter("not seen").select("guid", "link", "hash"), "new")
+        lent = known.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in SIGNALS))).alias("s")).select("s.*").filter("value <> ''")
+        new = table(new_items(df, lent).select("guid", "link", "hash"), "new")
         new.write.mode("overwrite").parquet(f"{known_path.rstrip('/')}/epoch={epoch}")
 
     return batch
