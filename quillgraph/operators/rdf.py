@@ -15,6 +15,7 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 PROV = "http://www.w3.org/ns/prov#"
 DCTERMS = "http://purl.org/dc/terms/"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
+KNOWN = {"rdf": RDF, "rdfs": RDFS, "prov": PROV, "dcterms": DCTERMS, "skos": SKOS}
 
 
 def iri_encode(text: Column) -> Column:
@@ -41,42 +42,81 @@ def predicate_iri(predicate: Column, base: str, v: Vocabulary | None) -> Column:
     return F.coalesce(F.concat(space, F.regexp_replace(curie, "^[^:]*:", "")), own)
 
 
-def triples(edges: DataFrame, pages: DataFrame, base: str, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """(s, p, o, o_kind), distinct: each typed edge, the statement about it, and the vocabulary as a concept scheme.
+def _parts(edges: DataFrame, pages: DataFrame, base: str, vocabulary: Vocabulary | None) -> tuple[DataFrame, DataFrame]:
+    """(s, source, target, predicate, annotation, line, path) of each statement, and all other triples, distinct.
 
-    Statements are numbered by the place of their edge among all edges in order, untyped ones included.
+    A statement's subject is its own, so its triples are distinct as they are: they are made from its row where they are
+    needed, and only the links themselves and the vocabulary are compared with each other.
     """
-    numbered = history.number(edges.select("source", "target", "predicate", "annotation", "line"), [F.col("source"), F.col("target"), F.asc_nulls_first("predicate"), F.col("line"), F.col("annotation")], "i")
-    typed = numbered.filter("predicate is not null").join(pages.groupBy(F.col("page").alias("source")).agg(F.min("path").alias("path")), "source", "left")
-    page = lambda c: F.concat(F.lit(base + "page/"), iri_encode(F.col(c)))
-    t = lambda s, p, o, kind: F.struct(s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
-    stmt, s, o = F.concat(F.lit(base + "statement/"), F.col("i").cast("string")), page("source"), page("target")
+    numbered = history.number(edges.select("source", "target", "predicate", "annotation", "line"), [F.col("source"), F.col("target"), F.asc_nulls_first("predicate"), F.col("line"), F.col("annotation")], "i").filter("predicate is not null")
+    where = pages.groupBy(F.col("page").alias("source")).agg(F.min("path").alias("path"))
+    stated = numbered.join(where.hint("shuffle_hash"), "source", "left").select(F.concat(F.lit(base + "statement/"), F.col("i").cast("string")).alias("s"), "source", "target", "predicate", "annotation", "line", "path")
     p = predicate_iri(F.col("predicate"), base, vocabulary)
-    about = F.array(
-        t(s, p, o, "iri"), t(stmt, RDF + "type", F.lit(RDF + "Statement"), "iri"), t(stmt, RDF + "subject", s, "iri"), t(stmt, RDF + "predicate", p, "iri"), t(stmt, RDF + "object", o, "iri"), t(stmt, PROV + "wasAttributedTo", s, "iri"),
-        t(stmt, DCTERMS + "source", F.concat_ws(":", "path", F.col("line").cast("string")), "literal"), t(stmt, RDFS + "comment", F.col("annotation"), "literal"),
-    )
-    stated = typed.select(F.explode(about).alias("t"), "path").filter(F.col("t.o").isNotNull() & ~((F.col("t.p") == DCTERMS + "source") & F.col("path").isNull())).select("t.*")
+    links = edges.filter("predicate is not null and target is not null").select(_page("source", base).alias("s"), p.alias("p"), _page("target", base).alias("o"), F.lit("iri").alias("o_kind"))
     labels = {k: x for k, x in (vocabulary.labels if vocabulary else {}).items() if x}
-    terms = typed.select("predicate").distinct()
-    concept = predicate_iri(F.col("predicate"), base, vocabulary)
+    t = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
     scheme = F.lit(base + "vocabulary")
-    words = terms.select(F.explode(F.array(t(concept, RDF + "type", F.lit(SKOS + "Concept"), "iri"), t(concept, SKOS + "inScheme", scheme, "iri"), t(concept, SKOS + "prefLabel", display_label(F.col("predicate"), labels), "literal"))).alias("t")).select("t.*")
+    words = edges.filter("predicate is not null").select("predicate").distinct().select(F.explode(F.array(t(p, RDF + "type", F.lit(SKOS + "Concept"), "iri"), t(p, SKOS + "inScheme", scheme, "iri"), t(p, SKOS + "prefLabel", display_label(F.col("predicate"), labels), "literal"))).alias("t")).select("t.*")
     top = edges.sparkSession.range(1).select(t(scheme, RDF + "type", F.lit(SKOS + "ConceptScheme"), "iri").alias("t")).select("t.*")
-    return stated.unionByName(words).unionByName(top).distinct()
+    return stated, links.unionByName(words).unionByName(top).distinct()
 
 
-def ntriples(found: DataFrame) -> DataFrame:
-    """One line a triple, in order."""
+def _page(c: str, base: str) -> Column:
+    return F.concat(F.lit(base + "page/"), iri_encode(F.col(c)))
+
+
+def _told(stated: DataFrame, base: str, vocabulary: Vocabulary | None, *keep: str) -> DataFrame:
+    """(s, about, *keep): what is said of each statement, as an array of (p, o_kind, o) in order."""
+    made = stated.select("s", _page("source", base).alias("_s"), predicate_iri(F.col("predicate"), base, vocabulary).alias("_p"), _page("target", base).alias("_o"), F.when(F.col("path").isNotNull(), F.concat_ws(":", "path", F.col("line").cast("string"))).alias("_at"), "annotation", *keep)
+    t = lambda p, o, kind="iri": F.struct(F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.alias("o"))
+    about = F.array(
+        t(DCTERMS + "source", F.col("_at"), "literal"), t(RDF + "object", F.col("_o")), t(RDF + "predicate", F.col("_p")), t(RDF + "subject", F.col("_s")), t(RDF + "type", F.lit(RDF + "Statement")),
+        t(RDFS + "comment", F.col("annotation"), "literal"), t(PROV + "wasAttributedTo", F.col("_s")),
+    )
+    return made.select("s", F.filter(about, lambda x: x["o"].isNotNull()).alias("about"), *keep)
+
+
+def triples(edges: DataFrame, pages: DataFrame, base: str, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """(s, p, o, o_kind), distinct: each typed edge, the statement about it, and the vocabulary as a concept scheme.
+
+    Statements are numbered by the place of their edge among all edges in order, untyped ones included.
+    """
+    stated, rest = _parts(edges, pages, base, vocabulary)
+    return _told(stated, base, vocabulary).select("s", F.explode("about").alias("t")).select("s", "t.p", "t.o", "t.o_kind").unionByName(rest)
+
+
+def written(edges: DataFrame, pages: DataFrame, base: str, vocabulary: Vocabulary | None, form: str) -> DataFrame:
+    """What ntriples(), turtle() or jsonld() give for triples(), in order, without sorting the triples of statements.
+
+    A statement is one row until its place in the order is known, and its triples are written there.
+    """
+    stated, rest = _parts(edges, pages, base, vocabulary)
+    one = F.struct("p", "o_kind", "o")
+    fields = ("source", "target", "predicate", "annotation", "line", "path")
+    if form == "ntriples":
+        rows = rest.select("s", F.array(one).alias("has"), "p", "o_kind", "o")
+    else:
+        rows = rest.groupBy("s").agg(F.collect_list(one).alias("has"))
+    placed = stated.unionByName(rows, allowMissingColumns=True)
+    placed = placed.orderBy("s", *(("p", "o_kind", "o") if form == "ntriples" else ()))
+    has = _told(placed.select("s", *fields, "has"), base, vocabulary, "has").select("s", F.coalesce("has", "about").alias("has"))
+    if form == "ntriples":
+        return has.select("s", F.explode("has").alias("t")).select("s", "t.*").select(_line().alias("value"))
+    return has.select((_turtle(F.col("s"), F.col("has"), KNOWN) if form == "turtle" else _jsonld(F.col("s"), F.col("has"))).alias("value"))
+
+
+def _line() -> Column:
     iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
     o = F.when(F.col("o_kind") == "iri", iri("o")).otherwise(F.concat(F.lit('"'), escape_literal(F.col("o")), F.lit('"')))
-    return found.orderBy("s", "p", "o_kind", "o").select(F.concat_ws(" ", iri("s"), iri("p"), o, F.lit(".")).alias("value"))
+    return F.concat_ws(" ", iri("s"), iri("p"), o, F.lit("."))
 
 
-def turtle(found: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """One block a subject."""
-    known = {"rdf": RDF, "rdfs": RDFS, "prov": PROV, "dcterms": DCTERMS, "skos": SKOS, **(prefixes or {})}
+def ntriples(found: DataFrame) -> DataFrame:
+    """One line a triple, in order."""
+    return found.orderBy("s", "p", "o_kind", "o").select(_line().alias("value"))
 
+
+def _turtle(s: Column, has: Column, known: dict[str, str]) -> Column:
     def name(c: Column) -> Column:
         out = F.concat(F.lit("<"), c, F.lit(">"))
         for k, ns in known.items():
@@ -84,15 +124,28 @@ def turtle(found: DataFrame, prefixes: dict[str, str] | None = None) -> DataFram
             out = F.when(c.startswith(ns) & local.rlike(r"^[A-Za-z][A-Za-z0-9_]*$"), F.concat(F.lit(k + ":"), local)).otherwise(out)
         return out
 
-    o = F.when(F.col("o_kind") == "iri", name(F.col("o"))).otherwise(F.concat(F.lit('"'), escape_literal(F.col("o")), F.lit('"')))
-    lines = found.groupBy("s").agg(F.sort_array(F.collect_list(F.concat_ws(" ", name(F.col("p")), o))).alias("po"))
-    return lines.orderBy("s").select(F.concat(name(F.col("s")), F.lit(" "), F.array_join("po", " ;\n    "), F.lit(" .")).alias("value"))
+    def pair(x: Column) -> Column:
+        o = F.when(x["o_kind"] == "iri", name(x["o"])).otherwise(F.concat(F.lit('"'), escape_literal(x["o"]), F.lit('"')))
+        return F.concat_ws(" ", name(x["p"]), o)
+
+    return F.concat(name(s), F.lit(" "), F.array_join(F.sort_array(F.transform(has, pair)), " ;\n    "), F.lit(" ."))
+
+
+def turtle(found: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """One block a subject."""
+    by = found.groupBy("s").agg(F.collect_list(F.struct("p", "o_kind", "o")).alias("has"))
+    return by.orderBy("s").select(_turtle(F.col("s"), F.col("has"), KNOWN | (prefixes or {})).alias("value"))
+
+
+def _jsonld(s: Column, has: Column) -> Column:
+    value = lambda x: F.when(x["o_kind"] == "iri", F.to_json(F.struct(x["o"].alias("@id")))).otherwise(F.to_json(F.struct(x["o"].alias("@value"))))
+    pairs = F.transform(has, lambda x: F.struct(x["p"].alias("p"), value(x).alias("v")))
+    own = lambda p: F.concat(F.lit('"'), escape_literal(p), F.lit('":['), F.array_join(F.sort_array(F.transform(F.filter(pairs, lambda x: x["p"] == p), lambda x: x["v"])), ","), F.lit("]"))
+    kvs = F.sort_array(F.transform(F.array_distinct(F.transform(has, lambda x: x["p"])), own))
+    return F.concat(F.lit('{"@id":"'), escape_literal(s), F.lit('",'), F.array_join(kvs, ","), F.lit("}"))
 
 
 def jsonld(found: DataFrame) -> DataFrame:
     """One node object a subject."""
-    value = F.when(F.col("o_kind") == "iri", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(F.to_json(F.struct(F.col("o").alias("@value"))))
-    by = found.groupBy("s", "p").agg(F.sort_array(F.collect_list(value)).alias("vs"))
-    pair = F.concat(F.lit('"'), escape_literal(F.col("p")), F.lit('":['), F.array_join("vs", ","), F.lit("]"))
-    nodes = by.withColumn("kv", pair).groupBy("s").agg(F.sort_array(F.collect_list("kv")).alias("kvs"))
-    return nodes.orderBy("s").select(F.concat(F.lit('{"@id":"'), escape_literal(F.col("s")), F.lit('",'), F.array_join("kvs", ","), F.lit("}")).alias("value"))
+    by = found.groupBy("s").agg(F.collect_list(F.struct("p", "o_kind", "o")).alias("has"))
+    return by.orderBy("s").select(_jsonld(F.col("s"), F.col("has")).alias("value"))

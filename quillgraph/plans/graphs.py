@@ -260,17 +260,17 @@ def rdf_triples(s, d):
 
 @query("rdf_ntriples", f"""SELECT '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END || ' .' AS value FROM ({ORACLES["rdf_triples"]})""")
 def rdf_ntriples(s, d):
-    return rdf.ntriples(rdf_triples(s, d))
+    return rdf.written(model.edges(s, d), model.pages(s, d), _B, VOCABULARY, "ntriples")
 
 
 @query("rdf_turtle")
 def rdf_turtle(s, d):
-    return rdf.turtle(rdf_triples(s, d))
+    return rdf.written(model.edges(s, d), model.pages(s, d), _B, VOCABULARY, "turtle")
 
 
 @query("rdf_jsonld")
 def rdf_jsonld(s, d):
-    return rdf.jsonld(rdf_triples(s, d))
+    return rdf.written(model.edges(s, d), model.pages(s, d), _B, VOCABULARY, "jsonld")
 
 
 def _uses(s, d):

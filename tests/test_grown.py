@@ -1,8 +1,11 @@
 """Operators whose work, disk or memory grew faster than their input: the same results on odd inputs."""
 
+import hashlib
+
 import pytest
 
-from quillgraph.operators import iterate
+from quillgraph.operators import graph, iterate, merkle, rdf
+from quillgraph.operators.lint import Vocabulary
 
 
 @pytest.mark.parametrize("listed", [1024, 2])
@@ -23,3 +26,36 @@ def test_closure_of_odd_names(spark, monkeypatch, listed):
                     want.setdefault((s, t), hop)
         got = [tuple(r) for r in iterate.closure(spark.createDataFrame(steps, "source string, target string"), depth).collect()]
         assert len(got) == len(want) and {(s, t): h for s, t, h in got} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_rdf_is_that_of_the_triples(spark):
+    """Equal links, two predicates with one IRI, ends without a page or null: each form as from the sorted triples."""
+    edges = spark.createDataFrame([("a b", "c", "in", "x\"y", 1), ("a b", "c", "in", None, 2), ("a b", "c", "in", None, 2), ("a b", "c", "geo:in", None, 3), ("c", None, "in", "z", 4), ("q", "c", "of", None, None), ("q", "c", None, None, 1)], "source string, target string, predicate string, annotation string, line int")
+    pages = spark.createDataFrame([("a b", "a.md"), ("a b", "b.md"), ("c", "c.md")], "page string, path string")
+    v = Vocabulary(labels={"in": "In"}, maps_to={"in": "geo:in"}, prefixes={"geo": "http://g/"})
+    found = rdf.triples(edges, pages, "http://v/", v)
+    assert found.count() == found.distinct().count() == 46
+    for form in ("ntriples", "turtle", "jsonld"):
+        got = [r[0] for r in rdf.written(edges, pages, "http://v/", v, form).collect()]
+        assert got == [r[0] for r in getattr(rdf, form)(found).collect()] and len(got) > 5
+
+
+def test_links_are_not_sorted_to_find_dead_ones(spark):
+    edges, pages = spark.createDataFrame([("a", "b"), ("b", "x"), ("c", None)], "source string, target string"), spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "page string")
+    dead, alone = graph.dead_links(edges, pages), graph.orphans(edges, pages)
+    assert sorted(tuple(r) for r in dead.select("source", "target").collect()) == [("b", "x"), ("c", None)]
+    assert sorted((tuple(r) for r in alone.collect()), key=repr) == [("a", 1), (None, 0)]
+    assert "SortMergeJoin" not in plan_of(dead) and "Join" not in plan_of(alone)
+
+
+def test_groundings_move_leaves_once(spark, tmp_path):
+    leaves = spark.createDataFrame([("f", i, t, n, i + 1, f"h{i}") for i, (t, n) in enumerate([("rules", None), ("paragraph", None), ("heading", 1), ("rules", None), ("heading", 2), ("paragraph", None), ("rules", None), ("heading", 1), ("rules", None)])], "path string, pos int, type string, level int, start_line int, hash string")
+    leaves.write.parquet(str(tmp_path / "leaves"))
+    found = merkle.groundings(spark.read.parquet(str(tmp_path / "leaves")))
+    sha = lambda *p: hashlib.sha256("\n".join(f"h{i}" for i in p).encode()).hexdigest()
+    assert {r["pos"]: r["grounding"] for r in found.collect()} == {0: sha(1), 3: sha(2, 4, 5), 6: sha(4, 5), 8: sha(7)}
+    assert plan_of(merkle.groundings(spark.read.parquet(str(tmp_path / "leaves")))).count("Exchange hashpartitioning") == 1
