@@ -46,16 +46,20 @@ def groundings(leaves: DataFrame) -> DataFrame:
     The section is that of the nearest heading before the block; rule blocks don't count towards its hash. A block
     lies in the sections of the last heading of each level before it, as far as these reach.
     """
+    # all of it lies with the file, so leaves move once
     upto = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_head = F.col("type") == "heading"
-    marked = leaves.withColumn("h", F.coalesce(F.last(F.when(is_head, F.col("pos")), ignorenulls=True).over(upto), F.lit(-1)))
-    blocks = marked.filter("type = 'rules'").select("path", "pos", "start_line", F.col("hash").alias("ast_hash"), "h")
-    over = F.array(*(F.last(F.when(is_head & (F.col("level") == k), F.col("pos")), ignorenulls=True).over(upto) for k in LEVELS), F.when(F.col("h") == -1, F.lit(-1)))
-    rest = marked.withColumn("over", over).filter("type <> 'rules'").select("path", F.col("pos").alias("p"), "hash", F.explode(F.array_compact("over")).alias("h"))
-    spans = sections(leaves).select("path", F.coalesce("heading_pos", F.lit(-1)).alias("h"), "last").join(blocks.select("path", "h").distinct(), ["path", "h"], "left_semi")
-    text = rest.join(spans, ["path", "h"]).filter("p <= last")
-    hashed = text.groupBy("path", "h").agg(F.sort_array(F.collect_list(F.struct("p", "hash"))).alias("x")).select("path", "h", F.sha2(F.concat_ws("\n", F.transform("x", lambda e: e["hash"])), 256).alias("grounding"))
-    return blocks.join(hashed, ["path", "h"], "left").select("path", "pos", "start_line", "ast_hash", "grounding")
+    later = Window.partitionBy("path").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    is_head, is_rules = F.col("type") == "heading", F.coalesce(F.col("type") == "rules", F.lit(False))
+    nxt = F.array(*(F.last(F.when(is_head & (F.col("level") <= k), F.col("pos")), ignorenulls=True).over(later) for k in LEVELS))
+    own = leaves.select("path", "pos", "type", "level", "start_line", "hash").withColumn("stop", F.when(is_head, F.get(nxt, F.col("level") - 1)))
+    over = F.array(*(F.last(F.when(is_head & (F.col("level") == k), F.struct(F.col("pos").alias("h"), "stop")), ignorenulls=True).over(upto) for k in LEVELS))
+    marked = own.withColumn("h", F.coalesce(F.last(F.when(is_head, F.col("pos")), ignorenulls=True).over(upto), F.lit(-1))).withColumn("over", over)
+    around = F.transform(F.filter("over", lambda o: o.isNotNull() & (o["stop"].isNull() | (F.col("pos") < o["stop"]))), lambda o: o["h"])
+    at = F.when(is_rules | (F.col("h") == -1), F.array("h")).otherwise(around)
+    by = marked.select("path", F.explode(at).alias("h"), is_rules.alias("rules"), "pos", "start_line", "hash").groupBy("path", "h")
+    both = by.agg(F.sort_array(F.collect_list(F.when(~F.col("rules"), F.struct("pos", "hash")))).alias("x"), F.collect_list(F.when(F.col("rules"), F.struct("pos", "start_line", F.col("hash").alias("ast_hash")))).alias("blocks"))
+    text = F.when(F.size("x") > 0, F.sha2(F.concat_ws("\n", F.transform("x", lambda e: e["hash"])), 256))
+    return both.filter(F.size("blocks") > 0).select("path", text.alias("grounding"), F.explode("blocks").alias("b")).select("path", "b.*", "grounding")
 
 
 #: Lines are below 2**40.
