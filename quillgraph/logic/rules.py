@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_snake
+from ..scratch import table
 
 _token = re.compile(r"\s*(?:;[^\n]*|(\()|(\))|(\"(?:[^\"\\]|\\.)*\")|([^\s()\";]+))")
 KINDS = {"always": "strict", "normally": "defeasible", "except": "defeater"}
@@ -136,7 +137,8 @@ class Theory:
 
     @classmethod
     def of_blocks(cls, blocks: DataFrame, edge_facts: DataFrame | None = None) -> Theory:
-        return cls(parse_blocks(blocks), edge_facts)
+        """The blocks are parsed here, once: all parts of the theory are read from the written statements."""
+        return cls(table(parse_blocks(blocks), "said"), edge_facts)
 
     def problems(self) -> DataFrame:
         """(kind, what): labels in preferences that no rule has, and body literals that nothing concludes."""

@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from quillgraph.logic.rules import Theory
 from quillgraph.operators import graph, iterate, merkle, rdf
 from quillgraph.operators.lint import Vocabulary
 
@@ -59,3 +60,10 @@ def test_groundings_move_leaves_once(spark, tmp_path):
     sha = lambda *p: hashlib.sha256("\n".join(f"h{i}" for i in p).encode()).hexdigest()
     assert {r["pos"]: r["grounding"] for r in found.collect()} == {0: sha(1), 3: sha(2, 4, 5), 6: sha(4, 5), 8: sha(7)}
     assert plan_of(merkle.groundings(spark.read.parquet(str(tmp_path / "leaves")))).count("Exchange hashpartitioning") == 1
+
+
+def test_a_theory_is_parsed_once(spark):
+    blocks = spark.createDataFrame([("t", "p", 0, 1, "(given a)\n(normally r a b)\n(prefer r s)")], "path string, page string, ord int, start_line int, content string")
+    t = Theory.of_blocks(blocks)
+    assert [r["literal"] for r in t.facts.collect()] == ["a"] and [r["head"] for r in t.rules.collect()] == ["b"] and t.superiority.count() == 1
+    assert not any("MapInPandas" in plan_of(x) for x in (t.rules, t.body, t.facts, t.superiority, t.errors))
