@@ -47,7 +47,7 @@ def build_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def with_ghosts(edges: DataFrame, pages: DataFrame) -> DataFrame:
     here = pages.select(F.col("page").alias("target"), F.lit(False).alias("_ghost")).distinct()
-    return edges.join(here, "target", "left").withColumn("is_ghost", F.coalesce("_ghost", F.lit(True))).drop("_ghost")
+    return edges.join(here.hint("shuffle_hash"), "target", "left").withColumn("is_ghost", F.coalesce("_ghost", F.lit(True))).drop("_ghost")
 
 
 def nodes(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def edge_filter(edges: DataFrame, predicates: list[str] | None = None, untyped:
 
 
 def dead_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    return edges.join(pages.select(F.col("page").alias("target")).distinct(), "target", "left_anti")
+    # hashed, pages take the memory of a task; sorted, links would
+    return edges.join(pages.select(F.col("page").alias("target")).hint("shuffle_hash"), "target", "left_anti")
 
 
 def degrees(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -88,9 +89,10 @@ def degrees(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 def orphans(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """(page, out_links) of pages that no edge reaches; an edge to itself counts."""
-    alone = pages.select("page").distinct().join(edges.select(F.col("target").alias("page")).distinct(), "page", "left_anti")
-    out = edges.groupBy(F.col("source").alias("page")).agg(F.count("*").alias("out_links"))
-    return alone.join(out, "page", "left").select("page", F.coalesce("out_links", F.lit(0)).alias("out_links"))
+    mark = lambda df, c, what: df.select(F.col(c).alias("page"), *(F.lit(int(what == n)).alias(n) for n in ("paged", "out", "back")))
+    ends = mark(edges.filter("source is not null"), "source", "out").unionByName(mark(edges.filter("target is not null"), "target", "back"))
+    per = mark(pages, "page", "paged").unionByName(ends).groupBy("page").agg(F.max("paged").alias("paged"), F.sum("out").alias("out_links"), F.max("back").alias("back"))
+    return per.filter("paged = 1 and back = 0").select("page", "out_links")
 
 
 def forward_links(edges: DataFrame, page: str) -> DataFrame:
