@@ -1,15 +1,17 @@
 """First-seen items: an item is new if no new item before it has one of its signals.
 
 Only new items lend their signals, so whether one is new depends on those before it. Rounds decide: an item that is the
-first of all open ones in each of its signals is new, and open items that share a signal with it are not. What was seen
-in earlier batches is kept by signal in buckets, of which a batch reads and writes those that its own signals lie in.
+first of all open ones in each of its signals is new, and open items that share a signal with it are not. Items are
+numbered by their order and taken in stretches, each some times as long as all before it: what shares a signal with a new
+item of earlier stretches never enters rounds. What was seen in earlier batches is kept by signal in buckets, of which a
+batch reads and writes those that its own signals lie in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import table
@@ -19,39 +21,77 @@ SIGNALS = ("guid", "link", "hash")
 KEY = ["kind", "value"]
 
 
+#: Items of the first stretch, and how many times as long as all before it the next one is.
+STRETCH, TIMES = 200_000, 3
+
+
+def ordered(items: DataFrame) -> DataFrame:
+    """items with _id, which grows by seq, then by signals; of rows equal in these any one is first. Written in that order."""
+    order = ["seq", *SIGNALS, "_tie"]  # without ties copies of one item would all be one range
+    ranged = items.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return table(ranged.drop("_tie").withColumn("_id", F.monotonically_increasing_id()), "items")
+
+
 def signals(items: DataFrame) -> DataFrame:
-    """(_id, order, kind, value) of items(_id, seq, guid, link, hash): a row for each signal that isn't empty or null."""
+    """(_id, kind, value) of items(_id, guid, link, hash): a row for each signal that isn't empty or null."""
     each = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in SIGNALS))
-    return items.select("_id", F.struct("seq", *SIGNALS, "_id").alias("order"), F.explode(each).alias("s")).select("_id", "order", "s.*").filter("value <> ''")
+    return items.select("_id", F.explode(each).alias("s")).select("_id", "s.*").filter("value <> ''")
+
+
+def mute() -> Column:
+    """Whether an item has no signal."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in SIGNALS)).isNull()
 
 
-def decide(told: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
-    """The _id of the items that are new among told signals, when known(kind, value) were lent before; and the rounds it took.
+def decide(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """The _id of the items that are new among ordered() rows, when known(kind, value) were lent before; and the rounds it took.
 
-    A round decides every item whose earlier sharers are decided, so rounds are as many as the longest chain of items
-    in which each depends on the one before; copies of one item need one.
+    A round decides every item of a stretch whose earlier sharers are decided, so rounds are as many as the longest chain
+    of items in which each depends on the one before; copies of one item need one.
     """
-    gone = told.join(known.select(*KEY).distinct(), KEY, "left_semi").select("_id").distinct()
-    left, new, rounds = table(told.join(gone, "_id", "left_anti"), "open"), told.select("_id").limit(0), 0
-    while not left.isEmpty():
-        firsts = left.groupBy(*KEY).agg(F.min("order")["_id"].alias("_first"))
-        won = table(left.join(firsts, KEY).groupBy("_id").agg(F.bool_and(F.col("_first") == F.col("_id")).alias("all")).filter("all").select("_id"), "won")
-        lent = left.join(won, "_id", "left_semi").select(*KEY).distinct()
-        out = left.join(lent, KEY, "left_semi").select("_id").distinct()
-        left, new, rounds = table(left.join(out, "_id", "left_anti"), "open"), new.union(won), rounds + 1
+    narrow = rows.select("_id", *SIGNALS).filter(~mute())
+    lent, new, rounds = known.select(*KEY), rows.select("_id").limit(0), 0
+    for lo, hi in _stretches(narrow, known.count()):
+        left = table(signals(_unlent(narrow.filter(F.col("_id").between(lo, hi)), lent)), "open")
+        while not left.isEmpty():
+            firsts = left.groupBy(*KEY).agg(F.min("_id").alias("_first"))
+            own = left.join(firsts, KEY).groupBy("_id").agg(F.bool_and(F.col("_first") == F.col("_id")).alias("all"), F.collect_list(F.struct(*KEY)).alias("s"))
+            won = table(own.filter("all").select("_id", "s"), "won")
+            gives = table(won.select(F.explode("s").alias("s")).select("s.*").distinct(), "lent")
+            out = left.join(gives, KEY, "left_semi").select("_id").distinct()
+            left, lent, new, rounds = table(left.join(out, "_id", "left_anti"), "open"), lent.unionByName(gives), new.union(won.select("_id")), rounds + 1
     return new, rounds
 
 
+def _unlent(items: DataFrame, lent: DataFrame) -> DataFrame:
+    """The items none of whose signals was lent, kind by kind: what one kind takes away isn't moved for the next."""
+    for c in SIGNALS:
+        items = items.join(lent.filter(F.col("kind") == c).select(F.col("value").alias(c)), c, "left_anti")
+    return items
+
+
+def _stretches(items: DataFrame, lent: int) -> list[tuple[int, int]]:
+    """The first and last _id of stretches of items, when so many signals were lent before: a few, as each is TIMES all before."""
+    ends = items.agg(F.count("*").alias("n"), F.max("_id").alias("last")).first()
+    upto, cuts = max(STRETCH, TIMES * (lent // len(SIGNALS))), []
+    while upto < ends["n"]:
+        cuts.append(upto / ends["n"])
+        upto *= 1 + TIMES
+    at = sorted({*(items.agg(F.percentile_approx("_id", cuts)).first()[0] if cuts else []), ends["last"]}) if ends["n"] else []
+    return [(lo + 1, hi) for lo, hi in zip([-1, *at], at)]
+
+
 def new_items(items: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of items(seq, guid, link, hash, ...) that are new after known(kind, value). Items without a signal all are.
 
     Items come by seq, then by their signals; of rows equal in all of these any one is the first.
     """
-    rows = table(items.withColumn("_id", F.monotonically_increasing_id()), "items")
-    told = signals(rows)
-    new, _ = decide(told, known)
-    mute = rows.join(told.select("_id").distinct(), "_id", "left_anti").select("_id")
-    return rows.join(new.union(mute), "_id", "left_semi").drop("_id")
+    return _fresh(ordered(items), known)[0].drop("_id")
+
+
+def _fresh(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    new, rounds = decide(rows, known)
+    return table(rows.filter(mute()).unionByName(rows.join(table(new, "new"), "_id", "left_semi")), "fresh"), rounds
 
 
 class FirstSeen:
@@ -69,18 +109,15 @@ class FirstSeen:
     def __call__(self, items: DataFrame, epoch: int) -> None:
         b = self.buckets
         b.begin(epoch)
-        rows = table(items.withColumn("_id", F.monotonically_increasing_id()), "items")
-        told = table(signals(rows), "told")
-        which = touched(told, b.n, *KEY)
+        rows = ordered(items)
+        which = touched(signals(rows), b.n, *KEY)
         known = b.read("signals", which)
         if self.keep is not None:
             least = rows.agg(F.min("seq")).first()[0]
             known = known.filter(F.col("at") >= (least or 0) - self.keep)
         known = table(known, "known")
-        new, self.rounds = decide(told, known)
-        new = table(new, "new")
-        mute = rows.join(told.select("_id").distinct(), "_id", "left_anti").select("_id")
-        self.emit(rows.join(new.union(mute), "_id", "left_semi").drop("_id"), epoch)
-        lent = told.join(new, "_id", "left_semi").select(*KEY, F.col("order.seq").cast("long").alias("at"))
+        fresh, self.rounds = _fresh(rows, known)
+        self.emit(fresh.drop("_id"), epoch)
+        lent = signals(fresh).join(fresh.select("_id", F.col("seq").cast("long").alias("at")), "_id").select(*KEY, "at")
         b.write("signals", known.unionByName(lent).groupBy(*KEY).agg(F.max("at").alias("at")), bucket(b.n, *KEY), which)
         b.commit()

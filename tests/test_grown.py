@@ -1,12 +1,14 @@
 """Operators whose work, disk or memory grew faster than their input: the same results on odd inputs."""
 
 import hashlib
+import random
 
 import pytest
 
 from quillgraph.logic.rules import Theory
 from quillgraph.operators import graph, iterate, merkle, rdf
 from quillgraph.operators.lint import Vocabulary
+from quillgraph.streaming import seen
 
 
 @pytest.mark.parametrize("listed", [1024, 2])
@@ -67,3 +69,23 @@ def test_a_theory_is_parsed_once(spark):
     t = Theory.of_blocks(blocks)
     assert [r["literal"] for r in t.facts.collect()] == ["a"] and [r["head"] for r in t.rules.collect()] == ["b"] and t.superiority.count() == 1
     assert not any("MapInPandas" in plan_of(x) for x in (t.rules, t.body, t.facts, t.superiority, t.errors))
+
+
+def test_repeats_of_lent_signals_stay_out_of_rounds(spark, monkeypatch, tmp_path):
+    """Items in many small stretches are those taken one by one; only those that nothing before decides are written for rounds."""
+    monkeypatch.setattr(seen, "STRETCH", 40, raising=False)
+    rng = random.Random(3)
+    items = [(f"g{rng.randrange(60)}", rng.choice([None, "", f"l{rng.randrange(300)}"]), f"h{rng.randrange(500)}", i // 3) for i in range(4000)]
+    lent, want = set(), []
+    for i in sorted(items, key=lambda i: (i[3], i[0], i[1] is not None, i[1] or "", i[2])):
+        own = {(k, v) for k, v in zip(seen.SIGNALS, i) if v}
+        if not own & lent:
+            lent |= own
+            want.append(i)
+    written, write = {}, seen.table
+    monkeypatch.setattr(seen, "table", lambda df, name: written.setdefault(name, []).append(write(df, name)) or written[name][-1])
+    found = []
+    step = seen.FirstSeen(spark, str(tmp_path), lambda df, e: found.extend(tuple(r) for r in df.select("guid", "link", "hash", "seq").collect()), n=8)
+    step(spark.createDataFrame(items, "guid string, link string, hash string, seq long"), 0)
+    assert sorted(found, key=repr) == sorted(want, key=repr) and len(found) > 30
+    assert sum(df.count() for name, dfs in written.items() if name != "items" for df in dfs) < len(items)
