@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quillgraph.logic.rules import Theory
-from quillgraph.operators import graph, iterate, merkle, rdf
+from quillgraph.operators import graph, iterate, merkle, rdf, search
 from quillgraph.operators.lint import Vocabulary
 from quillgraph.streaming import seen
 
@@ -89,3 +89,16 @@ def test_repeats_of_lent_signals_stay_out_of_rounds(spark, monkeypatch, tmp_path
     step(spark.createDataFrame(items, "guid string, link string, hash string, seq long"), 0)
     assert sorted(found, key=repr) == sorted(want, key=repr) and len(found) > 30
     assert sum(df.count() for name, dfs in written.items() if name != "items" for df in dfs) < len(items)
+
+
+def test_near_pairs_that_none_needs_are_not_made(spark, monkeypatch):
+    """All prints lie near each other: a question keeps as many of them as it may give, whatever the number of pairs."""
+    rng = random.Random(5)
+    prints = [(i, -1 ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(5)))) for i in range(400)]
+    written, write = [], search.table
+    monkeypatch.setattr(search, "table", lambda df, name: written.append((name, write(df, name))) or written[-1][1])
+    p = spark.createDataFrame(prints, "id long, fingerprint long")
+    got = search.similar_all(p, p.selectExpr("id as question", "fingerprint"), 12, 3).collect()
+    want = {(q, r, i, d) for q, f in prints for r, (d, i) in enumerate(sorted((bin(f ^ g).count("1"), i) for i, g in prints)[:3], 1)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert sum(df.count() for name, df in written if name == "near") < 20 * len(prints)
