@@ -102,3 +102,35 @@ def test_near_pairs_that_none_needs_are_not_made(spark, monkeypatch):
     want = {(q, r, i, d) for q, f in prints for r, (d, i) in enumerate(sorted((bin(f ^ g).count("1"), i) for i, g in prints)[:3], 1)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert sum(df.count() for name, df in written if name == "near") < 20 * len(prints)
+
+
+@pytest.mark.parametrize("gathered", [100_000, 0])
+def test_contracted_components(spark, monkeypatch, gathered):
+    """Paths in order, a hub, loops, doubled and null ends, as numbers and as names; links shrink from round to round."""
+    monkeypatch.setattr(iterate, "GATHERED", gathered, raising=False)
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(300) if i % 100] + [(-5, 1000 + i) for i in range(200)] + [(7, 7), (3000, 3000), (None, 4), (5, None), (2000, 2001), (2001, 2000)] + [(rng.randrange(4000, 4300), rng.randrange(4000, 4300)) for _ in range(200)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if None not in (a, b) and a != b:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    sizes, write = [], iterate.table
+    monkeypatch.setattr(iterate, "table", lambda df, name, *k: sizes.append((name, write(df, name, *k))) or sizes[-1][1])
+    got = iterate.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(up) and {r["node"]: r["root"] for r in got} == {x: find(x) for x in up}
+    if not gathered:
+        left = [df.count() for name, df in sizes if name == "edges"]
+        assert len(left) > 2 and left[-1] == 0 and sum(left[1:]) < 2 * left[0]
+    named = iterate.components(spark.createDataFrame([(None if a is None else f"n{a}", None if b is None else f"n{b}") for a, b in edges], "a string, b string")).collect()
+    least = {}
+    for x in up:
+        least[find(x)] = min(least.get(find(x), "z"), f"n{x}")
+    want = {f"n{x}": least[find(x)] for x in up}
+    assert {r["node"]: r["root"] for r in named} == want
