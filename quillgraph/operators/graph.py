@@ -117,7 +117,7 @@ def stats(edges: DataFrame, pages: DataFrame, top: int = 10, with_components: bo
     Edges are counted by target once; totals, ghosts, orphans and the most linked all come from those counts.
     """
     from ..scratch import table
-    from .iterate import components
+    from .iterate import named_groups
 
     edges = table(edges.select("source", "target"), "edges")  # read three times, made once
     per = edges.groupBy(F.col("target").alias("page")).agg(F.count("*").alias("n")).filter("page is not null")
@@ -129,11 +129,12 @@ def stats(edges: DataFrame, pages: DataFrame, top: int = 10, with_components: bo
     best = known.filter("n is not null").orderBy(F.desc("n"), "page").limit(top).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "page"))).alias("b"))
     out = out.crossJoin(best.select(F.transform("b", lambda x: F.struct(x["page"].alias("page"), (-x["k"]).alias("backlink_count"))).alias("most_linked")))
     if with_components:
-        roots = components(edges, "source", "target")
-        # nodes of a component have a root; a page or an end of a loop without one stands alone
+        names, groups = named_groups(edges, "source", "target")  # counted by number: their roots' names aren't asked for
+        # a page or an end of a loop without an edge to another stands alone
         ends = known.select("page").unionByName(edges.filter("source = target").select(F.col("source").alias("page"))).distinct()
-        alone = ends.join(roots.select(F.col("node").alias("page")), "page", "left_anti").agg(F.count("*").alias("alone"))
-        out = out.crossJoin(roots.filter("node = root").agg(F.count("*").alias("joined")).crossJoin(alone).select((F.col("joined") + F.col("alone")).alias("connected_components")))
+        alone = ends.join(names.select(F.col("name").alias("page")), "page", "left_anti").agg(F.count("*").alias("alone"))
+        joined = groups.select("level", "group").distinct().agg(F.count("*").alias("joined"))
+        out = out.crossJoin(joined.crossJoin(alone).select((F.col("joined") + F.col("alone")).alias("connected_components")))
     return out
 
 

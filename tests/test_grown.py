@@ -134,3 +134,12 @@ def test_contracted_components(spark, monkeypatch, gathered):
         least[find(x)] = min(least.get(find(x), "z"), f"n{x}")
     want = {f"n{x}": least[find(x)] for x in up}
     assert {r["node"]: r["root"] for r in named} == want
+
+
+def test_stats_count_components_without_naming_them(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("d", "e"), ("f", None), (None, "b")], "source string, target string")
+    pages = spark.createDataFrame([(x,) for x in "abgg"] + [(None,)], "page string")
+    made, write = [], iterate.table
+    monkeypatch.setattr(iterate, "table", lambda df, name, *k: made.append(name) or write(df, name, *k))
+    assert graph.stats(edges, pages).first()["connected_components"] == 5  # a b, c, d e, g, and the page without a name
+    assert "names" in made and "named" not in made
