@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,29 @@ def parse(pages: DataFrame, parsers: dict[str, Callable[[str], str]] | None = No
     return own.mapInPandas(run, PARSED)
 
 
+def references(pages: DataFrame, parsers: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
+    """(path, source, raw, named, n): how often a page says a target, as in the links of parse(). Only links are looked for.
+
+    Texts that can't have any don't go to Python.
+    """
+    parsers = parsers or {}
+    parser = F.col("parser") if "parser" in pages.columns else F.lit(None).cast("string")
+    may = ~F.col("path").endswith(".spl") & (F.col("content").contains("[[") | F.coalesce(parser.isin(list(parsers)), F.lit(False)))
+    own = pages.filter(may).select("path", names.page_name(F.col("path")).alias("source"), F.coalesce("content", F.lit("")).alias("content"), parser.alias("parser"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, source, text, name in zip(*(b.column(c).to_pylist() for c in ("path", "source", "content", "parser")), strict=True):
+                said = Counter(markdown.targets(parsers[name](text) if name in parsers else text))
+                rows += [(path, source, raw, named, n) for (raw, named), n in said.items()]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "source", "raw", "named", "n"])
+
+    return own.mapInArrow(run, "path string, source string, raw string, named string, n long")
+
+
 def choose_parser(pages: DataFrame, rules: list[tuple[str, str]], default: str) -> DataFrame:
     """pages(path, frontmatter) with `parser`: what the front matter names, else the first rule whose glob fits, else the default."""
     fits = [F.when(names.glob(F.col("path"), g), F.lit(p)) for g, p in rules]
@@ -123,6 +148,11 @@ class Vault:
     def links(self) -> DataFrame:
         return self._each("links").withColumnRenamed("page", "source")
 
+    @cached_property
+    def references(self) -> DataFrame:
+        """(path, source, raw, named, n): what pages say, without the rest of their parts."""
+        return references(self.source, self.parsers)
+
     @cached_property
     def headings(self) -> DataFrame:
         return self._each("headings")

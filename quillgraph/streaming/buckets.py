@@ -49,8 +49,8 @@ class Buckets:
 
     def _manifest(self, epoch: int) -> dict[tuple[str, int], int]:
         rows = self.spark.read.schema("name string, bucket int, epoch long, buckets int").parquet(f"{self.root}/manifest/epoch-{epoch}").collect()
-        if any(r["buckets"] != self.n for r in rows):
-            raise ValueError(f"{self.root} has another number of buckets than {self.n}")
+        if any(r["buckets"] != self.n or r["name"] not in self.tables for r in rows):
+            raise ValueError(f"{self.root} has another number of buckets than {self.n}, or other tables")
         return {(r["name"], r["bucket"]): r["epoch"] for r in rows}
 
     def begin(self, epoch: int) -> None:
@@ -63,13 +63,17 @@ class Buckets:
         self.begin(1 << 62)
         return self
 
+    def none(self, name: str) -> DataFrame:
+        """No rows of a table, so that plans know it: what is joined with them isn't moved."""
+        return self.spark.range(1).filter(F.lit(False)).select(*(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in self.tables[name].split(", "))))
+
     def read(self, name: str, which: Iterable[int] | None = None) -> DataFrame:
         """The rows of some buckets of a table, or of all, as they are now in this epoch."""
         which = range(self.n) if which is None else which
         paths = [f"{self.root}/{name}/epoch-{self.now[name, b]}/bucket={b}" for b in which if (name, b) in self.now]
         self.read_buckets += len(paths)
         if not paths:
-            return self.spark.createDataFrame([], self.tables[name])
+            return self.none(name)
         # the folders hold a file each: up to some hundreds are listed faster here than by a job
         key, most = "spark.sql.sources.parallelPartitionDiscovery.threshold", self.spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.threshold")
         self.spark.conf.set(key, str(max(int(most), LISTED_HERE)))
@@ -79,12 +83,12 @@ class Buckets:
             self.spark.conf.set(key, most)
 
     def write(self, name: str, rows: DataFrame, by: Column, which: list[int]) -> None:
-        """Replace some buckets of a table by rows, all of which lie in them."""
+        """Replace some buckets of a table by rows, all of which lie in them. A large bucket is several tasks' and files."""
         if not which:
             return
         seen, path = Observation(), f"{self.root}/{name}/epoch-{self.epoch}"
         own = rows.select(*(c.split()[0] for c in self.tables[name].split(", "))).withColumn("bucket", by)
-        own.repartition("bucket").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        own.hint("rebalance", F.col("bucket")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("bucket").parquet(path)
         self.written += seen.get["n"]
         full = set(self._folders(path, "bucket="))
         for b in which:

@@ -8,7 +8,8 @@ import pytest
 from quillgraph.logic.rules import Theory
 from quillgraph.operators import graph, iterate, merkle, rdf, search
 from quillgraph.operators.lint import Vocabulary
-from quillgraph.streaming import seen
+from quillgraph.sources import vault
+from quillgraph.streaming import seen, vault_watch
 
 
 @pytest.mark.parametrize("listed", [1024, 2])
@@ -143,3 +144,21 @@ def test_stats_count_components_without_naming_them(spark, monkeypatch):
     monkeypatch.setattr(iterate, "table", lambda df, name, *k: made.append(name) or write(df, name, *k))
     assert graph.stats(edges, pages).first()["connected_components"] == 5  # a b, c, d e, g, and the page without a name
     assert "names" in made and "named" not in made
+
+
+def test_a_first_epoch_meets_nothing(spark, monkeypatch, tmp_path):
+    """Only links are looked for, a name has a row for each distinct key, and without a state little is written between."""
+    texts = ["[[a b]] [[A-b|x]] `[[code]]` [[A-b]] ![[q#h]]", "plain", "[[d/c]]\n\n    [[code]]\n", "---\nx: [[y]]\n---\n[[z^b]]", "a <!-- [[w]] --> [[v]]\n~~~\n[[u]]\n~~~", "\t[[tab]]", "[[]] [[#top]]"]
+    pages = [(p, t) for p, t in zip(["A-b.md", "c.md", "d/C.md", "e.md", "f.md", "g.md", "r.spl"], texts, strict=True)]
+    v = vault.Vault(spark.createDataFrame(pages, "path string, content string"))
+    want = v.links.groupBy("path", "source", "raw_target", "target_page").count()
+    assert sorted(map(tuple, v.references.collect())) == sorted(map(tuple, want.collect())) and want.count() == 6
+    made, write = [], vault_watch.table
+    monkeypatch.setattr(vault_watch, "table", lambda df, name: made.append(name) or write(df, name))
+    monkeypatch.setattr(vault, "parse", None)
+    seen = []
+    w = vault_watch.VaultWatch(spark, lambda df, e: seen.extend(map(tuple, df.collect())), str(tmp_path), 4)
+    w.batch(spark.createDataFrame([(*p, 1) for p in pages], "path string, content string, seq long"), 0)
+    assert made == ["arrived", "added", "raws", "new-refs", "pairs", "ends"]
+    assert w.tables.latest().read("keys").count() == 9 and ("dead_gained", "e", "z") in seen and ("link_added", "A-b", "A-b") in seen
+    assert "Exchange" not in plan_of(w.edges.join(w.tables.none("pairs").select("target"), "target", "left_anti"))
