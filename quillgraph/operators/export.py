@@ -59,8 +59,8 @@ SHARDS = 64
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "page", text_col: str = "text") -> None:
-    """Postings and totals on disk, by shard of the term."""
-    p = search.postings(docs, id_col, text_col).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"))
+    """Postings of rows and totals on disk, by shard of the term: postings are moved once."""
+    p = search.row_postings(docs, id_col, text_col).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"))
     p.repartition(F.col("shard"), F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     docs.agg(F.count("*").alias("n"), F.avg(F.size(search.tokens(F.col(text_col)))).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
 
@@ -70,8 +70,8 @@ def query_index(spark: SparkSession, path: str, query: str, limit: int | None =
     terms = sorted({t for t in "".join(c.lower() if c.isalnum() else " " for c in query).split()})
     shards = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(SHARDS)).cast("int")).distinct().collect()] if terms else []
     totals = spark.read.parquet(f"{path}/totals").first()
-    index = spark.read.parquet(f"{path}/postings").filter(F.col("shard").isin(shards)).drop("shard")
-    return search.bm25(index, totals["n"], totals["mean"] or 1.0, query, limit)
+    index = spark.read.parquet(f"{path}/postings").filter(F.col("shard").isin(shards) & F.col("term").isin(terms)).drop("shard")
+    return search.bm25(search.whole_postings(index), totals["n"], totals["mean"] or 1.0, query, limit)
 
 
 def page_predicates(links: DataFrame) -> DataFrame:

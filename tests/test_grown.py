@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 
 from quillgraph.logic.rules import Theory
-from quillgraph.operators import graph, iterate, merkle, rdf, search
+from quillgraph.operators import export, graph, iterate, merkle, rdf, search
 from quillgraph.operators.lint import Vocabulary
 from quillgraph.sources import vault
 from quillgraph.streaming import seen, vault_watch
@@ -162,3 +163,18 @@ def test_a_first_epoch_meets_nothing(spark, monkeypatch, tmp_path):
     assert made == ["arrived", "added", "raws", "new-refs", "pairs", "ends"]
     assert w.tables.latest().read("keys").count() == 9 and ("dead_gained", "e", "z") in seen and ("link_added", "A-b", "A-b") in seen
     assert "Exchange" not in plan_of(w.edges.join(w.tables.none("pairs").select("target"), "target", "left_anti"))
+
+
+def odd_docs(spark):
+    docs = [(1, "a b A c"), (1, "b b"), (1, "a x y z"), (2, "a"), (3, None), (4, "--"), (None, "a q"), (5, "d a d"), (6, "Über über 7")]
+    return docs, [(i, re.findall(r"[a-zü0-9]+", (t or "").lower())) for i, t in docs], lambda some: spark.createDataFrame(some, "id long, text string")
+
+
+def test_postings_are_made_where_rows_lie(spark, tmp_path):
+    """Ids that repeat or are null, with equal and other lengths: rows are counted without a shuffle and added up when asked for."""
+    docs, words, put = odd_docs(spark)
+    rows = sorted(((t, i, ts.count(t), len(ts)) for i, ts in words for t in set(ts)), key=repr)
+    assert sorted(map(tuple, search.row_postings(put(docs), "id").collect()), key=repr) == rows and "Exchange" not in plan_of(search.row_postings(put(docs), "id"))
+    export.build_index(put(docs), str(tmp_path), "id")
+    score = lambda found: [(r["id"], round(r["score"], 9)) for r in found.collect()]
+    assert score(export.query_index(spark, str(tmp_path), "a über")) == score(search.search(put(docs), "a über", id_col="id"))
