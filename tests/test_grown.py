@@ -178,3 +178,14 @@ def test_postings_are_made_where_rows_lie(spark, tmp_path):
     export.build_index(put(docs), str(tmp_path), "id")
     score = lambda found: [(r["id"], round(r["score"], 9)) for r in found.collect()]
     assert score(export.query_index(spark, str(tmp_path), "a über")) == score(search.search(put(docs), "a über", id_col="id"))
+
+
+def test_terms_are_counted_where_rows_lie(spark):
+    """Documents are counted by their ids, which may repeat or be null; without repeats only terms are moved."""
+    docs, words, put = odd_docs(spark)
+    for some in (docs, docs[3:]):
+        own = [(i, t) for (i, ts), d in zip(words, docs, strict=True) if d in some for t in ts]
+        want = {t: (len({i for i, x in own if x == t and i is not None}), sum(x == t for _, x in own)) for _, t in own}
+        got = search.term_counts(put(some), "id").collect()
+        assert {r["term"]: (r["df"], r["n"]) for r in got} == want and len(got) == len(want)
+    assert plan_of(search.term_counts(put(docs[3:]), "id")).count("Exchange hashpartitioning") == 1
