@@ -74,8 +74,9 @@ def edge_filter(edges: DataFrame, predicates: list[str] | None = None, untyped:
 
 
 def dead_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    # hashed, pages take the memory of a task; sorted, links would
-    return edges.join(pages.select(F.col("page").alias("target")).hint("shuffle_hash"), "target", "left_anti")
+    # hashed, pages take the memory of a task; sorted, links would. An anti join would be done for each part of a union of
+    # links, and beside a small one the pages would be hashed in a few tasks
+    return with_ghosts(edges, pages).filter("is_ghost").drop("is_ghost")
 
 
 def degrees(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -222,11 +223,20 @@ def graph_diff(old_edges: DataFrame, old_pages: DataFrame, new_edges: DataFrame,
     return out
 
 
+def dead_and_orphans(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: dead_links and orphans, how many rows these two have; links are counted by target, so none is looked up."""
+    ends = pages.select("page", F.lit(True).alias("paged")).unionByName(edges.select(F.col("target").alias("page"), F.lit(False).alias("paged")))
+    per = ends.groupBy("page").agg(F.bool_or("paged").alias("paged"), F.count_if(~F.col("paged")).alias("n"))
+    here, met = F.col("paged") & F.col("page").isNotNull(), F.col("page").isNotNull() & (F.col("n") > 0)
+    return per.agg(F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("dead_links"), F.count_if(F.col("paged") & ~met).alias("orphans"))
+
+
 def check_summary(edges: DataFrame, pages: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """(kind, level, n): diagnostics(kind, level) with dead links and orphans, which count as errors."""
-    dead = dead_links(edges, pages).select(F.lit("dead_link").alias("kind"), F.lit("error").alias("level"))
-    alone = orphans(edges, pages).select(F.lit("orphan").alias("kind"), F.lit("error").alias("level"))
-    return diagnostics.select("kind", "level").unionByName(dead).unionByName(alone).groupBy("kind", "level").agg(F.count("*").alias("n"))
+    told = diagnostics.groupBy("kind", "level").agg(F.count("*").alias("n"))
+    row = lambda kind, n: F.struct(F.lit(kind).alias("kind"), F.lit("error").alias("level"), F.col(n).alias("n"))
+    counted = dead_and_orphans(edges, pages).select(F.inline(F.array(row("dead_link", "dead_links"), row("orphan", "orphans")))).filter("n > 0")
+    return told.unionByName(counted).groupBy("kind", "level").agg(F.sum("n").alias("n"))
 
 
 #: The counters of a check, in order.
@@ -253,7 +263,7 @@ def check(edges: DataFrame, pages: DataFrame, diagnostics: DataFrame, blocks: Da
     )
     here = leaves.select(F.col("path").alias("target_path"), "hash").distinct()
     broken = references.join(here, ["target_path", "hash"], "left_anti").agg(F.count("*").alias("broken_groundings"))
-    counted = dead_links(edges, pages).agg(F.count("*").alias("dead_links")).crossJoin(orphans(edges, pages).agg(F.count("*").alias("orphans"))).crossJoin(told)
+    counted = dead_and_orphans(edges, pages).crossJoin(told)
     counted = counted.crossJoin(blocks.agg(F.count("*").alias("total_spl_blocks"))).crossJoin(references.agg(F.count("*").alias("explicitly_grounded_facts"))).crossJoin(broken)
     errors = F.col("dead_links") + F.col("orphans") + F.col("_errors") > 0
     return counted.select(*COUNTERS, errors.alias("fails_on_errors"), (errors | (F.col("_warnings") > 0)).alias("fails_on_warnings"))

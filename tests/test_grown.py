@@ -57,6 +57,22 @@ def test_links_are_not_sorted_to_find_dead_ones(spark):
     assert "SortMergeJoin" not in plan_of(dead) and "Join" not in plan_of(alone)
 
 
+def test_dead_links_are_counted_by_target(spark):
+    """No table of pages is hashed beside each part of a union of links: it has to fit where that part is small."""
+    s = "source string, target string"
+    edges = spark.createDataFrame([("a", "b"), ("b", "x"), ("b", "x"), ("c", None)], s).unionByName(spark.createDataFrame([("a", "a"), ("q", "y")], s))
+    pages = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",), (None,)], "page string")
+    dead, alone = graph.dead_links(edges, pages), graph.orphans(edges, pages)
+    assert sorted((tuple(r) for r in dead.select("source", "target").collect()), key=repr) == [("b", "x"), ("b", "x"), ("c", None), ("q", "y")]
+    assert plan_of(dead).count("ShuffledHashJoin") == 1
+    counted = graph.dead_and_orphans(edges, pages)
+    assert [tuple(r) for r in counted.collect()] == [(dead.count(), alone.count())] == [(4, 2)] and "Join" not in plan_of(counted)
+    told = spark.createDataFrame([("syntax", "error"), ("dead_link", "error"), (None, "info")], "kind string, level string")
+    assert sorted((tuple(r) for r in graph.check_summary(edges, pages, told).collect()), key=repr) == [("dead_link", "error", 5), ("orphan", "error", 2), ("syntax", "error", 1), (None, "info", 1)]
+    none = pages.limit(0)
+    assert [tuple(r) for r in graph.dead_and_orphans(edges.limit(0), none).collect()] == [(0, 0)] and graph.check_summary(edges.limit(0), none, told.limit(0)).count() == 0
+
+
 def test_groundings_move_leaves_once(spark, tmp_path):
     leaves = spark.createDataFrame([("f", i, t, n, i + 1, f"h{i}") for i, (t, n) in enumerate([("rules", None), ("paragraph", None), ("heading", 1), ("rules", None), ("heading", 2), ("paragraph", None), ("rules", None), ("heading", 1), ("rules", None)])], "path string, pos int, type string, level int, start_line int, hash string")
     leaves.write.parquet(str(tmp_path / "leaves"))
