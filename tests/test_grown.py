@@ -49,6 +49,29 @@ def test_written_rdf_is_that_of_the_triples(spark):
         assert got == [r[0] for r in getattr(rdf, form)(found).collect()] and len(got) > 5
 
 
+@pytest.mark.parametrize("sorted_", [1_500_000, 3])
+def test_written_rdf_moves_links_twice(spark, monkeypatch, tmp_path, sorted_):
+    """By source to be numbered, with their pages' paths, and to their places; also where a source's links are many ranges."""
+    monkeypatch.setattr(rdf, "SORTED", sorted_, raising=False)
+    rng = random.Random(11)
+    links = [(rng.choice([None, "", "a", "hub", "hub", "hub", f"p{rng.randrange(9)}"]), rng.choice(["x", "y", None, "z w"]), rng.choice(["in", "in", None]), rng.choice([None, "n"]), rng.randrange(40)) for _ in range(200)]
+    paths = [("hub", "h2.md"), ("hub", "h1.md"), (None, "none.md"), ("", "empty.md"), ("a", None), ("alone", "o.md"), *((f"p{i}", f"p{i}.md") for i in range(0, 9, 2)), ("zz", "last.md")]
+    spark.createDataFrame(links, "source string, target string, predicate string, annotation string, line int").write.parquet(str(tmp_path / "edges"))
+    edges, pages = spark.read.parquet(str(tmp_path / "edges")), spark.createDataFrame(paths, "page string, path string")
+    first = lambda x: (x is not None, x or "")
+    least = {s: min(p for q, p in paths if q == s and p) for s in {s for s, p in paths if s is not None and p}}
+    order = sorted(links, key=lambda e: (first(e[0]), first(e[1]), first(e[2]), e[4], first(e[3])))
+    want = {f"http://v/statement/{i}": f"{least[e[0]]}:{e[4]}" for i, e in enumerate(order) if e[2] and e[0] in least}
+    found = rdf.triples(edges, pages, "http://v/")
+    assert {r["s"]: r["o"] for r in found.filter(found["p"] == rdf.DCTERMS + "source").collect()} == want and len(want) > 50
+    assert found.count() == found.distinct().count()
+    for form in ("ntriples", "turtle", "jsonld"):
+        out = rdf.written(edges, pages, "http://v/", None, form)
+        plan = plan_of(out)
+        assert [r[0] for r in out.collect()] == [r[0] for r in getattr(rdf, form)(found).collect()]
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("Exchange rangepartitioning") == 1
+
+
 def test_links_are_not_sorted_to_find_dead_ones(spark):
     edges, pages = spark.createDataFrame([("a", "b"), ("b", "x"), ("c", None)], "source string, target string"), spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "page string")
     dead, alone = graph.dead_links(edges, pages), graph.orphans(edges, pages)
