@@ -33,6 +33,24 @@ def test_closure_of_odd_names(spark, monkeypatch, listed):
         assert len(got) == len(want) and {(s, t): h for s, t, h in got} == want
 
 
+@pytest.mark.parametrize("listed", [1024, 3])
+def test_closure_sends_rests_of_names(spark, monkeypatch, tmp_path, listed):
+    """Lists lack what their names begin with, whatever that is; a step moves to its source once and isn't listed itself."""
+    monkeypatch.setattr(iterate, "LISTED", listed, raising=False)
+    monkeypatch.setattr(iterate, "GROUPED", 5)
+    names = ["supplier:1", "supplier:10", "supplier:1", "supplier:", "Ünï:a", "Ünï:äb", "Ünï:", "", "\1", "other", "😀a", "😀b"]
+    steps = [("p", n) for n in names[:4]] + [("q", n) for n in names[4:7]] + [("r", n) for n in names[7:10]] + [("s", n) for n in names[10:]] + [("o", x) for x in "pqrs"] + [("u", "o"), ("u", "p"), ("v", None)]
+    spark.createDataFrame(steps, "source string, target string").write.parquet(str(tmp_path / "steps"))
+    written, write = {}, iterate.table
+    monkeypatch.setattr(iterate, "table", lambda df, name, *a: written.setdefault(name, []).append(write(df, name, *a)) or written[name][-1])
+    got = [tuple(r) for r in iterate.closure(spark.read.parquet(str(tmp_path / "steps")), 3).collect()]
+    two = {("o", n) for x in "pqrs" for s, n in steps if s == x}
+    want = {(s, n): 3 for s, n in {("u", n) for _, n in two}} | {("u", n): 2 for n in [*"pqrs", *names[:4]]} | {k: 2 for k in two} | {k: 1 for k in steps}
+    assert len(got) == len(want) and {(s, t): h for s, t, h in got} == want
+    lists = {(r["head"], r["targets"]) for r in written["reach"][0].collect() if r["via"] in ("p", "q", "r", "s")}
+    assert {("😀", "a\0b"), ("supplier:", "\0" + "1\0" + "10"), ("Ünï:", "\0a\0äb")} <= lists and not any("\1" in t and h for h, t in lists)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
