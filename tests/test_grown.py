@@ -7,7 +7,7 @@ import re
 import pytest
 
 from quillgraph.logic.rules import Theory
-from quillgraph.operators import export, graph, iterate, merkle, rdf, search
+from quillgraph.operators import export, graph, iterate, merkle, rdf, search, segments
 from quillgraph.operators.lint import Vocabulary
 from quillgraph.sources import vault
 from quillgraph.streaming import seen, vault_watch
@@ -246,3 +246,18 @@ def test_terms_are_counted_where_rows_lie(spark):
         got = search.term_counts(put(some), "id").collect()
         assert {r["term"]: (r["df"], r["n"]) for r in got} == want and len(got) == len(want)
     assert plan_of(search.term_counts(put(docs[3:]), "id")).count("Exchange hashpartitioning") == 1
+
+
+def test_segments_count_terms_where_documents_lie(spark, monkeypatch, tmp_path):
+    """Documents move once, by their range; of ids that repeat the smallest text counts, and null texts are documents."""
+    docs = [(1, "b a b"), (2, None), (3, ""), (None, "a"), (4, "a"), (4, "A c c"), (4, None), (5, "--")]
+    plans, ranged = [], segments.in_ranges
+    monkeypatch.setattr(segments, "in_ranges", lambda df, order: plans.append(plan_of(df)) or ranged(df, order))
+    index = segments.SegmentIndex(spark, str(tmp_path / "index"), "long")
+    index.edit(0, spark.createDataFrame(docs, "id long, text string"))
+    got = {r["id"]: (r["dl"], sorted(map(tuple, r["terms"]))) for r in spark.read.parquet(str(tmp_path / "index/docs/seg=0")).collect()}
+    assert got == {1: (3, [("a", 1), ("b", 2)]), 2: (0, []), 3: (0, []), 4: (3, [("a", 1), ("c", 2)]), 5: (0, [])}
+    spark.createDataFrame([(6, "a"), (1, "c a")], "id long, text string").write.parquet(str(tmp_path / "more"))
+    index.edit(1, spark.read.parquet(str(tmp_path / "more")))
+    assert "Exchange" not in plans[1] and (index.state()["n"], index.state()["length"]) == (6, 6)
+    assert [r["id"] for r in index.top("a", 9).collect()] == [6, 1, 4]
