@@ -9,8 +9,10 @@ batch reads and writes those that its own signals lie in.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ KEY = ["kind", "value"]
 #: Items of the first stretch, and how many times as long as all before it the next one is.
 STRETCH, TIMES = 200_000, 3
 
+#: So many open signals are one task's work, whatever the stretch had: the longest chains have few items left.
+GATHERED = 100_000
+
 
 def ordered(items: DataFrame) -> DataFrame:
     """items with _id, which grows by seq, then by signals; of rows equal in these any one is first. Written in that order."""
@@ -47,13 +52,18 @@ def decide(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
     """The _id of the items that are new among ordered() rows, when known(kind, value) were lent before; and the rounds it took.
 
     A round decides every item of a stretch whose earlier sharers are decided, so rounds are as many as the longest chain
-    of items in which each depends on the one before; copies of one item need one.
+    of items in which each depends on the one before; copies of one item need one. The last GATHERED open signals of a
+    stretch are decided one by one in a task, as those rounds would.
     """
     narrow = rows.select("_id", *SIGNALS).filter(~mute())
     lent, new, rounds = known.select(*KEY), rows.select("_id").limit(0), 0
     for lo, hi in _stretches(narrow, known.count()):
         left = table(signals(_unlent(narrow.filter(F.col("_id").between(lo, hi)), lent)), "open")
-        while not left.isEmpty():
+        while n := left.count():
+            if n <= GATHERED:
+                gives = table(left.coalesce(1).sortWithinPartitions("_id").mapInArrow(_one_by_one, "_id long, kind string, value string, round int"), "lent")
+                lent, new, rounds = lent.unionByName(gives.select(*KEY)), new.union(gives.select("_id").distinct()), rounds + gives.agg(F.max("round")).first()[0]
+                break
             firsts = left.groupBy(*KEY).agg(F.min("_id").alias("_first"))
             own = left.join(firsts, KEY).groupBy("_id").agg(F.bool_and(F.col("_first") == F.col("_id")).alias("all"), F.collect_list(F.struct(*KEY)).alias("s"))
             won = table(own.filter("all").select("_id", "s"), "won")
@@ -63,6 +73,24 @@ def decide(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
     return new, rounds
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of signals by _id, those that new items lend, and the round that would have decided it: each item after the ones before it."""
+    lent, gone, won, now, own = {}, {}, [], None, []
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for i, *signal in chain(rows, [(None, None, None)]):
+        if i != now:
+            if own and (met := [lent[s] for s in own if s in lent]):
+                gone |= {s: max(gone.get(s, 0), min(met)) for s in own}
+            elif own:
+                at = 1 + max(gone.get(s, 0) for s in own)
+                lent |= dict.fromkeys(own, at)
+                won += [(now, *s, at) for s in own]
+            now, own = i, []
+        own.append(tuple(signal))
+    if won:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*won), (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["_id", *KEY, "round"])
+
+
 def _unlent(items: DataFrame, lent: DataFrame) -> DataFrame:
     """The items none of whose signals was lent, kind by kind: what one kind takes away isn't moved for the next."""
     for c in SIGNALS:

@@ -261,3 +261,19 @@ def test_segments_count_terms_where_documents_lie(spark, monkeypatch, tmp_path):
     index.edit(1, spark.read.parquet(str(tmp_path / "more")))
     assert "Exchange" not in plans[1] and (index.state()["n"], index.state()["length"]) == (6, 6)
     assert [r["id"] for r in index.top("a", 9).collect()] == [6, 1, 4]
+
+
+def test_the_last_open_items_are_decided_in_one_task(spark, monkeypatch):
+    """As the rounds would, and counting as many, without a table for each."""
+    rng = random.Random(13)
+    items = [(f"c{i // 2}", f"d{(i + 1) // 2}", None, i) for i in range(12)] + [(f"g{rng.randrange(40)}", f"l{rng.randrange(40)}", rng.choice(["", f"h{rng.randrange(60)}"]), 20 + i) for i in range(150)]
+    rows = seen.ordered(spark.createDataFrame(items, "guid string, link string, hash string, seq long"))
+    known = spark.createDataFrame([("guid", "g1"), ("link", "l2"), ("guid", "l3")], "kind string, value string")
+    written, write, found = [], seen.table, []
+    monkeypatch.setattr(seen, "table", lambda df, name: written.append(name) or write(df, name))
+    for gathered in (0, 10**6):
+        monkeypatch.setattr(seen, "GATHERED", gathered, raising=False)
+        written.clear()
+        new, rounds = seen.decide(rows, known)
+        found.append((sorted(r[0] for r in new.collect()), rounds))
+    assert found[0] == found[1] and found[0][1] > 3 and written == ["open", "lent"]
